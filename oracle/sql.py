@@ -557,6 +557,12 @@ Q["sacc_latency_first"] = statement(
 )
 
 # ---- the general operators on other tables ----
+HAS = "SELECT o_custkey FROM orders WHERE o_orderstatus = "
+CUSTOMER = f"SELECT c_custkey AS subject, c_mktsegment, {rnd('c_acctbal', 'c_acctbal')} FROM customer WHERE c_custkey"
+Q["complete_subjects"] = f"{CUSTOMER} IN ({HAS}'F' INTERSECT {HAS}'O' INTERSECT {HAS}'P')"
+Q["gapless_subjects"] = f"""{CUSTOMER} NOT IN (
+    SELECT o_custkey FROM orders WHERE o_custkey NOT IN ({HAS}'F')
+    UNION SELECT o_custkey FROM orders WHERE o_custkey NOT IN ({HAS}'O'))"""
 Q["within_orders"] = within("SELECT * FROM orders", "o_orderpriority", {"price": "o_totalprice"}, "o_custkey")
 Q["within_lineitem"] = within(
     "SELECT * FROM lineitem", "l_returnflag", {"price": "l_extendedprice", "quantity": "l_quantity"}, "l_suppkey"

@@ -1,37 +1,49 @@
-"""Last event strictly before a per-trial point in time."""
+"""Last event strictly before per-trial points in time."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 from ..functions.sql import aggregates
-from .attach import TRIAL, attach, row_counts
+from .attach import TRIAL, attach
 
 
 def last_before(
     events: DataFrame,
-    points: DataFrame,
+    per_trial: DataFrame,
     event_time: str,
-    point_time: str,
+    points: Mapping[str, tuple[str, str]],
+    weight: str,
+    carry: Sequence[str] = (),
     on: Sequence[str] = TRIAL,
     **split,
 ) -> DataFrame:
-    """Rows of ``events`` at the latest time before the trial's ``point_time``, ties kept.
+    """Rows of ``events`` at the latest time before each of the trial's points, ties kept.
 
-    The latest time is an aggregate, not a ranking window, so a trial of any size
-    is reduced map-side; the rows are then picked by an equality join that
-    includes the time itself. All columns of ``points`` are added.
+    ``points`` maps a type to two ``per_trial`` columns, the marker and its time;
+    the result has one set of rows per type with the columns ``type``, ``marker``
+    and ``marker_time`` added. A trial that lacks a point has no row for it.
+    ``carry`` names further ``per_trial`` columns to add.
+
+    All points share one pass. The latest times are an aggregate, not a ranking
+    window, so a trial of any size is reduced map-side; the rows are then picked
+    by an equality join that includes the time itself. ``weight`` as in ``attach``.
     """
     on = list(on)
-    carried = [c for c in points.columns if c not in on]
-    reached = points.where(f"{point_time} IS NOT NULL")
-    sized = reached.join(row_counts(events, on, "_n"), on)
-    timed = attach(events.select(*on, event_time), sized, "_n", on, **split)
-    latest = (
-        timed.where(f"{event_time} < {point_time}")
-        .groupBy(*on, *carried)
-        .agg(*aggregates({event_time: f"max({event_time})"}))
+    marks = [*[c for pair in points.values() for c in pair], *carry]
+    any_point = " OR ".join(f"{time} IS NOT NULL" for _, time in points.values())
+    sized = per_trial.where(any_point).select(*on, *marks, weight)
+    timed = attach(events.select(*on, event_time), sized, weight, on, **split)
+    latest = {
+        f"_last{i}": f"max(CASE WHEN {event_time} < {time} THEN {event_time} END)"
+        for i, (_, time) in enumerate(points.values())
+    }
+    found = timed.where(any_point).groupBy(*on, *marks).agg(*aggregates(latest))
+    rows = ", ".join(
+        f"named_struct('type', '{kind}', 'marker', {marker}, 'marker_time', {time}, '{event_time}', _last{i})"
+        for i, (kind, (marker, time)) in enumerate(points.items())
     )
-    return events.join(latest, [*on, event_time])
+    long = found.selectExpr(*on, *carry, f"inline(array({rows}))").where(f"{event_time} IS NOT NULL")
+    return events.join(long, [*on, event_time])

@@ -35,20 +35,26 @@ def attach(
     per_trial: DataFrame,
     weight: str,
     on: Sequence[str] = TRIAL,
+    how: str = "left",
     split_rows: int | None = None,
     max_heavy: int | None = None,
 ) -> DataFrame:
-    """Left join of events to a table that is unique on ``on``.
+    """Left or full join of events to a table that is unique on ``on``.
 
     ``weight`` names a ``per_trial`` column with the number of events of that
     trial (or an upper bound of it). It steers only the data movement: any value
-    gives the same rows. It is not part of the result.
+    gives the same event rows. It is not part of the result. A full join also
+    returns the trials that matched no event; a heavy trial counts as one of them.
     """
     on = list(on)
     split_rows = SPLIT_ROWS if split_rows is None else split_rows
     max_heavy = MAX_HEAVY if max_heavy is None else max_heavy
     own = events.columns
     added = [c for c in per_trial.columns if c not in on and c != weight]
+    if how == "left":
+        # a NULL key matches nothing; said here for both uses of the table, so
+        # that they plan the same and its shuffle runs once
+        per_trial = per_trial.where(" AND ".join(f"{c} IS NOT NULL" for c in on))
 
     heavy = (
         per_trial.where(f"{weight} > {split_rows}")
@@ -63,19 +69,17 @@ def attach(
     # 0 for every trial; written so that the optimizer keeps the lane as a join
     # key instead of folding it into a filter
     keyed = per_trial.selectExpr(*on, *added, f"least(coalesce({weight}, 0L), 0L) AS _lane")
-    joined = tagged.join(keyed, [*on, "_lane"], "left")
+    joined = tagged.join(keyed, [*on, "_lane"], how)
     values = [f"CASE WHEN _is_heavy THEN _heavy_{c} ELSE {c} END AS {c}" for c in added]
     return joined.selectExpr(*own, *values)
 
 
 def enrich_full(events: DataFrame, trials: DataFrame, on: Sequence[str] = TRIAL, **split) -> DataFrame:
-    """Full outer join of events to trials.
+    """Full outer join of events to trials: keeps events without a trial and trials without events.
 
-    A full outer join cannot split a hot key on either side, so it is written as
-    the left join above plus the trials that have no event at all. The per-trial
-    event count decides both.
+    Trials that matched nothing only because they are heavy are told apart by
+    their event count.
     """
-    sized = trials.join(row_counts(events, on, "_n_events"), list(on), "left")
-    matched = attach(events, sized, "_n_events", on, **split)
-    empty = drop(sized.where("_n_events IS NULL"), "_n_events")
-    return matched.unionByName(empty, allowMissingColumns=True)
+    sized = trials.join(row_counts(events, on, "_n"), list(on), "left")
+    joined = attach(add(events, {"_event": "true"}), add(sized, {"_rows": "_n"}), "_n", on, "full", **split)
+    return drop(joined.where("_event OR _rows IS NULL"), "_event", "_rows")

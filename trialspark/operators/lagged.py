@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.sql import add, aggregates, drop
+from ..functions.sql import add, drop
 
 BLOCK = 65_536
 
@@ -22,21 +22,24 @@ def previous_value(
     """Add ``name`` = ``value`` of the preceding row of the group, NULL on its first row.
 
     A plain ``lag`` would pull a whole group into one task. Here the group is cut
-    into blocks of consecutive ``order`` values; each block is prefixed with one
-    carrier row that holds the last value of the block before it. With ``order`` a
-    32-bit integer that is unique within the group, no window sees more than
-    ``block`` rows and no group has more than 2^32 / ``block`` carriers.
+    into blocks of consecutive ``order`` values and lagged inside them; only the
+    first row of each block then looks up the last value of the block before it.
+    With ``order`` a 32-bit integer that is unique within the group, no window
+    sees more than ``block`` rows of a block or 2^32 / ``block`` first rows. Both
+    parts read the same shuffle.
     """
     keys = ", ".join(by)
-    blocked = add(df, {"_block": f"floor({order} / {block})"})
-    tails = blocked.groupBy(*by, "_block").agg(*aggregates({"_tail": f"max_by({value}, {order})"}))
-    carriers = tails.selectExpr(
-        *by,
-        "_block",
-        f"lag(_tail) OVER (PARTITION BY {keys} ORDER BY _block) AS {value}",
-        "true AS _carrier",
+    block_of = f"PARTITION BY {keys}, _block ORDER BY {order}"
+    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    blocked = add(
+        add(df, {"_block": f"floor({order} / {block})"}),
+        {
+            name: f"lag({value}) OVER ({block_of})",
+            "_starts": f"lag({order}) OVER ({block_of}) IS NULL",
+            "_tail": f"last_value({value}) OVER ({block_of} {whole})",
+        },
     )
-    rows = add(blocked, {"_carrier": "false"}).unionByName(carriers, allowMissingColumns=True)
-    in_block = f"PARTITION BY {keys}, _block ORDER BY _carrier DESC, {order}"
-    lagged = add(rows, {name: f"lag({value}) OVER ({in_block})"})
-    return drop(lagged.where("NOT _carrier"), "_block", "_carrier")
+    inside = drop(blocked.where("NOT _starts"), "_block", "_starts", "_tail")
+    firsts = drop(blocked.where("_starts"), name)
+    carried = add(firsts, {name: f"lag(_tail) OVER (PARTITION BY {keys} ORDER BY _block)"})
+    return inside.unionByName(drop(carried, "_block", "_starts", "_tail"))

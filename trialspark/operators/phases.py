@@ -17,26 +17,27 @@ def phase_label() -> str:
     return ifelse3("first_target IS NULL OR fix_count < first_target", "'Before'", late)
 
 
-def distractor_phases(events: DataFrame, markers: DataFrame, keep: Sequence[str] = (), **split) -> DataFrame:
+def distractor_phases(
+    events: DataFrame, markers: DataFrame, keep: Sequence[str] = (), how: str = "left", **split
+) -> DataFrame:
     """Distractor events of the search phase with the phase they fall into.
 
     Only these events are moved; ``keep`` names further marker columns to carry.
+    A full join also returns every trial without such an event, with NULL phase.
     """
     hits = events.where("cat = 'Search' AND fix_type = 'Distractor'").select(*TRIAL, "fix_count", "duration")
     per_trial = markers.select(*TRIAL, "first_target", "both_targets", *keep, "n_events")
-    return add(attach(hits, per_trial, "n_events", **split), {"dfix_type": phase_label()})
+    labelled = attach(hits, per_trial, "n_events", how=how, **split)
+    return add(labelled, {"dfix_type": f"CASE WHEN fix_count IS NOT NULL THEN {phase_label()} END"})
 
 
 def trial_phase_flags(events: DataFrame, trials: DataFrame, attributes: Sequence[str], **split) -> DataFrame:
     """Per trial: was there a distractor event before / between / after.
 
-    ``trials`` is a marker table already reduced to the trials of interest. The
-    labelled events are stacked on it and reduced together, so that a trial
-    without any distractor event keeps three false flags and no second join is
-    needed.
+    ``trials`` is a marker table already reduced to the trials of interest; one
+    without any distractor event gets three false flags.
     """
-    labelled = distractor_phases(events, add(trials, {"_listed": "true"}), [*attributes, "_listed"], **split)
-    own = trials.selectExpr(*TRIAL, *attributes, "CAST(NULL AS STRING) AS dfix_type")
-    hits = labelled.where("_listed").select(*TRIAL, *attributes, "dfix_type")
+    listed = add(trials, {"_listed": "true"})
+    labelled = distractor_phases(events, listed, [*attributes, "_listed"], "full", **split).where("_listed")
     flags = {p.lower(): any_true(f"dfix_type = '{p}'") for p in ("Before", "Between", "After")}
-    return own.unionByName(hits).groupBy(*TRIAL, *attributes).agg(*aggregates(flags))
+    return labelled.groupBy(*TRIAL, *attributes).agg(*aggregates(flags))

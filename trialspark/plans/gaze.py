@@ -9,13 +9,7 @@ from ..functions.sql import add, aggregates, drop
 from ..operators.attach import TRIAL
 from ..operators.classify import classify
 from ..operators.errors import within_error
-from ..operators.exclude import (
-    drop_participants,
-    keep_participants,
-    participants_missing,
-    participants_with,
-    participants_with_count,
-)
+from ..operators.exclude import drop_with_missing, keep_with_cells, keep_with_count
 from ..operators.markers import trial_markers
 from ..operators.phases import distractor_phases, trial_phase_flags
 from ..operators.positions import target_regions
@@ -56,9 +50,15 @@ def target_region_rt(fixations: DataFrame) -> DataFrame:
     return within_error(target_region_cells(fixations), ["tar_regions", "response"], {"rt": "rt"})
 
 
-def _phase_trials(markers: DataFrame, need_both: bool) -> DataFrame:
-    """Correct trials with search events, optionally only those with both targets visited."""
-    kept = markers.where("n_search > 0 AND response_corr = 1")
+def _correct_events(fixations: DataFrame, present: bool = True) -> DataFrame:
+    """Classified events of correct trials, optionally only those that have a distractor."""
+    events = classify(fixations).where("response_corr = 1")
+    return events.where("dist_region <> 'Absent'") if present else events
+
+
+def _phase_trials(events: DataFrame, need_both: bool) -> DataFrame:
+    """Trials with search events, optionally only those with both targets visited."""
+    kept = trial_markers(events).where("n_search > 0")
     return kept.where("both_targets IS NOT NULL") if need_both else kept
 
 
@@ -69,8 +69,8 @@ def _phase_cells(flags: DataFrame, by: list[str]) -> DataFrame:
 
 def phase_prop(fixations: DataFrame) -> DataFrame:
     """Share of trials with distractor events before / between / after the targets."""
-    events = classify(fixations)
-    trials = _phase_trials(trial_markers(events), need_both=True).where("dist_region <> 'Absent'")
+    events = _correct_events(fixations)
+    trials = _phase_trials(events, need_both=True)
     cells = _phase_cells(trial_phase_flags(events, trials, CELL), CELL)
     return within_error(cells, CELL, {m: m for m in PHASE_MEASURES})
 
@@ -81,9 +81,9 @@ def phase_prop_norep(fixations: DataFrame, repeats: DataFrame, need_both: bool)
     ``repeats`` holds participant, tno and dist_rep of the trial log. It meets the
     fixations as one row per trial, after the aggregation.
     """
-    events = classify(fixations)
+    events = _correct_events(fixations, present=False)
     changed = repeats.where("dist_rep = 'Change'").select(*TRIAL)
-    trials = _phase_trials(trial_markers(events), need_both).join(changed, list(TRIAL), "left_semi")
+    trials = _phase_trials(events, need_both).join(changed, list(TRIAL), "left_semi")
     cells = _phase_cells(trial_phase_flags(events, trials, CELL), CELL)
     return within_error(cells, CELL, {m: m for m in PHASE_MEASURES})
 
@@ -95,8 +95,8 @@ def phase_prop_long(summary: DataFrame) -> DataFrame:
 
 def distractor_duration_cells(fixations: DataFrame) -> DataFrame:
     """Duration in ms of the first distractor event before and after the targets."""
-    events = classify(fixations)
-    trials = _phase_trials(trial_markers(events), need_both=True)
+    events = _correct_events(fixations, present=False)
+    trials = _phase_trials(events, need_both=True)
     labelled = distractor_phases(events, trials, CELL).where("both_targets IS NOT NULL AND dfix_type <> 'Between'")
     by = [*CELL, "dfix_type", "participant"]
     first = labelled.groupBy(*by, "tno").agg(*aggregates({"dur": "min_by(duration, fix_count) * 1000"}))
@@ -107,24 +107,18 @@ def distractor_duration_cells(fixations: DataFrame) -> DataFrame:
 def distractor_duration(fixations: DataFrame) -> DataFrame:
     """First distractor durations of participants that have both phases in all their cells."""
     wide = distractor_duration_cells(fixations)
-    complete = drop_participants(wide, participants_missing(wide, ["After", "Before"]))
-    long = to_long(complete, [*CELL, "participant"], ["Before", "After"], "type", "dur")
+    long = to_long(drop_with_missing(wide, ["After", "Before"]), [*CELL, "participant"], ["Before", "After"], "type", "dur")
     return within_error(long, [*CELL, "type"], {"dur": "dur"})
 
 
 def target_duration(fixations: DataFrame) -> DataFrame:
     """Durations of the first events on the first and on the second target."""
+    events = (("First", "first_target", "first_target_duration"), ("Second", "both_targets", "second_target_duration"))
+    rows = ", ".join(f"named_struct('tar_fixed', '{tag}', 'at', {at}, 'dur', {dur})" for tag, at, dur in events)
     correct = markers_of(fixations).where("response_corr = 1")
-    by = [*CELL, "participant"]
-
-    def cells(marker: str, duration: str, tag: str) -> DataFrame:
-        rows = correct.where(f"{marker} IS NOT NULL")
-        return add(cell_mean(rows, by, f"{duration} * 1000", "dur"), {"tar_fixed": f"'{tag}'"})
-
-    both = cells("first_target", "first_target_duration", "First").unionByName(
-        cells("both_targets", "second_target_duration", "Second")
-    )
-    return within_error(both, [*CELL, "tar_fixed"], {"dur": "dur"})
+    stacked = correct.selectExpr(*CELL, "participant", f"inline(array({rows}))").where("at IS NOT NULL")
+    cells = cell_mean(stacked, [*CELL, "tar_fixed", "participant"], "dur * 1000", "dur")
+    return within_error(cells, [*CELL, "tar_fixed"], {"dur": "dur"})
 
 
 def refixation_cells(fixations: DataFrame) -> DataFrame:
@@ -132,8 +126,8 @@ def refixation_cells(fixations: DataFrame) -> DataFrame:
 
     Only trials without a distractor event between the targets.
     """
-    events = classify(fixations)
-    trials = _phase_trials(trial_markers(events), need_both=True).where("dist_region <> 'Absent'")
+    events = _correct_events(fixations)
+    trials = _phase_trials(events, need_both=True)
     flags = trial_phase_flags(events, trials, CELL).where("NOT between")
     cells = cell_mean(flags, ["before", *CELL, "participant"], "CAST(after AS INT)", "after")
     return drop(add(cells, {"before_fix": "CASE WHEN before THEN 'Fix.' ELSE 'No fix.' END"}), "before")
@@ -148,8 +142,7 @@ def refixation_after(fixations: DataFrame, all_cells: int | None = None) -> Data
     cells = refixation_cells(fixations)
     if all_cells is None:
         rare = "before_fix = 'Fix.' AND dist_region = 'Rare'"
-        listed = participants_with(cells, [f"{rare} AND response = '{r}'" for r in RESPONSES])
+        kept = keep_with_cells(cells, [f"{rare} AND response = '{r}'" for r in RESPONSES])
     else:
-        listed = participants_with_count(cells, all_cells)
-    kept = keep_participants(cells, listed)
+        kept = keep_with_count(cells, all_cells)
     return within_error(kept, ["before_fix", *CELL], {"after": "after"})

@@ -12,7 +12,7 @@ from ..functions.geometry import AOI_RADIUS, item_x, item_y
 from ..functions.sql import add, aggregates
 from ..operators import attach as at
 from ..operators import classify as cl
-from ..operators import drift, errors, phases, positions, reshape, summarize, trial_log
+from ..operators import drift, errors, exclude, phases, positions, reshape, summarize, trial_log
 from ..operators.markers import PATTERNS
 from ..sources import event_tables as tables
 from ..sources.trial_logs import duplicate_events
@@ -327,21 +327,19 @@ def _eye(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def asof_target(spark, d):
-    rows = saccades.leading_saccades(*_eye(spark, d), "Target")
+    rows = saccades.leading_saccades(*_eye(spark, d), ["Target"])
     return rows.select("participant", "tno", "start_time", "marker", "marker_time", "latency")
 
 
 @query
 def asof_distractor(spark, d):
-    rows = saccades.leading_saccades(*_eye(spark, d), "Distractor")
+    rows = saccades.leading_saccades(*_eye(spark, d), ["Distractor"])
     return rows.select("participant", "tno", "start_time", "marker", "marker_time", "latency")
 
 
 @query
 def sacc_latency_all(spark, d):
-    sacc, markers = _eye(spark, d)
-    parts = [add(saccades.latency_all(sacc, markers, k), {"type": f"'{k}'"}) for k in saccades.MARKERS]
-    return parts[0].unionByName(parts[1])
+    return saccades.latency_all(*_eye(spark, d))
 
 
 @query
@@ -352,6 +350,30 @@ def sacc_latency_first(spark, d):
 # ---- the general operators on other tables ----
 
 
+def _subjects(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, and the order statuses each of them has had."""
+    customers = tables.read_table(spark, d, "customer").selectExpr("c_custkey AS subject", "c_mktsegment", "c_acctbal")
+    orders = tables.read_table(spark, d, "orders").selectExpr("o_custkey AS subject", "o_orderstatus", "o_totalprice")
+    return customers, orders
+
+
+@query
+def complete_subjects(spark, d):
+    """Customers with orders in every status (intersection of three sets, semi-join)."""
+    customers, orders = _subjects(spark, d)
+    listed = exclude.participants_with(orders, [f"o_orderstatus = '{s}'" for s in "FOP"], "subject")
+    return exclude.keep_participants(customers, listed, "subject")
+
+
+@query
+def gapless_subjects(spark, d):
+    """Customers without a missing mean: drops those lacking open or finished orders (anti-join)."""
+    customers, orders = _subjects(spark, d)
+    means = summarize.cell_mean(orders, ["subject", "o_orderstatus"], "o_totalprice", "price")
+    wide = reshape.to_wide(means, ["subject"], "o_orderstatus", ["F", "O"], "price")
+    return exclude.drop_participants(customers, exclude.participants_missing(wide, ["F", "O"], "subject"), "subject")
+
+
 @query
 def within_orders(spark, d):
     """Order value by priority with the customer as subject."""

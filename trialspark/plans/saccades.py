@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from ..functions.sql import add
 from ..operators.asof import last_before
-from ..operators.attach import TRIAL
 from ..operators.errors import within_error
-from ..operators.exclude import keep_participants, participants_with
+from ..operators.exclude import keep_with_cells
 from ..operators.positions import REGIONS
 from ..operators.summarize import two_level_mean
 
@@ -20,39 +21,39 @@ MARKERS = {
 }
 
 
-def leading_saccades(saccades: DataFrame, markers: DataFrame, kind: str) -> DataFrame:
+def leading_saccades(saccades: DataFrame, markers: DataFrame, kinds: Sequence[str] = tuple(MARKERS)) -> DataFrame:
     """Last saccade before the first event on a target / distractor, with its latency.
 
     The last saccade is found over all phases; the trial is dropped if that one
-    is not a search saccade.
+    is not a search saccade. The trial's first search event comes along. Every
+    saccade ends in a fixation, so the fixation count of the markers bounds the
+    saccades of a trial.
     """
-    index, time = MARKERS[kind]
-    points = markers.selectExpr(*TRIAL, f"{index} AS marker", f"{time} AS marker_time")
-    rows = last_before(saccades, points, "start_time", "marker_time")
+    points = {k: MARKERS[k] for k in kinds}
+    rows = last_before(saccades, markers, "start_time", points, weight="n_events", carry=["first_search"])
     return add(rows.where("cat = 'Search'"), {"latency": "(start_time - search_start_time) * 1000"})
 
 
-def latency_all(saccades: DataFrame, markers: DataFrame, kind: str) -> DataFrame:
-    """Mean latency per region, response and participant on correct trials."""
-    rows = leading_saccades(saccades, markers, kind).where("response_corr = 1")
-    return two_level_mean(rows, ["dist_region", "response", "participant"], "latency", "latency")
+def latency_all(saccades: DataFrame, markers: DataFrame) -> DataFrame:
+    """Mean latency per type, region, response and participant on correct trials."""
+    rows = leading_saccades(saccades, markers).where("response_corr = 1")
+    return two_level_mean(rows, ["type", "dist_region", "response", "participant"], "latency", "latency")
+
 
+def latency_first(saccades: DataFrame, markers: DataFrame) -> DataFrame:
+    """Mean latency per type on correct trials whose first search event was the marker event.
 
-def latency_first(saccades: DataFrame, markers: DataFrame, kind: str) -> DataFrame:
-    """Mean latency on correct trials whose first search event was the marker event."""
-    first_search = markers.where("first_search IS NOT NULL").select(*TRIAL, "first_search")
-    rows = leading_saccades(saccades, markers, kind).join(first_search, list(TRIAL), "full")
-    rows = rows.where(
+    The marker and the first search event are compared in the rows, so the full
+    join of two per-trial tables that would bring them together is not needed.
+    """
+    rows = leading_saccades(saccades, markers).where(
         f"response_corr = 1 AND marker = first_search AND latency > {MIN_LATENCY_MS} AND latency < {MAX_LATENCY_MS}"
     )
-    cells = two_level_mean(rows, ["dist_region", "participant"], "latency", "latency")
-    return add(cells, {"type": f"'{kind}'"})
+    return two_level_mean(rows, ["type", "dist_region", "participant"], "latency", "latency")
 
 
 def first_latency_summary(saccades: DataFrame, markers: DataFrame) -> DataFrame:
     """Target and distractor latency of participants that have target data in every region."""
-    target = latency_first(saccades, markers, "Target")
-    distractor = latency_first(saccades, markers, "Distractor")
-    listed = participants_with(target, [f"dist_region = '{r}'" for r in REGIONS])
-    both = keep_participants(target.unionByName(distractor), listed)
-    return within_error(both, ["dist_region", "type"], {"lat": "latency"})
+    required = [f"type = 'Target' AND dist_region = '{r}'" for r in REGIONS]
+    cells = keep_with_cells(latency_first(saccades, markers), required)
+    return within_error(cells, ["dist_region", "type"], {"lat": "latency"})
