@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.sql import aggregates
+from ..functions.sql import add, drop
 from .attach import TRIAL, attach
 
 
@@ -27,23 +27,33 @@ def last_before(
     and ``marker_time`` added. A trial that lacks a point has no row for it.
     ``carry`` names further ``per_trial`` columns to add.
 
-    All points share one pass. The latest times are an aggregate, not a ranking
-    window, so a trial of any size is reduced map-side; the rows are then picked
-    by an equality join that includes the time itself. ``weight`` as in ``attach``.
+    All points and all rows take one pass and one shuffle of the events. Within
+    each (trial, lane) the rows are already together, so the latest time there is
+    found first; only its rows go on to the comparison across the lanes of a
+    trial. Lanes bound both steps for a trial of any size. ``weight`` as in
+    ``attach``.
     """
     on = list(on)
+    trial = ", ".join(on)
     marks = [*[c for pair in points.values() for c in pair], *carry]
     any_point = " OR ".join(f"{time} IS NOT NULL" for _, time in points.values())
     sized = per_trial.where(any_point).select(*on, *marks, weight)
-    timed = attach(events.select(*on, event_time), sized, weight, on, **split)
+    own = [c for c in events.columns if c not in on]
+    rows = attach(events, sized, weight, on, keep_lane=True, **split)
+
+    def before(time: str) -> str:
+        return f"CASE WHEN {event_time} < {time} THEN {event_time} END"
+
     latest = {
-        f"_last{i}": f"max(CASE WHEN {event_time} < {time} THEN {event_time} END)"
+        f"_last{i}": f"max({before(time)}) OVER (PARTITION BY {trial}, _lane)"
         for i, (_, time) in enumerate(points.values())
     }
-    found = timed.where(any_point).groupBy(*on, *marks).agg(*aggregates(latest))
-    rows = ", ".join(
-        f"named_struct('type', '{kind}', 'marker', {marker}, 'marker_time', {time}, '{event_time}', _last{i})"
+    at_latest = " OR ".join(f"{event_time} = _last{i}" for i in range(len(points)))
+    local = add(rows, latest).where(at_latest)
+    kinds = ", ".join(
+        f"named_struct('type', '{kind}', 'marker', {marker}, 'marker_time', {time}, '_last', _last{i})"
         for i, (kind, (marker, time)) in enumerate(points.items())
     )
-    long = found.selectExpr(*on, *carry, f"inline(array({rows}))").where(f"{event_time} IS NOT NULL")
-    return events.join(long, [*on, event_time])
+    typed = local.selectExpr(*on, *own, *carry, f"inline(array({kinds}))").where(f"{event_time} = _last")
+    final = add(typed, {"_best": f"max(_last) OVER (PARTITION BY {trial}, type)"}).where("_last = _best")
+    return drop(final, "_last", "_best")

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sql import add, aggregates, drop
+from ..functions.sql import add, aggregates, compute_once, drop
 
 TRIAL = ("participant", "tno")
 SPLIT_ROWS = 2_000_000
@@ -36,6 +36,7 @@ def attach(
     weight: str,
     on: Sequence[str] = TRIAL,
     how: str = "left",
+    keep_lane: bool = False,
     split_rows: int | None = None,
     max_heavy: int | None = None,
 ) -> DataFrame:
@@ -45,6 +46,8 @@ def attach(
     trial (or an upper bound of it). It steers only the data movement: any value
     gives the same event rows. It is not part of the result. A full join also
     returns the trials that matched no event; a heavy trial counts as one of them.
+    ``keep_lane`` keeps the column ``_lane``: rows that agree on it and on ``on``
+    are few and already in one partition, so they can be reduced first.
     """
     on = list(on)
     split_rows = SPLIT_ROWS if split_rows is None else split_rows
@@ -71,7 +74,7 @@ def attach(
     keyed = per_trial.selectExpr(*on, *added, f"least(coalesce({weight}, 0L), 0L) AS _lane")
     joined = tagged.join(keyed, [*on, "_lane"], how)
     values = [f"CASE WHEN _is_heavy THEN _heavy_{c} ELSE {c} END AS {c}" for c in added]
-    return joined.selectExpr(*own, *values)
+    return joined.selectExpr(*own, *values, *(["_lane"] if keep_lane else []))
 
 
 def enrich_full(events: DataFrame, trials: DataFrame, on: Sequence[str] = TRIAL, **split) -> DataFrame:
@@ -80,6 +83,9 @@ def enrich_full(events: DataFrame, trials: DataFrame, on: Sequence[str] = TRIAL,
     Trials that matched nothing only because they are heavy are told apart by
     their event count.
     """
-    sized = trials.join(row_counts(events, on, "_n"), list(on), "left")
-    joined = attach(add(events, {"_event": "true"}), add(sized, {"_rows": "_n"}), "_n", on, "full", **split)
-    return drop(joined.where("_event OR _rows IS NULL"), "_event", "_rows")
+    sized = trials.join(row_counts(events, on, "_found"), list(on), "left")
+    # the count passes through compute_once so that the search for heavy trials
+    # does not turn its copy of this join into another join
+    sized = drop(compute_once(sized, {"_n": "coalesce(_found, 0L)", "_rows": "coalesce(_found, 0L)"}), "_found")
+    joined = attach(add(events, {"_event": "true"}), sized, "_n", on, "full", **split)
+    return drop(joined.where("_event OR _rows = 0"), "_event", "_rows")

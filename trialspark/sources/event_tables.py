@@ -36,7 +36,8 @@ def with_trial_ids(events: DataFrame) -> DataFrame:
         events,
         {
             "_us": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))",
-            "_k": "TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)",
+            # props is {"k": number}
+            "_k": "TRY_CAST(substring_index(substring_index(props, ':', -1), '}', 1) AS INT)",
         },
     )
     return add(
