@@ -25,6 +25,13 @@ def test_item_positions(spark, rows, prefix, expected):
     assert rows(positions.item_positions(df), "tar1_pos", "tar2_pos", "dist_pos") == [expected]
 
 
+def test_kth_match_for_any_mask(spark):
+    for mask in (0, 1, 2, 6, 0b1011000101, 1 << 9):
+        bits = [i + 1 for i in range(10) if mask >> i & 1] + [None] * 3
+        asked = ", ".join(positions.kth_match(str(mask), k) for k in (1, 2, 3))
+        assert tuple(spark.sql(f"SELECT {asked}").first()) == tuple(bits[:3])
+
+
 def test_distractor_region(spark, rows):
     data = [(0, "freq_bottom"), (6, "freq_bottom"), (5, "freq_bottom"), (6, "freq_top"), (5, "freq_top"), (3, None), (None, "freq_top")]
     df = spark.createDataFrame(data, "dist_pos int, dist_freq string")

@@ -25,7 +25,7 @@ def literals(values: Iterable) -> str:
 
 
 def add(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Append computed columns."""
+    """Append computed columns; one may use those listed before it."""
     return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
@@ -44,7 +44,8 @@ def compute_once(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     expressions into it. For nested conditions over derived columns the pasted
     condition multiplies until the generated code no longer compiles. The output
     of a one-row generator is a fresh attribute, so a filter on it stays where it
-    is; filters on the other columns still move to the scan.
+    is; filters on the other columns still move to the scan. A column may use an
+    earlier one under the name ``_once_<name>``.
     """
     staged = add(df, {f"_once_{n}": sql for n, sql in columns.items()})
     fields = ", ".join(f"'{n}', _once_{n}" for n in columns)

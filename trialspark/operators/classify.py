@@ -51,10 +51,9 @@ def event_class() -> str:
 
 def classify_by_distance(events: DataFrame) -> DataFrame:
     """Add ``fix_type`` and the id of the visited target from the distance columns."""
-    kinds = add(events, {"_kind": event_class()})
     nearest = ifelse3("tar1_dist < tar2_dist", "1", "2")
-    target = f"CASE WHEN _kind = 'Target' THEN {nearest} END"
-    return drop(compute_once(kinds, {"fix_type": "_kind", "tar_fixed": target}), "_kind")
+    target = f"CASE WHEN _once_fix_type = 'Target' THEN {nearest} END"
+    return compute_once(events, {"fix_type": event_class(), "tar_fixed": target})
 
 
 def classify(events: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.nulls import ifelse3, isin_safe
-from ..functions.sql import add, drop
+from ..functions.nulls import ifelse3
+from ..functions.sql import add, compute_once, drop, literals
 from .lagged import previous_value
 
 # Orientation columns of display positions 1..10 and the
@@ -16,31 +16,45 @@ ORIENTATION_COLUMNS = (
     "ori10", "ori11", "ori12", "ori13", "ori14",
     "ori16", "ori17", "ori18", "ori19", "ori20",
 )
-TARGET_ORIENTATIONS = (12, -12, 168, -168)
-DISTRACTOR_ORIENTATIONS = (270, 90)
+TARGET_ORIENTATIONS = (12.0, -12.0, 168.0, -168.0)
+DISTRACTOR_ORIENTATIONS = (270.0, 90.0)
 HALF = 5
 
 REGIONS = ("Absent", "Freq.", "Rare")
 
 
-def next_match(columns: Sequence[str], values: Sequence, after: str = "0") -> str:
-    """1-based index of the first column beyond index ``after`` whose value is listed.
+def match_mask(columns: Sequence[str], values: Sequence[float]) -> str:
+    """Bit i - 1 is set if the i-th column has a listed value; a NULL never matches.
 
-    NULL if there is none. Plain conditions over the columns: wide rows are
-    searched in generated code, without unpivoting or shuffling them.
+    Wide rows are searched in generated code, without unpivoting or shuffling
+    them, and every column is tested once however many positions are asked for.
     """
-    cases = " ".join(
-        f"WHEN {i} > {after} AND {isin_safe(c, values)} THEN {i}" for i, c in enumerate(columns, 1)
-    )
-    return f"CASE {cases} END"
+    listed = literals(values)
+    return " + ".join(f"CASE WHEN {c} IN ({listed}) THEN {1 << i} ELSE 0 END" for i, c in enumerate(columns))
+
+
+def kth_match(mask: str, k: int) -> str:
+    """1-based index of the k-th set bit, NULL if there are fewer."""
+    for _ in range(k - 1):
+        mask = f"({mask} & ({mask} - 1))"
+    return f"CASE WHEN {mask} <> 0 THEN bit_count(({mask} & -{mask}) - 1) + 1 END"
 
 
 def item_positions(trials: DataFrame) -> DataFrame:
     """Add positions of both targets (NULL if missing) and of the distractor (0 if absent)."""
-    first = next_match(ORIENTATION_COLUMNS, TARGET_ORIENTATIONS)
-    dist = next_match(ORIENTATION_COLUMNS, DISTRACTOR_ORIENTATIONS)
-    found = add(trials, {"tar1_pos": first, "dist_pos": f"coalesce({dist}, 0)"})
-    return add(found, {"tar2_pos": next_match(ORIENTATION_COLUMNS, TARGET_ORIENTATIONS, after="tar1_pos")})
+    masks = {
+        "_targets": match_mask(ORIENTATION_COLUMNS, TARGET_ORIENTATIONS),
+        "_distractors": match_mask(ORIENTATION_COLUMNS, DISTRACTOR_ORIENTATIONS),
+    }
+    found = add(
+        compute_once(trials, masks),
+        {
+            "tar1_pos": kth_match("_targets", 1),
+            "tar2_pos": kth_match("_targets", 2),
+            "dist_pos": f"coalesce({kth_match('_distractors', 1)}, 0)",
+        },
+    )
+    return drop(found, *masks)
 
 
 def _half_label(pos: str, frequent: str, rare: str) -> str:

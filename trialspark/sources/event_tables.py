@@ -32,17 +32,12 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def with_trial_ids(events: DataFrame) -> DataFrame:
     """Add participant number, trial number and time within the trial."""
-    timed = add(
+    return add(
         events,
         {
             "_us": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))",
             # props is {"k": number}
             "_k": "TRY_CAST(substring_index(substring_index(props, ':', -1), '}', 1) AS INT)",
-        },
-    )
-    return add(
-        timed,
-        {
             "_pid": f"CAST(user_id % {PARTICIPANTS} AS INT)",
             "participant": f"CAST(user_id % {PARTICIPANTS} AS STRING)",
             "tno": f"CAST(user_id div {PARTICIPANTS} * {BLOCKS} + _us div {BLOCK_MICROS} AS INT)",
@@ -119,13 +114,13 @@ def trial_log(events: DataFrame) -> DataFrame:
     """Raw trial log: one row per trial, practice rows without a main index."""
     per_trial = with_trial_ids(events).groupBy("_pid", "participant", "tno")
     df = with_display(per_trial.agg(*aggregates({"_first_k": "min_by(_k, event_id)"})))
-    turned = "CASE WHEN tno % 2 = 0 THEN 90D ELSE 270D END"
+    df = compute_once(df, {"_turned": "CASE WHEN tno % 2 = 0 THEN 90D ELSE 270D END"})
     return df.selectExpr(
         "participant",
         "CASE WHEN tno <> 0 THEN tno END AS `trials.thisN`",
         "CASE WHEN tno = 0 THEN tno END AS `practice_trials.thisRepN`",
         *[
-            f"CASE {i} WHEN tar1_pos THEN 12D WHEN tar2_pos THEN -168D WHEN dist_pos THEN {turned} ELSE 0D END AS {c}"
+            f"CASE {i} WHEN tar1_pos THEN 12D WHEN tar2_pos THEN -168D WHEN dist_pos THEN _turned ELSE 0D END AS {c}"
             for i, c in enumerate(ORIENTATION_COLUMNS, 1)
         ],
         "dist_freq",
