@@ -55,7 +55,7 @@ block("fx", "ev", "reg")(
     """
     SELECT CAST(e.pid AS VARCHAR) AS participant, e.tno, e.event_id AS fix_count,
            CASE WHEN e.event_type = 'signup' THEN 'Post' ELSE 'Search' END AS cat,
-           (e.us % 432000000000) / 144000000000 + 0.05::DOUBLE AS start_time,
+           (e.us % 432000000000) / 143999999999 + 0.05::DOUBLE AS start_time,
            e.value / 1000 AS duration,
            CASE WHEN e.k < 99 THEN (2.503::DOUBLE + e.value - 6 * floor(e.value / 6)) * cos(e.k * pi() / 50) END AS gx,
            CASE WHEN e.k < 99 THEN (2.503::DOUBLE + e.value - 6 * floor(e.value / 6)) * sin(e.k * pi() / 50) END AS gy,
