@@ -527,6 +527,11 @@ for kind, lead in LEAD.items():
             {rnd('latency', 'latency')} FROM ({lead})""",
         "sc", "m2", "m5",
     )
+Q["sacc_first_search"] = statement(
+    f"""SELECT participant, tno, marker, first_search, {rnd('latency', 'latency')}
+        FROM ({LEAD['Target']}) x NATURAL FULL JOIN m6""",
+    "sc", "m2", "m6",
+)
 Q["sacc_latency_all"] = statement(
     " UNION ALL ".join(
         f"""SELECT dist_region, response, participant, {rnd('avg(latency)', 'latency')}, '{kind}' AS type

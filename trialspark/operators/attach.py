@@ -89,3 +89,8 @@ def enrich_full(events: DataFrame, trials: DataFrame, on: Sequence[str] = TRIAL,
     sized = drop(compute_once(sized, {"_n": "coalesce(_found, 0L)", "_rows": "coalesce(_found, 0L)"}), "_found")
     joined = attach(add(events, {"_event": "true"}), sized, "_n", on, "full", **split)
     return drop(joined.where("_event OR _rows = 0"), "_event", "_rows")
+
+
+def natural_full(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Full outer join on all common columns, for two tables of one row per trial."""
+    return left.join(right, [c for c in left.columns if c in right.columns], "full")

@@ -337,6 +337,13 @@ def asof_distractor(spark, d):
     return rows.select("participant", "tno", "start_time", "marker", "marker_time", "latency")
 
 
+@query
+def sacc_first_search(spark, d):
+    """Natural full join of leading saccades with the first search event of every trial."""
+    rows = saccades.with_first_search(*_eye(spark, d), "Target")
+    return rows.select("participant", "tno", "marker", "first_search", "latency")
+
+
 @query
 def sacc_latency_all(spark, d):
     return saccades.latency_all(*_eye(spark, d))

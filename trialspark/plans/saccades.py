@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.sql import add
+from ..functions.sql import add, drop
 from ..operators.asof import last_before
+from ..operators.attach import TRIAL, natural_full
 from ..operators.errors import within_error
 from ..operators.exclude import keep_with_cells
 from ..operators.positions import REGIONS
@@ -34,6 +35,12 @@ def leading_saccades(saccades: DataFrame, markers: DataFrame, kinds: Sequence[st
     return add(rows.where("cat = 'Search'"), {"latency": "(start_time - search_start_time) * 1000"})
 
 
+def with_first_search(saccades: DataFrame, markers: DataFrame, kind: str) -> DataFrame:
+    """Leading saccades and first search events of all trials that have either."""
+    leading = drop(leading_saccades(saccades, markers, [kind]), "first_search")
+    return natural_full(leading, markers.where("first_search IS NOT NULL").select(*TRIAL, "first_search"))
+
+
 def latency_all(saccades: DataFrame, markers: DataFrame) -> DataFrame:
     """Mean latency per type, region, response and participant on correct trials."""
     rows = leading_saccades(saccades, markers).where("response_corr = 1")
