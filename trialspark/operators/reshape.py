@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.sql import literal
+from ..functions.sql import aggregates, literal
 
 
 def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:
@@ -17,9 +16,11 @@ def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
 def to_wide(df: DataFrame, ids: Sequence[str], name: str, values: Sequence[str], value: str) -> DataFrame:
     """One column per listed value, for rows that are unique on ``ids`` and ``name``.
 
-    The values are given, so no extra pass has to find them.
+    Conditional aggregates: one shuffle, with the rows of a group merged before
+    it, where a pivot would group twice.
     """
-    return df.groupBy(*ids).pivot(name, list(values)).agg(F.max(value))
+    picked = {f"`{v}`": f"max(CASE WHEN {name} = {literal(v)} THEN {value} END)" for v in values}
+    return df.groupBy(*ids).agg(*aggregates(picked))
 
 
 def spread_statistics(
