@@ -17,10 +17,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.LIBRARY) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, DIRECTORY)
     assert differences(df, con, entry.oracle_sql()[name]) == []
