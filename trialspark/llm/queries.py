@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dups, packing, secret_ledger
+from . import decontaminate, language, licenses, near_dups, packing, ppm, quality, secret_ledger
 from .common import remainder, ship, table
 
 QUERIES = {}
@@ -26,6 +26,12 @@ def op1_decontaminate(spark, sf_dir):
     return found.drop("spans")
 
 
+@query
+def op2_ppm_score(spark, sf_dir):
+    """Log probability of each document by unigrams and by prediction by partial matching."""
+    return ppm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 @query
 def op3_secret_ledger(spark, sf_dir):
     """Secrets of each document, found once per blob."""
@@ -49,7 +55,21 @@ def op5_minhash_dedup(spark, sf_dir):
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality_score(spark, sf_dir):
+    """Chance that a document is of quality 1, learned from labels of documents that are not held out."""
+    held_out = remainder("doc_id", 5) == 0
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, remainder("doc_id", 5) == 1)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op7_pack_sequences(spark, sf_dir):
     """Pieces of all documents in sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_license_notices(spark, sf_dir):
+    """License phrases and fuzzy notices of each document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
