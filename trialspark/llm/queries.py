@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, near_dups, packing, ppm, quality, secret_ledger
+from . import decontaminate, language, licenses, near_dups, packing, ppm, quality, secret_ledger, vector_dups
 from .common import remainder, ship, table
 
 QUERIES = {}
@@ -69,6 +69,12 @@ def op7_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_vector_dedup(spark, sf_dir):
+    """Links and components of vectors with a cosine of 0.95 or more."""
+    return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_license_notices(spark, sf_dir):
     """License phrases and fuzzy notices of each document."""
