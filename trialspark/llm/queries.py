@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, near_dups, packing, ppm, quality, secret_ledger, vector_dups
+from . import decontaminate, language, licenses, near_dups, packing, ppm, quality, quotes, secret_ledger, vector_dups
 from .common import remainder, ship, table
 
 QUERIES = {}
@@ -79,3 +79,9 @@ def op8_vector_dedup(spark, sf_dir):
 def op9_license_notices(spark, sf_dir):
     """License phrases and fuzzy notices of each document."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op10_quote_threads(spark, sf_dir):
+    """Messages without quotes, linked to what they quote, in reply order."""
+    return quotes.linked(table(spark, sf_dir, "conversations"))
