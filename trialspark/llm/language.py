@@ -5,9 +5,9 @@ padded with one blank) over all training texts. A document's own most frequent
 n-grams are compared with each profile by the out-of-place distance: the sum of rank
 differences, ``PROFILE`` for an n-gram that the profile lacks. The nearest profile wins.
 
-Training counts cover every training document. Tasks count words first and turn each
-distinct word into n-grams once; partial counts are flushed when they reach
-``FLUSH`` entries and summed by Spark. Only the profiles go to the driver and back:
+Training counts cover every training document. Tasks count about ``CHARS`` characters
+of a language at a time; partial counts are flushed when they reach ``FLUSH`` entries
+and summed by Spark. Only the profiles go to the driver and back:
 ``PROFILE`` rows a language, and at most ``MAX_LANGS`` languages (more raise an error).
 
 Defined cases: a null text or one without letters is ``und`` with score 0; the score is
@@ -18,10 +18,9 @@ every text is ``und``. Labels of null are not learned.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from functools import lru_cache
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,95 +29,107 @@ from pyspark.sql import types as T
 from .common import with_columns
 
 PROFILE = 300
-SIZES = (1, 2, 3)
 MAX_LANGS = 2_000
-FLUSH = 200_000
+FLUSH = 500_000
+CHARS = 1_000_000
 UND = "und"
-#: runs of letters
-_LETTERS = re.compile(r"[^\W\d_]+")
+_BLANK = 32
 
 
-@lru_cache(maxsize=20_000)
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
+@cache
+def _letters() -> np.ndarray:
+    """Each code point if it is a letter, else a blank."""
+    return np.fromiter((i if chr(i).isalpha() else _BLANK for i in range(0x110000)), np.int64, 0x110000)
 
 
-def letter_words(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+def gram_codes(text: str) -> np.ndarray:
+    """The n-grams of 1 to 3 letters of the padded words of a text, 21 bits a character; empty without letters."""
+    c = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)]
+    letter = c != _BLANK
+    c = c[np.append(True, letter[1:] | letter[:-1])]  # one blank between words
+    letter = c != _BLANK
+    two = (c[:-1] << 21) | c[1:]
+    three = (two[:-1] << 21) | c[2:]
+    return np.concatenate([c[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]])
 
 
-def gram_counts(words: Counter) -> Counter:
-    out: Counter = Counter()
-    for word, n in words.items():
-        for g in grams(word):
-            out[g] += n
-    return out
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, rising, and how often each occurs."""
+    codes = np.sort(codes)
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+    return codes[starts], np.diff(np.append(starts, len(codes)))
 
 
 def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> DataFrame:
     """(lang, gram, rank from 0) of the most frequent n-grams of each language, over all rows."""
 
     def count(batches):
-        words: dict[str, Counter] = {}
+        sums: dict[str, dict[int, int]] = {}
+        texts: dict[str, list[str]] = {}
+        chars: dict[str, int] = {}
+
+        def add(lang):
+            codes, n = counted(gram_codes(" ".join(texts.pop(lang))))
+            total = sums.setdefault(lang, {})
+            for code, k in zip(codes.tolist(), n.tolist()):
+                total[code] = total.get(code, 0) + k
+            chars[lang] = 0
 
         def flush():
-            for lang, counted in words.items():
-                found = gram_counts(counted)
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())],
-                        names=["lang", "gram", "n"],
-                    )
-            words.clear()
+            for lang, total in sums.items():
+                columns = [pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
+            sums.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(letter_words(text))
-            if sum(map(len, words.values())) >= FLUSH:
+                texts.setdefault(lang, []).append(text)
+                chars[lang] = chars.get(lang, 0) + len(text)
+                if chars[lang] > CHARS:
+                    add(lang)
+            if sum(map(len, sums.values())) >= FLUSH:
                 yield from flush()
+        for lang in list(texts):
+            add(lang)
         yield from flush()
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col)
-    counts = rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).drop("n")
 
 
 class Profiles:
-    """Ranks of all languages, by n-gram, to add up the distances of a document."""
+    """Ranks of all languages, by n-gram."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], size: int = PROFILE):
+    def __init__(self, rows: list[tuple[str, int, int]], size: int = PROFILE):
         self.size = size
         self.langs = sorted({lang for lang, _, _ in rows})
+        self.grams = np.unique(np.array([gram for _, gram, _ in rows], np.int64))
+        self.ranks = np.full((len(self.grams), len(self.langs)), -1)
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.ranks: dict[str, list[tuple[int, int]]] = {}
         for lang, gram, rank in rows:
-            self.ranks.setdefault(gram, []).append((at[lang], rank))
+            self.ranks[np.searchsorted(self.grams, gram), at[lang]] = rank
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(letter_words(text)) if text else None
-        if not words or not self.langs:
+        codes, n = counted(gram_codes(text)) if text else (np.empty(0, np.int64), None)
+        if not len(codes) or not self.langs:
             return UND, 0.0
-        counts = gram_counts(words)
-        top = sorted(counts, key=lambda g: (-counts[g], g)) if len(counts) <= self.size else self._top(counts)
-        far = self.size * len(top)
-        distance = [far] * len(self.langs)
-        for rank, gram in enumerate(top):
-            for lang, other in self.ranks.get(gram, ()):
-                distance[lang] -= self.size - abs(rank - other)
-        best = min(range(len(distance)), key=distance.__getitem__)
-        first = distance[best]
-        if first == far:
+        if len(codes) > self.size:  # those that may be among the most frequent
+            least = np.partition(n, len(n) - self.size)[len(n) - self.size]
+            codes, n = codes[n >= least], n[n >= least]
+        top = codes[np.argsort(-n, kind="stable")[: self.size]]
+        at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
+        ranks = np.where((self.grams[at] == top)[:, None], self.ranks[at], -1)
+        distance = np.where(ranks >= 0, np.abs(ranks - np.arange(len(top))[:, None]), self.size).sum(axis=0)
+        best = int(np.argmin(distance))
+        first = int(distance[best])
+        if first == self.size * len(top):
             return self.langs[best], 0.0
-        second = min((d for i, d in enumerate(distance) if i != best), default=None)
-        return self.langs[best], 1.0 if second is None else second / (first + second) if first + second else 0.5
-
-    def _top(self, counts: Counter) -> list[str]:
-        """The most frequent n-grams; all that tie with the last are sorted, then cut."""
-        least = sorted(counts.values(), reverse=True)[self.size - 1]
-        some = [g for g, n in counts.items() if n >= least]
-        return sorted(some, key=lambda g: (-counts[g], g))[: self.size]
+        if len(distance) == 1:
+            return self.langs[best], 1.0
+        second = int(np.partition(distance, 1)[1])
+        return self.langs[best], second / (first + second) if first + second else 0.5
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:

@@ -41,14 +41,14 @@ def passages(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """Own text, and (level, normalised passage) in order; level 0 is the message's own."""
     own: list[str] = []
     found: list[tuple[int, list[str]]] = []
-    open_ = False
+    open_, before = False, 0
     for line in (text or "").split("\n"):
         marks = _MARKS.match(line)
         level, content = (marks.group().count(">"), line[marks.end() :]) if marks else (0, line)
-        if level and own and _ANNOUNCES.search(own[-1]):
+        if level and not before and own and _ANNOUNCES.search(own[-1]):  # the line just above announces this quote
             own.pop()
-            if found and found[-1][0] == 0:
-                found[-1][1].pop()
+            found[-1][1].pop()
+        before = level
         if not level:
             own.append(content)
         if not content.strip():
