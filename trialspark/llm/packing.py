@@ -6,8 +6,10 @@
    fits on the driver whatever the corpus.
 3. On the driver: all patterns of up to ``DEPTH`` lengths that fill a sequence are
    enumerated; repeat counts x >= 0 are fitted to the histogram h by least squares
-   (accelerated projected gradient on the pattern-length incidence), rounded down and
-   cut to what the histogram holds. What is left is packed by best fit on counts, longest first.
+   (accelerated projected gradient on the pattern-length incidence), rounded to whole
+   counts that the histogram holds. What is left is packed by best fit on counts, longest
+   first. Of the depths up to ``DEPTH`` and two ways to round, the plan with the fewest
+   sequences is taken.
 4. The plan says, for each length, which run of ranks goes to which pattern. Pieces get
    a rank within their length by Spark (two levels, so that a very common length is
    spread) and look their sequence up in the plan.
@@ -188,13 +190,18 @@ def best_fit(left: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]
     return [x for some in open_.values() for x in some]
 
 
+def packing(histogram: np.ndarray, length: int, depth: int, whole: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with counts for all pieces; ``whole`` drops the fractions of the fit, else they are carried on."""
+    left, shapes = histogram.astype(np.int64).copy(), patterns(length, depth)
+    x = fitted(histogram, shapes)
+    return rounded(np.floor(x) if whole else x, shapes, left) + best_fit(left, length)
+
+
 class Plan:
     """Which ranks of each length go to which sequence and place."""
 
     def __init__(self, histogram: np.ndarray, length: int = MAX_LENGTH, depth: int = DEPTH):
-        left = histogram.astype(np.int64).copy()
-        shapes = patterns(length, depth)
-        packed = rounded(fitted(histogram, shapes), shapes, left) + best_fit(left, length)
+        packed = min((packing(histogram, length, d, whole) for d in range(1, depth + 1) for whole in (True, False)), key=lambda p: sum(n for _, n in p))
         used, rows, sequence = [0] * (length + 1), [], 0
         for shape, count in packed:
             offset = 0
