@@ -9,7 +9,8 @@
    signatures are clearly too far apart are dropped, the others are compared on full sets.
 4. Connected components of these links. Only buckets that still hold several
    components are compared in full, and only across components: in blocks of at most
-   ``BLOCK`` classes, so that a bucket of any size is spread over many tasks.
+   ``BLOCK`` classes, so that a bucket of any size is spread over many tasks. A block
+   hands on the links that connect it, not its pairs.
 5. Components over all links, then the smallest document id of each.
 
 Links inside a component that is known already need no check, so the components are
@@ -40,8 +41,9 @@ THRESHOLD = (85, 100)
 ROWS = 6
 MISS = 1e-5
 BLOCK = 1_000
+MAX_BANDS = 64
 #: standard deviations that a signature's estimate may fall below the threshold
-SLACK = 7.0
+SLACK = 5.0
 _PRIME = (1 << 61) - 1
 
 
@@ -131,7 +133,9 @@ def _signatures(batch: pa.RecordBatch, name: str = "sig") -> np.ndarray:
 
 
 def buckets(classes: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(band key, class): one row for each band of each class."""
+    """(band key, class): one row for each band of each class; the key's last bits are the band."""
+    if bands > MAX_BANDS:
+        raise ValueError(f"more than {MAX_BANDS} bands: take fewer rows a band")
 
     def run(batches):
         for batch in batches:
@@ -141,6 +145,7 @@ def buckets(classes: DataFrame, rows: int, bands: int) -> DataFrame:
             key = np.tile(np.arange(bands, dtype=np.uint64), (batch.num_rows, 1))
             for r in range(rows):
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+            key = (key & ~np.uint64(MAX_BANDS - 1)) | np.arange(bands, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.ravel().view(np.int64)), batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))],
                 names=["key", "rep"],
@@ -169,11 +174,10 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int])
     return both.select("u", "v", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs that reach the threshold on full sets. Only texts of classes in a pair become sets."""
-    wanted = pairs.select(F.col("u").alias("_rep")).union(pairs.select("v")).distinct()
+def sets_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, items): the full shingle sets of the classes in ``reps`` (one column)."""
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    held = texts.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_rep"), "left_semi")
+    held = texts.join(reps.toDF("_rep").distinct().hint("shuffle_hash"), F.col("_id") == F.col("_rep"), "left_semi")
 
     def sets(batches):
         cache: dict[bytes, int] = {}
@@ -181,54 +185,58 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
             found = [shingle_set(t, size, cache).tobytes() for t in binary(batch, "_text")]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary())], names=["id", "items"])
 
-    kind = _kind(pairs, "u")
-    known = save(held.mapInArrow(sets, f"id {kind}, items binary"), "sets")
+    return save(held.mapInArrow(sets, f"id {_kind(docs, id_col)}, items binary"), "sets")
+
+
+def _linked(x: bytes, y: bytes, threshold: tuple[int, int]) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and threshold[1] * common >= threshold[0] * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs that reach the threshold on full sets. Only texts of classes in a pair become sets."""
+    known = sets_of(pairs.select("u").union(pairs.select("v")), docs, id_col, text_col, size)
     both = pairs.join(known.toDF("u", "iu"), "u").join(known.toDF("v", "iv"), "v")
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("iu").to_pylist(), batch.column("iv").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and threshold[1] * common >= threshold[0] * (len(x) + len(y) - common))
+            keep = [_linked(x, y, threshold) for x, y in zip(batch.column("iu").to_pylist(), batch.column("iv").to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    kind = _kind(pairs, "u")
     return both.select("u", "v", "iu", "iv").mapInArrow(compare, f"u {kind}, v {kind}")
 
 
-def across(open_buckets: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Near pairs of different components within a bucket; big buckets in pairs of blocks.
-
-    ``open_buckets``: key, n (rows of the bucket), rep, root.
-    """
-    placed = open_buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # block b meets every block, as the lower or the higher one of the pair
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "root"
-    )
-    dealt = dealt.join(classes.select("rep", "sig"), "rep")
-    kind = _kind(classes, "rep")
+class Block:
+    """Classes of one bucket, or of two blocks of a big one."""
 
-    def pairs_of(group: pa.Table) -> pa.RecordBatch:
-        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        ids, roots = group.column("rep").to_pylist(), group.column("root").to_pylist()
+    def __init__(self, rows: pa.Table, threshold: tuple[int, int], bands: int):
+        self.threshold, self.bands = threshold, bands
+        self.band = rows.column("key")[0].as_py() & (MAX_BANDS - 1)
+        self.lo, self.hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        self.block, self.ids = rows.column("block").to_numpy(), rows.column("rep").to_pylist()
         number: dict = {}
-        root = np.array([number.setdefault(r, len(number)) for r in roots])
-        block = group.column("block").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        u, v = [], []
-        for i in left:
-            near = right[_near(sig[i], sig[right], threshold) & (root[right] != root[i])]
-            for j in near.tolist():
-                if lo != hi or ids[i] < ids[j]:
-                    u.append(min(ids[i], ids[j]))
-                    v.append(max(ids[i], ids[j]))
-        return pa.RecordBatch.from_arrays([pa.array(u, group.schema.field("rep").type), pa.array(v, group.schema.field("rep").type)], names=["u", "v"])
+        self.root = np.array([number.setdefault(r, len(number)) for r in rows.column("root").to_pylist()])
+        self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(self.ids), -1)
+
+    def pairs(self):
+        """(i, all j) of plausible pairs of different components; each pair in the first band it shares."""
+        left, right = np.flatnonzero(self.block == self.lo), np.flatnonzero(self.block == self.hi)
+        for i in left.tolist():
+            some = right[(self.root[right] != self.root[i]) & ((right > i) | (self.lo != self.hi))]
+            if len(some):
+                same = self.sig[some] == self.sig[i]
+                first = same.reshape(len(some), self.bands, -1).all(axis=2).argmax(axis=1)
+                near = some[_near(self.sig[i], self.sig[some], self.threshold) & (first == self.band)]
+                if len(near):
+                    yield i, near.tolist()
+
+
+def _in_blocks(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` on the rows of each (key, lo, hi), which come sorted; a batch's last group waits for its rest."""
 
     def run(batches):
-        """Rows come sorted by (key, lo, hi); the last group of a batch waits for its rest."""
         held = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -238,13 +246,64 @@ def across(open_buckets: DataFrame, classes: DataFrame, threshold: tuple[int, in
             mark = np.stack([rows.column(c).to_numpy() for c in ("key", "lo", "hi")])
             cuts = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1).tolist()]
             for a, b in zip(cuts, cuts[1:]):
-                yield pairs_of(rows.slice(a, b - a))
+                yield from fn(rows.slice(a, b - a))
             held = rows.slice(cuts[-1])
         if held is not None and held.num_rows:
-            yield pairs_of(held)
+            yield from fn(held)
 
     by = ["key", "lo", "hi"]
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"u {kind}, v {kind}").distinct()
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def across(open_buckets: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int], bands: int) -> DataFrame:
+    """Links between different components that meet in a bucket; big buckets in pairs of blocks.
+
+    ``open_buckets``: key, n (rows of the bucket), rep, root. First the classes that have
+    a plausible pair are found by signature; their full sets then meet in the same
+    blocks, and only links that connect what a block had not yet connected are handed on.
+    """
+    placed = open_buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # block b meets every block, as the lower or the higher one of the pair
+    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "root"
+    )
+    kind = _kind(classes, "rep")
+    place = f"key long, lo int, hi int, block int, rep {kind}, root {kind}"
+    signatures = classes.select("rep", "sig")
+
+    def plausible_rows(rows: pa.Table):
+        wanted: set[int] = set()
+        for i, near in Block(rows, threshold, bands).pairs():
+            wanted.update(near, [i])
+        if wanted:
+            yield from rows.drop_columns(["sig"]).take(pa.array(sorted(wanted))).to_batches()
+
+    names = ["key", "lo", "hi", "block", "rep", "root"]
+    some = save(_in_blocks(dealt.join(signatures, "rep").select(*names, "sig"), plausible_rows, place), "open")
+    sets = sets_of(some.select("rep"), docs, id_col, text_col, size).toDF("rep", "items").dropDuplicates(["rep"])
+
+    def links(rows: pa.Table):
+        block, items = Block(rows, threshold, bands), rows.column("items").to_pylist()
+        parent = list(range(len(items)))
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        u, v = [], []
+        for i, near in block.pairs():
+            for j in near:
+                if root(i) != root(j) and _linked(items[i], items[j], threshold):
+                    parent[root(j)] = root(i)
+                    u.append(block.ids[i])
+                    v.append(block.ids[j])
+        if u:
+            type_ = rows.schema.field("rep").type
+            yield pa.RecordBatch.from_arrays([pa.array(u, type_), pa.array(v, type_)], names=["u", "v"])
+
+    return _in_blocks(some.join(signatures, "rep").join(sets, "rep").select(*names, "sig", "items"), links, f"u {kind}, v {kind}")
 
 
 def near_duplicates(
@@ -267,9 +326,9 @@ def near_duplicates(
 
     wide = shared.where("n > 2").join(roots, F.col("rep") == F.col("node"), "left").select("key", "n", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = wide.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    rest = save(across(wide.join(mixed, "key", "left_semi"), classes, threshold).join(stars, ["u", "v"], "left_anti"), "pairs")
+    rest = save(across(wide.join(mixed, "key", "left_semi"), classes, docs, id_col, text_col, size, threshold, bands), "links")
     if not rest.isEmpty():
-        roots = components(links.union(verified(rest, docs, id_col, text_col, size, threshold)))
+        roots = components(links.union(rest))
 
     joined = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left")
     named = joined.select(F.col("digest").alias("_digest"), F.coalesce("root", "rep").alias("_root"))
