@@ -8,8 +8,41 @@ something.
 
 from __future__ import annotations
 
-from trialspark.functions.geometry import POSITION_DEGREES
-from trialspark.functions.student_t import TABLE_DF, Z975, expansion_terms, quantile
+import math
+from functools import cache
+
+import numpy as np
+
+# Angles of the ten display positions.
+DEGREES = "30 60 90 120 150 210 240 270 300 330".split()
+# Up to this many degrees of freedom t quantiles are listed; above, a polynomial in 1 / df passes through exact values.
+LISTED = 40
+
+
+NODES = np.polynomial.legendre.leggauss(80)
+
+
+def between(t: float, df: float) -> float:
+    """P(0 < T < t) by Gauss-Legendre quadrature of the density."""
+    x, w = NODES
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    return scale * t / 2 * float(w @ (1 + (t / 2 * (x + 1)) ** 2 / df) ** (-(df + 1) / 2))
+
+
+def t_quantile(df: float) -> float:
+    low, high = 1.9, 13.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if between(middle, df) < 0.475 else (low, middle)
+    return (low + high) / 2
+
+
+@cache
+def t_tables() -> tuple[list[float], list[float]]:
+    nodes = [2 * LISTED / (1 + math.cos((k + 0.5) * math.pi / 9)) for k in range(9)]  # Chebyshev points of 1 / df
+    fit = np.polynomial.Polynomial.fit([1 / n for n in nodes], [t_quantile(n) for n in nodes], len(nodes) - 1).convert().coef
+    return [t_quantile(i) for i in range(1, LISTED + 1)], fit.tolist()
+
 
 # ---- building blocks: name -> (names it needs, body) ----
 
@@ -73,7 +106,7 @@ block("sc", "fx")(
 )
 block("items")(
     "SELECT pos, 6 * cos(radians(deg)) AS x, 6 * sin(radians(deg)) AS y FROM (VALUES "
-    + ", ".join(f"({i}, {d})" for i, d in enumerate(POSITION_DEGREES, 1))
+    + ", ".join(f"({i}, {d})" for i, d in enumerate(DEGREES, 1))
     + ") v(pos, deg)"
 )
 block("gd", "fx", "items")(
@@ -203,9 +236,10 @@ def rnd(expr: str, name: str) -> str:
 
 
 def t_sql(df: str) -> str:
-    table = ", ".join(f"{quantile(i)!r}::DOUBLE" for i in range(1, TABLE_DF + 1))
-    tail = " + ".join([repr(Z975), *[f"{g!r} / ({df})::DOUBLE ** {k}" for k, g in enumerate(expansion_terms(), 1)]])
-    return f"CASE WHEN {df} > {TABLE_DF} THEN {tail} WHEN {df} >= 1 THEN ([{table}])[{df}] END"
+    listed, fit = t_tables()
+    table = ", ".join(f"{t!r}::DOUBLE" for t in listed)
+    tail = " + ".join(f"{c!r}::DOUBLE / ({df})::DOUBLE ** {k}" for k, c in enumerate(fit))
+    return f"CASE WHEN {df} > {LISTED} THEN {tail} WHEN {df} >= 1 THEN ([{table}])[{df}] END"
 
 
 def within(cells: str, by: str, measures: dict[str, str], subject: str = "participant") -> str:
@@ -226,16 +260,25 @@ def within(cells: str, by: str, measures: dict[str, str], subject: str = "partic
 
 Q: dict[str, str] = {}
 
+ORI = ("ori10", "ori11", "ori12", "ori13", "ori14", "ori16", "ori17", "ori18", "ori19", "ori20")
+ORIENTATIONS = ", ".join(
+    f"CASE {i} WHEN tar1_pos THEN 12 WHEN tar2_pos THEN -168"
+    f" WHEN dist_pos THEN CASE WHEN tno % 2 = 0 THEN 90 ELSE 270 END ELSE 0 END::DOUBLE AS {c}"
+    for i, c in enumerate(ORI, 1)
+)
+
 # ---- sources and shape ----
 Q["load_trials"] = statement(
     f"""SELECT participant, CASE WHEN tno <> 0 THEN tno END AS trials_thisN,
-        CASE WHEN tno = 0 THEN tno END AS practice_trials_thisRepN, dist_freq, logged AS response, response_corr,
-        {rnd('response_rt', 'response_rt')} FROM log""",
+        CASE WHEN tno = 0 THEN tno END AS practice_trials_thisRepN, {ORIENTATIONS}, dist_freq, logged AS response,
+        response_corr, {rnd('response_rt', 'response_rt')} FROM log""",
     "log",
 )
 Q["load_fixations"] = statement(
     f"""SELECT participant, tno, fix_count, cat, {rnd('start_time', 'start_time')}, {rnd('duration', 'duration')},
-        raw_response AS response, dist_region FROM fx""",
+        {rnd('gx', 'average_gaze_x')}, {rnd('gy', 'average_gaze_y')}, CAST(tar1_pos AS INT) AS tar1_pos,
+        CAST(tar2_pos AS INT) AS tar2_pos, dist_pos, dist_freq, dist_region, raw_response AS response, response_corr,
+        {rnd('response_rt', 'response_rt')} FROM fx""",
     "fx",
 )
 Q["load_saccades"] = statement(
@@ -257,15 +300,8 @@ Q["schema_diff"] = """
          lacking AS (SELECT field, user_id FROM fields CROSS JOIN everyone EXCEPT SELECT field, user_id FROM p)
     SELECT field, count(*) AS n_sources FROM p WHERE field IN (SELECT field FROM lacking) GROUP BY field
 """
-ORI = ("ori10", "ori11", "ori12", "ori13", "ori14", "ori16", "ori17", "ori18", "ori19", "ori20")
 Q["pivot_roundtrip"] = statement(
-    "SELECT participant, tno, "
-    + ", ".join(
-        f"CASE {i} WHEN tar1_pos THEN 12 WHEN tar2_pos THEN -168"
-        f" WHEN dist_pos THEN CASE WHEN tno % 2 = 0 THEN 90 ELSE 270 END ELSE 0 END::DOUBLE AS {c}"
-        for i, c in enumerate(ORI, 1)
-    )
-    + " FROM tr",
+    f"SELECT participant, tno, {ORIENTATIONS} FROM tr",
     "tr",
 )
 
@@ -349,11 +385,11 @@ Q["gaze_distance"] = statement(
 Q["fix_class"] = statement("SELECT participant, tno, fix_count, fix_type, tar_fixed FROM cl", "cl")
 Q["aoi_outline"] = statement(
     f"""SELECT participant, tno, item, CAST(i AS INT) AS point,
-        {rnd('x + 3 * cos(i * pi() / 6)', 'outline_x')}, {rnd('y + 3 * sin(i * pi() / 6)', 'outline_y')}
+        {rnd('x + 3 * cos(i * 2 * pi() / 99)', 'outline_x')}, {rnd('y + 3 * sin(i * 2 * pi() / 99)', 'outline_y')}
         FROM (SELECT participant, tno, 'tar1_pos' AS item, tar1_pos AS pos FROM tr
               UNION ALL SELECT participant, tno, 'tar2_pos', tar2_pos FROM tr
               UNION ALL SELECT participant, tno, 'dist_pos', dist_pos FROM tr) a
-        JOIN items USING (pos), range(13) r(i)""",
+        JOIN items USING (pos), range(100) r(i)""",
     "tr",
     "items",
 )
@@ -385,7 +421,7 @@ Q["trial_markers"] = statement(
     "cl", "m2", "m4", "m5", "m6",
 )
 Q["dist_phase"] = statement(
-    "SELECT participant, tno, fix_count, dfix_type FROM mk WHERE dfix_type IS NOT NULL", "mk"
+    "SELECT participant, tno, fix_count, dfix_type FROM mk", "mk"
 )
 Q["first_fix_share"] = statement(
     f"""SELECT dist_region, response, fix_type, {SHARE.format(panel='dist_region, response')}
@@ -528,9 +564,18 @@ for kind, lead in LEAD.items():
         "sc", "m2", "m5",
     )
 Q["sacc_first_search"] = statement(
-    f"""SELECT participant, tno, marker, first_search, {rnd('latency', 'latency')}
-        FROM ({LEAD['Target']}) x NATURAL FULL JOIN m6""",
-    "sc", "m2", "m6",
+    " UNION ALL ".join(
+        f"""SELECT participant, tno, '{kind}' AS kind, marker, first_search, {rnd('latency', 'latency')}
+            FROM ({lead}) x NATURAL FULL JOIN m6"""
+        for kind, lead in LEAD.items()
+    ),
+    "sc", "m2", "m5", "m6",
+)
+Q["enrich_saccades"] = statement(
+    f"""SELECT participant, tno, cat, {rnd('start_time', 'start_time')}, dist_rep
+        FROM sc FULL JOIN (SELECT participant, tno, dist_rep FROM rep) r USING (participant, tno)""",
+    "sc",
+    "rep",
 )
 Q["sacc_latency_all"] = statement(
     " UNION ALL ".join(

@@ -137,7 +137,7 @@ def brute_phases(text):
     return out
 
 
-@pytest.mark.parametrize("split", [{}, {"split_rows": 0}, {"split_rows": 4}, {"split_rows": 0, "max_heavy": 3}])
+@pytest.mark.parametrize("split", [{}, {"split_rows": 0}, {"split_rows": 4}])
 def test_phases_and_flags_for_any_split(spark, split):
     rnd = random.Random(11)
     trials = {i: " ".join(rnd.choices(["1", "2", "d", "-"], k=rnd.randint(1, 9))) for i in range(60)}
@@ -162,7 +162,7 @@ def test_phases_and_flags_for_any_split(spark, split):
 # ---- joins ----
 
 
-@pytest.mark.parametrize("split", [{}, {"split_rows": 0}, {"split_rows": 5}, {"split_rows": 0, "max_heavy": 2}])
+@pytest.mark.parametrize("split", [{}, {"split_rows": 0}, {"split_rows": 5}])
 def test_full_join_for_any_split(spark, split):
     fx = [("p", t, i) for t in (1, 2, 3, 9) for i in range(t * 3)]
     tr = [("p", t, f"r{t}") for t in (1, 2, 3, 4, 5)]
@@ -177,6 +177,33 @@ def test_full_join_for_any_split(spark, split):
     assert sorted(map(tuple, out.collect()), key=key) == sorted(expected, key=key)
 
 
+def test_heavy_trials_are_not_capped(spark):
+    """Every trial above both limits is split, however many there are."""
+    ev = spark.range(24_000).selectExpr("'p' AS participant", "CAST(id % 3000 AS INT) AS tno", "id AS fix_count")
+    side = attach.row_counts(ev, name="n").selectExpr("*", "tno AS v")
+    out = attach.attach(ev, side, "n", split_rows=4, keep_lane=True)
+    assert out.where("_lane = 0").count() == 0 and out.where("v = tno").count() == 24_000
+
+
+def test_share_limits_the_heavy_trials(spark, monkeypatch):
+    monkeypatch.setattr(attach, "HEAVY_KEYS", 3)
+    ev = spark.range(100).selectExpr("'p' AS participant", "CAST(if(id < 60, 0, id) AS INT) AS tno", "id AS fix_count")
+    out = attach.attach(ev, attach.row_counts(ev, name="n").selectExpr("*", "1 AS v"), "n", split_rows=0, keep_lane=True)
+    assert {r["tno"] for r in out.where("_lane > 0").collect()} == {0}
+
+
+def test_attributes_must_be_constant(spark):
+    ev = events(spark, {1: "1 d 2"}).selectExpr("* EXCEPT (response)", "CASE WHEN fix_count < 3 THEN 'Go' END AS response")
+    with pytest.raises(Exception, match="attributes differ"):
+        markers.trial_markers(ev).collect()
+
+
+def test_every_event_is_labelled(spark):
+    ev = events(spark, {1: "- d 1 d - 2 d", 2: "-"})
+    got = {(r["tno"], r["fix_count"]): r["dfix_type"] for r in phases.label_phases(ev, markers.trial_markers(ev)).collect()}
+    assert len(got) == 8 and {k: v for k, v in got.items() if v} == {(1, 2): "Before", (1, 4): "Between", (1, 7): "After"}
+
+
 def test_weight_only_steers_movement(spark):
     ev = spark.createDataFrame([("p", 1, i) for i in range(10)], "participant string, tno int, i int")
     for weight in (None, 0, 5, 10**12):

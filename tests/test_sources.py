@@ -59,6 +59,52 @@ def test_other_drift_raises(spark, tmp_path):
         trial_logs.read_trial_logs(spark, [path], schemas.DRIFT_EXP1)
 
 
+def test_every_listed_file_has_a_header(spark, tmp_path):
+    renamed = ["subject" if c == "participant" else c for c in BASE]
+    good = write(tmp_path / "a.csv", BASE, [log_row("a", 1, BASE), log_row("a", 2, BASE)])
+    bad = write(tmp_path / "b.csv", renamed, [log_row("b", 1, renamed)])
+    with pytest.raises(ValueError, match="participant|subject"):
+        trial_logs.read_trial_logs(spark, [good, bad], schemas.DRIFT_EXP1)
+    headless = write(tmp_path / "c.csv", log_row("c", 1, BASE), [log_row("c", 2, BASE)])
+    with pytest.raises(Exception):  # noqa: B017  its cells are not the columns of the other files
+        trial_logs.read_trial_logs(spark, [good, headless], schemas.DRIFT_EXP1)
+    (tmp_path / "d.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        trial_logs.read_trial_logs(spark, [good, str(tmp_path / "d.csv")], schemas.DRIFT_EXP1)
+
+
+def test_cells_like_headers_and_byte_order_marks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    write(path, BASE, [log_row("participant", 1, BASE), log_row("b", 2, BASE)])
+    path.write_bytes(b"\xef\xbb\xbf" + path.read_bytes())
+    other = write(tmp_path / "b.csv", BASE, [log_row("participant", 3, BASE)])
+    got = trial_logs.read_trial_logs(spark, [str(path), other], schemas.DRIFT_EXP1).collect()
+    assert sorted((r["participant"], r["trials_thisN"]) for r in got) == [("b", 2), ("participant", 1), ("participant", 3)]
+
+
+def test_a_header_in_the_middle_raises(spark, tmp_path):
+    path = write(tmp_path / "a.csv", BASE, [log_row("a", 1, BASE), BASE])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        trial_logs.read_trial_logs(spark, [path], schemas.DRIFT_EXP1).collect()
+
+
+def test_schema_diff_of_files(spark, tmp_path, rows):
+    paths = [write(tmp_path / f"{i}.csv", list(h), [list(h)]) for i, h in enumerate(("ab", "ac", "abc"))]
+    assert rows(trial_logs.schema_diff_files(spark, paths), "field", "n_sources") == [("b", 2), ("c", 2)]
+    assert trial_logs.schema_diff_files(spark, []).count() == 0
+
+
+def test_event_keys_are_checked_on_read(spark, tmp_path):
+    path = str(tmp_path / "fx")
+    df = spark.createDataFrame([("p", 1, 1), ("p", 1, 2)], "participant string, tno int, fix_count int")
+    df.write.parquet(path)
+    assert trial_logs.read_events(spark, path, trial_logs.EVENT_KEY).count() == 2
+    with pytest.raises(ValueError, match="repeated"):
+        trial_logs.validated(df.union(df.limit(1)))
+    with pytest.raises(ValueError, match="missing"):
+        trial_logs.validated(df.union(spark.createDataFrame([("p", None, 3)], df.schema)))
+
+
 def test_union_filled(spark, rows):
     ab = spark.createDataFrame([(1, 2)], "a int, b int")
     ac = spark.createDataFrame([(3, 4)], "a int, c int")
@@ -83,6 +129,9 @@ def test_summary_csv(spark, tmp_path, rows):
     assert rows(got) == [("Absent", "Absent", 1076.4929091544, 12.49, 26.8, "exp1")]
     out = str(tmp_path / "out")
     trial_logs.write_summary(got.drop("experiment"), out)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        trial_logs.write_summary(got.drop("experiment"), out)
+    trial_logs.write_summary(got.drop("experiment"), out, mode="overwrite", files=None)
     assert rows(trial_logs.read_summary(spark, out, "exp1")) == rows(got)
 
 

@@ -24,17 +24,22 @@ def literals(values: Iterable) -> str:
     return ", ".join(literal(v) for v in values)
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def add(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Append computed columns; one may use those listed before it."""
-    return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()])
+    return df.selectExpr("*", *[f"{sql} AS {quoted(name)}" for name, sql in columns.items()])
 
 
 def drop(df: DataFrame, *names: str) -> DataFrame:
-    return df.selectExpr(f"* EXCEPT ({', '.join(names)})")
+    return df.selectExpr(f"* EXCEPT ({', '.join(map(quoted, names))})")
 
 
 def aggregates(columns: Mapping[str, str]) -> list[Column]:
-    return [F.expr(f"{sql} AS {name}") for name, sql in columns.items()]
+    return [F.expr(f"{sql} AS {quoted(name)}") for name, sql in columns.items()]
 
 
 def compute_once(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:

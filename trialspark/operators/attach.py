@@ -1,13 +1,13 @@
 """Put per-trial values on event rows, safe for trials of any size.
 
 The event side is the large one and a single trial may hold a big part of it.
-Trials above ``SPLIT_ROWS`` events are found in the per-trial table (which
-already carries a row count, so no extra pass over the events is needed), at
-most ``MAX_HEAVY`` of them are broadcast, and their events take the values from
-that broadcast. They still pass the shuffled join, but under a lane number that
-matches no trial, so they spread evenly instead of meeting in one task. If more
-than ``MAX_HEAVY`` trials are above the limit, the remaining ones are joined the
-ordinary way; each of them then holds less than 1/MAX_HEAVY of all rows.
+Trials with more than ``SPLIT_ROWS`` events and more than 1 / ``HEAVY_KEYS`` of all
+events are found in the per-trial table (which already carries a row count, so no
+extra pass over the events is needed). There are less than ``HEAVY_KEYS`` of them
+by arithmetic, so they can be broadcast; their events take the values from that
+broadcast. They still pass the shuffled join, but under a lane number that matches
+no trial, so they spread evenly instead of meeting in one task. Any other trial is
+below the limit, or a fair share of a large shuffle.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sql import add, aggregates, compute_once, drop
+from ..functions.sql import add, aggregates, compute_once, drop, quoted
 
 TRIAL = ("participant", "tno")
 SPLIT_ROWS = 2_000_000
-MAX_HEAVY = 1_000
+HEAVY_KEYS = 100_000
 LANES = 8_192
 
 
@@ -35,60 +35,53 @@ def attach(
     per_trial: DataFrame,
     weight: str,
     on: Sequence[str] = TRIAL,
-    how: str = "left",
     keep_lane: bool = False,
     split_rows: int | None = None,
-    max_heavy: int | None = None,
 ) -> DataFrame:
-    """Left or full join of events to a table that is unique on ``on``.
+    """Left join of events to a table that is unique on ``on``.
 
     ``weight`` names a ``per_trial`` column with the number of events of that
     trial (or an upper bound of it). It steers only the data movement: any value
-    gives the same event rows. It is not part of the result. A full join also
-    returns the trials that matched no event; a heavy trial counts as one of them.
+    gives the same event rows. It is not part of the result.
     ``keep_lane`` keeps the column ``_lane``: rows that agree on it and on ``on``
     are few and already in one partition, so they can be reduced first.
     """
     on = list(on)
     split_rows = SPLIT_ROWS if split_rows is None else split_rows
-    max_heavy = MAX_HEAVY if max_heavy is None else max_heavy
     own = events.columns
     added = [c for c in per_trial.columns if c not in on and c != weight]
-    if how == "left":
-        # a NULL key matches nothing; said here for both uses of the table, so
-        # that they plan the same and its shuffle runs once
-        per_trial = per_trial.where(" AND ".join(f"{c} IS NOT NULL" for c in on))
-
-    heavy = (
-        per_trial.where(f"{weight} > {split_rows}")
-        .orderBy(F.desc(weight), *on)
-        .limit(max_heavy)
-        .selectExpr(*on, "true AS _is_heavy", *[f"{c} AS _heavy_{c}" for c in added])
-    )
-    spread = f"pmod(xxhash64({', '.join(own)}), {LANES}) + 1"
+    # a NULL key matches nothing; said here for both uses of the table, so
+    # that they plan the same and its shuffle runs once
+    per_trial = per_trial.where(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in on))
+
+    # the total names all columns, so that it too plans as the other uses do and reads their shuffle
+    used = ", ".join(map(quoted, [*on, *added]))
+    share = per_trial.agg(F.expr(f"(sum({quoted(weight)}) + 0 * max(xxhash64({used}))) / {HEAVY_KEYS}")).scalar()
+    values = [quoted(c) for c in on], [f"{quoted(c)} AS {quoted('_heavy_' + c)}" for c in added]
+    heavy = per_trial.where((F.col(weight) > split_rows) & (F.col(weight) > F.coalesce(share, F.lit(0)))).selectExpr(*values[0], "true AS _is_heavy", *values[1])
+    spread = f"pmod(xxhash64({', '.join(map(quoted, own))}), {LANES}) + 1"
     tagged = add(
         events.join(F.broadcast(heavy), on, "left"), {"_lane": f"CASE WHEN _is_heavy THEN {spread} ELSE 0L END"}
     )
     # 0 for every trial; written so that the optimizer keeps the lane as a join
     # key instead of folding it into a filter
-    keyed = per_trial.selectExpr(*on, *added, f"least(coalesce({weight}, 0L), 0L) AS _lane")
-    joined = tagged.join(keyed, [*on, "_lane"], how)
-    values = [f"CASE WHEN _is_heavy THEN _heavy_{c} ELSE {c} END AS {c}" for c in added]
-    return joined.selectExpr(*own, *values, *(["_lane"] if keep_lane else []))
+    keyed = per_trial.selectExpr(*values[0], *map(quoted, added), f"least(coalesce({quoted(weight)}, 0L), 0L) AS _lane")
+    joined = tagged.join(keyed, [*on, "_lane"], "left")
+    picked = [f"CASE WHEN _is_heavy THEN {quoted('_heavy_' + c)} ELSE {quoted(c)} END AS {quoted(c)}" for c in added]
+    return joined.selectExpr(*map(quoted, own), *picked, *(["_lane"] if keep_lane else []))
 
 
 def enrich_full(events: DataFrame, trials: DataFrame, on: Sequence[str] = TRIAL, **split) -> DataFrame:
-    """Full outer join of events to trials: keeps events without a trial and trials without events.
+    """Events with the values of their trial, and trials without events.
 
-    Trials that matched nothing only because they are heavy are told apart by
-    their event count.
+    The rows of a full outer join, but no event row passes one: events are joined
+    from the left, and the trials that have none are told by their count.
     """
     sized = trials.join(row_counts(events, on, "_found"), list(on), "left")
-    # the count passes through compute_once so that the search for heavy trials
-    # does not turn its copy of this join into another join
-    sized = drop(compute_once(sized, {"_n": "coalesce(_found, 0L)", "_rows": "coalesce(_found, 0L)"}), "_found")
-    joined = attach(add(events, {"_event": "true"}), sized, "_n", on, "full", **split)
-    return drop(joined.where("_event OR _rows = 0"), "_event", "_rows")
+    sized = drop(compute_once(sized, {"_n": "coalesce(_found, 0L)"}), "_found")
+    joined = attach(events, sized, "_n", on, **split)
+    alone = drop(sized.where("_n = 0"), "_n")
+    return joined.unionByName(alone, allowMissingColumns=True)
 
 
 def natural_full(left: DataFrame, right: DataFrame) -> DataFrame:

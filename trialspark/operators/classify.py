@@ -11,6 +11,7 @@ from ..functions.nulls import ifelse3
 from ..functions.sql import add, compute_once, drop, literal
 
 # rank order used where the class is carried as an integer
+# Labels of the result.
 EVENT_CLASSES = ("Distractor", "Target", "Other", "Fixation")
 DISTANCES = ("tar1_dist", "tar2_dist", "dist_dist", "fix_dist")
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.sql import add, aggregates
+from ..functions.sql import add, aggregates, quoted
 from ..functions.student_t import t975
 
 
@@ -26,42 +26,44 @@ def within_error(
     means and centred variances follow exactly from the cells. No window sees raw
     rows, so a subject with most of the data is no bottleneck.
     """
-    by = list(by)
-    values = df.selectExpr(*by, subject, *[f"CAST({sql} AS DOUBLE) AS _v_{k}" for k, sql in measures.items()])
+    by, own_key = [quoted(c) for c in by], quoted(subject)
+    # inside, measures are numbered; their names appear at the end only
+    values = df.selectExpr(*by, own_key, *[f"CAST({sql} AS DOUBLE) AS _v{i}" for i, sql in enumerate(measures.values())])
 
     parts = {"_n": "count(1)"}
-    for k in measures:
-        parts[f"_mean_{k}"] = f"CASE WHEN count(_v_{k}) = count(1) THEN avg(_v_{k}) END"
-        parts[f"_dev_{k}"] = f"CASE WHEN count(_v_{k}) = count(1) THEN var_pop(_v_{k}) * count(1) END"
-    cells = values.groupBy(*by, subject).agg(*aggregates(parts))
+    for i in range(len(measures)):
+        parts[f"_mean{i}"] = f"CASE WHEN count(_v{i}) = count(1) THEN avg(_v{i}) END"
+        parts[f"_dev{i}"] = f"CASE WHEN count(_v{i}) = count(1) THEN var_pop(_v{i}) * count(1) END"
+    cells = values.groupBy(*by, own_key).agg(*aggregates(parts))
 
-    own = f"OVER (PARTITION BY {subject})"
+    own = f"OVER (PARTITION BY {own_key})"
     centred = {
-        f"_c_{k}": f"_mean_{k} - CASE WHEN count(_mean_{k}) {own} = count(1) {own} "
-        f"THEN sum(_n * _mean_{k}) {own} / sum(_n) {own} END"
-        for k in measures
+        f"_c{i}": f"_mean{i} - CASE WHEN count(_mean{i}) {own} = count(1) {own} "
+        f"THEN sum(_n * _mean{i}) {own} / sum(_n) {own} END"
+        for i in range(len(measures))
     }
     cells = add(cells, centred)
 
     out = {"n": "sum(_n)"}
-    for k in measures:
-        out[f"m_{k}"] = f"CASE WHEN count(_mean_{k}) = count(1) THEN sum(_n * _mean_{k}) / sum(_n) END"
-        squares = f"sum(_dev_{k} + _n * _c_{k} * _c_{k}) - power(sum(_n * _c_{k}), 2) / sum(_n)"
-        out[f"_ss_{k}"] = f"CASE WHEN count(_c_{k}) = count(1) THEN greatest({squares}, 0D) END"
+    for i in range(len(measures)):
+        out[f"_m{i}"] = f"CASE WHEN count(_mean{i}) = count(1) THEN sum(_n * _mean{i}) / sum(_n) END"
+        squares = f"sum(_dev{i} + _n * _c{i} * _c{i}) - power(sum(_n * _c{i}), 2) / sum(_n)"
+        out[f"_ss{i}"] = f"CASE WHEN count(_c{i}) = count(1) THEN greatest({squares}, 0D) END"
     summary = cells.groupBy(*by).agg(*aggregates(out))
 
     final = []
-    for k in measures:
+    for i, k in enumerate(measures):
         # sd / sqrt(n - 1) with sd = sqrt(ss / (n - 1))
-        se = f"try_divide(sqrt(_ss_{k}), n - 1)"
-        final += [f"m_{k}", f"{se} AS se_{k}", f"{se} * ({t975('(n - 1)')}) AS ci_{k}"]
+        se = f"try_divide(sqrt(_ss{i}), n - 1)"
+        names = [quoted(f"{s}_{k}") for s in ("m", "se", "ci")]
+        final += [f"_m{i} AS {names[0]}", f"{se} AS {names[1]}", f"{se} * ({t975('(n - 1)')}) AS {names[2]}"]
     return summary.selectExpr(*by, "n", *final)
 
 
 def between_error(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Mean and sd / sqrt(n - 1) of the raw values; NULL for a single row."""
     known = f"count({value}) = count(1)"
-    return df.groupBy(*by).agg(
+    return df.groupBy(*map(quoted, by)).agg(
         *aggregates(
             {
                 "n": "count(1)",

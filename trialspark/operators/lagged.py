@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.sql import add, drop
+from ..functions.sql import add, drop, quoted
 
 BLOCK = 65_536
 
@@ -25,21 +25,21 @@ def previous_value(
     into blocks of consecutive ``order`` values and lagged inside them; only the
     first row of each block then looks up the last value of the block before it.
     With ``order`` a 32-bit integer that is unique within the group, no window
-    sees more than ``block`` rows of a block or 2^32 / ``block`` first rows. Both
-    parts read the same shuffle.
+    sees more than ``block`` rows of a block or 2^32 / ``block`` first rows.
     """
-    keys = ", ".join(by)
-    block_of = f"PARTITION BY {keys}, _block ORDER BY {order}"
+    keys = ", ".join(map(quoted, by))
+    at = quoted(order)
+    block_of = f"PARTITION BY {keys}, _block ORDER BY {at}"
     whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
     blocked = add(
-        add(df, {"_block": f"floor({order} / {block})"}),
+        add(df, {"_block": f"floor({at} / {block})"}),
         {
-            name: f"lag({value}) OVER ({block_of})",
-            "_starts": f"lag({order}) OVER ({block_of}) IS NULL",
-            "_tail": f"last_value({value}) OVER ({block_of} {whole})",
+            "_inside": f"lag({quoted(value)}) OVER ({block_of})",
+            "_starts": f"lag({at}) OVER ({block_of}) IS NULL",
+            "_tail": f"last_value({quoted(value)}) OVER ({block_of} {whole})",
         },
     )
-    inside = drop(blocked.where("NOT _starts"), "_block", "_starts", "_tail")
-    firsts = drop(blocked.where("_starts"), name)
-    carried = add(firsts, {name: f"lag(_tail) OVER (PARTITION BY {keys} ORDER BY _block)"})
-    return inside.unionByName(drop(carried, "_block", "_starts", "_tail"))
+    # the first rows of all blocks of a group meet under the block NULL
+    firsts = f"PARTITION BY {keys}, CASE WHEN NOT _starts THEN _block END ORDER BY _block"
+    carried = add(blocked, {"_carried": f"lag(_tail) OVER ({firsts})"})
+    return drop(add(carried, {name: "CASE WHEN _starts THEN _carried ELSE _inside END"}), "_block", "_inside", "_starts", "_tail", "_carried")

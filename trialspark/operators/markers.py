@@ -17,6 +17,7 @@ from ..functions.sql import add, aggregates, drop
 from .attach import TRIAL
 from .classify import EVENT_CLASSES
 
+# Labels of the visit patterns.
 PATTERNS = ("No fix.", "Single tar. fix.", "Both fix.", "Refixation")
 TRIAL_ATTRIBUTES = ("dist_region", "response", "response_corr")
 
@@ -37,9 +38,10 @@ def visit_pattern(first1: str, last1: str, first2: str, last2: str) -> str:
 def trial_markers(events: DataFrame, attributes: Sequence[str] = TRIAL_ATTRIBUTES) -> DataFrame:
     """One row per trial from classified events.
 
-    ``attributes`` are columns that are constant within a trial; they are grouping
-    columns so that the aggregation buffer stays numeric. ``fix_count`` must be
-    unique within a trial.
+    ``attributes`` are columns that are constant within a trial. They are grouping
+    columns so that the aggregation buffer stays numeric; a trial in which they
+    differ comes out as two rows, and that raises. ``fix_count`` must be unique
+    within a trial, which ``sources.trial_logs.validated`` checks.
     """
     search = "cat = 'Search'"
     on_target = f"{search} AND fix_type = 'Target'"
@@ -84,6 +86,9 @@ def trial_markers(events: DataFrame, attributes: Sequence[str] = TRIAL_ATTRIBUTE
         )
     )
 
+    alone = f"count(1) OVER (PARTITION BY {', '.join(TRIAL)}) = 1"
+    grouped = drop(add(grouped, {"_alone": alone}).where("CASE WHEN _alone THEN true ELSE raise_error('attributes differ within a trial') END"), "_alone")
+
     # the first visit to "the other" target is the later of the two first visits
     def other(one: str, two: str) -> str:
         return f"CASE first_target WHEN _first1 THEN {two} WHEN _first2 THEN {one} END"

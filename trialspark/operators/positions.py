@@ -20,6 +20,7 @@ TARGET_ORIENTATIONS = (12.0, -12.0, 168.0, -168.0)
 DISTRACTOR_ORIENTATIONS = (270.0, 90.0)
 HALF = 5
 
+# Labels of the result.
 REGIONS = ("Absent", "Freq.", "Rare")
 
 

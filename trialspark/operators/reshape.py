@@ -19,7 +19,7 @@ def to_wide(df: DataFrame, ids: Sequence[str], name: str, values: Sequence[str],
     Conditional aggregates: one shuffle, with the rows of a group merged before
     it, where a pivot would group twice.
     """
-    picked = {f"`{v}`": f"max(CASE WHEN {name} = {literal(v)} THEN {value} END)" for v in values}
+    picked = {v: f"max(CASE WHEN {name} = {literal(v)} THEN {value} END)" for v in values}
     return df.groupBy(*ids).agg(*aggregates(picked))
 
 

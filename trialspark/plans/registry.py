@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.categories import rank_of
 from ..functions.geometry import AOI_RADIUS, item_x, item_y
-from ..functions.sql import add, aggregates
+from ..functions.sql import add, aggregates, literal
 from ..operators import attach as at
 from ..operators import classify as cl
 from ..operators import drift, errors, exclude, phases, positions, reshape, summarize, trial_log
@@ -52,14 +52,12 @@ def _repeat_trials(spark: SparkSession, d: str) -> DataFrame:
 @query
 def load_trials(spark, d):
     """Declared schema, plain column names, one response column."""
-    log = tables.load_trial_log(spark, d)
-    return log.select("participant", "trials_thisN", "practice_trials_thisRepN", "dist_freq", "response", "response_corr", "response_rt")
+    return tables.load_trial_log(spark, d)
 
 
 @query
 def load_fixations(spark, d):
-    fx = tables.load_fixations(spark, d, relabel=False)
-    return fx.select("participant", "tno", "fix_count", "cat", "start_time", "duration", "response", "dist_region")
+    return tables.load_fixations(spark, d, relabel=False)
 
 
 @query
@@ -211,7 +209,7 @@ def aoi_outline(spark, d):
     layout = long.where("pos > 0").selectExpr(
         "participant", "tno", "item", f"{item_x('pos')} AS x", f"{item_y('pos')} AS y", f"{AOI_RADIUS}D AS radius"
     )
-    points = cl.circle_outline(layout, "x", "y", "radius", npoints=13)
+    points = cl.circle_outline(layout, "x", "y", "radius")
     return points.select("participant", "tno", "item", "point", "outline_x", "outline_y")
 
 
@@ -248,8 +246,7 @@ def trial_markers(spark, d):
 @query
 def dist_phase(spark, d):
     events = cl.classify(tables.load_fixations(spark, d))
-    labelled = phases.distractor_phases(events, gaze.trial_markers(events))
-    return labelled.select("participant", "tno", "fix_count", "dfix_type")
+    return phases.label_phases(events, gaze.trial_markers(events)).select("participant", "tno", "fix_count", "dfix_type")
 
 
 @query
@@ -339,9 +336,17 @@ def asof_distractor(spark, d):
 
 @query
 def sacc_first_search(spark, d):
-    """Natural full join of leading saccades with the first search event of every trial."""
-    rows = saccades.with_first_search(*_eye(spark, d), "Target")
-    return rows.select("participant", "tno", "marker", "first_search", "latency")
+    """Natural full join of leading saccades with the first search event of every trial, for both kinds of event."""
+    eye = _eye(spark, d)
+    parts = [add(saccades.with_first_search(*eye, kind), {"kind": literal(kind)}) for kind in saccades.MARKERS]
+    return parts[0].unionByName(parts[1]).select("participant", "tno", "kind", "marker", "first_search", "latency")
+
+
+@query
+def enrich_saccades(spark, d):
+    """Saccades with the repeat label of their trial, and trials without saccades."""
+    sc = tables.load_saccades(spark, d).select("participant", "tno", "cat", "start_time")
+    return at.enrich_full(sc, _repeat_trials(spark, d).select("participant", "tno", "dist_rep"))
 
 
 @query

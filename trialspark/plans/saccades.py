@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.sql import add, drop
 from ..operators.asof import last_before
-from ..operators.attach import TRIAL, natural_full
+from ..operators.attach import TRIAL, natural_full, row_counts
 from ..operators.errors import within_error
 from ..operators.exclude import keep_with_cells
 from ..operators.positions import REGIONS
@@ -26,12 +26,13 @@ def leading_saccades(saccades: DataFrame, markers: DataFrame, kinds: Sequence[st
     """Last saccade before the first event on a target / distractor, with its latency.
 
     The last saccade is found over all phases; the trial is dropped if that one
-    is not a search saccade. The trial's first search event comes along. Every
-    saccade ends in a fixation, so the fixation count of the markers bounds the
-    saccades of a trial.
+    is not a search saccade. The trial's first search event comes along. Heavy
+    trials are found by their own number of saccades.
     """
     points = {k: MARKERS[k] for k in kinds}
-    rows = last_before(saccades, markers, "start_time", points, weight="n_events", carry=["first_search"])
+    sized = markers.join(row_counts(saccades, TRIAL, "_found"), list(TRIAL), "left")
+    sized = add(sized, {"n_saccades": "coalesce(_found, 0L)"})
+    rows = last_before(saccades, sized, "start_time", points, weight="n_saccades", carry=["first_search"])
     return add(rows.where("cat = 'Search'"), {"latency": "(start_time - search_start_time) * 1000"})
 
 

@@ -41,7 +41,10 @@ def with_trial_ids(events: DataFrame) -> DataFrame:
             "_k": "TRY_CAST(substring_index(substring_index(props, ':', -1), '}', 1) AS INT)",
             "_pid": f"CAST(user_id % {PARTICIPANTS} AS INT)",
             "participant": f"CAST(user_id % {PARTICIPANTS} AS STRING)",
-            "tno": f"CAST(user_id div {PARTICIPANTS} * {BLOCKS} + _us div {BLOCK_MICROS} AS INT)",
+            # a time outside the month would take the number of another trial; a number
+            # that does not fit raises in the cast
+            "tno": f"CASE WHEN _us >= 0 AND _us < {BLOCKS * BLOCK_MICROS} THEN CAST(user_id div {PARTICIPANTS} * {BLOCKS}"
+            f" + _us div {BLOCK_MICROS} AS INT) WHEN _us IS NOT NULL THEN raise_error('event time outside the six blocks') END",
             "_seconds": f"_us % {BLOCK_MICROS} / {MICROS_PER_SECOND}",
         },
     )

@@ -5,16 +5,19 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Sequence
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sql import literal
+from ..functions.sql import literal, quoted
 from ..operators.attach import TRIAL, row_counts
-from ..operators.drift import union_filled
+from ..operators.drift import not_shared, union_filled
 from .schemas import RESPONSE_NAMES, SUMMARY, TRIAL_LOG
 
+EVENT_KEY = (*TRIAL, "fix_count")
+
 
 def plain(name: str) -> str:
     """Column name without dots, which Spark would read as field access."""
@@ -38,23 +41,44 @@ def declare(df: DataFrame, schema: T.StructType = TRIAL_LOG) -> DataFrame:
     return df.selectExpr(*declared, *others)
 
 
-def header_groups(spark: SparkSession, paths: Sequence[str], key: str = "participant") -> dict[tuple[str, ...], list[str]]:
-    """File paths by header, found in one distributed scan.
+def file_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Header of every listed file: its first line. A file without one raises.
 
-    CSV columns are bound by place, so files may be read together only if their
-    headers agree. What reaches the driver is one line per file, as many as the
-    driver lists for any read.
+    What reaches the driver is one line per file, as many as the driver lists for
+    any read.
     """
-    lines = spark.read.text(list(paths)).selectExpr("value", "_metadata.file_path AS path")
-    pattern = rf'(^|,)"?{key}"?(,|$)'
-    found = lines.where(F.col("value").rlike(pattern)).distinct().collect()
+    lines = spark.read.text(list(paths))
+
+    def place(uri: str) -> tuple[str, str]:
+        parts = urlsplit(uri)
+        return parts.netloc, unquote(parts.path)
+
+    numbered = lines.selectExpr(
+        "value", "_metadata.file_path AS path", "_metadata.file_block_start AS block", "monotonically_increasing_id() AS i"
+    )
+    first = numbered.where("block = 0").groupBy("path").agg(F.min_by("value", "i").alias("line")).collect()
+    headers = {r["path"]: tuple(next(csv.reader(io.StringIO(r["line"].removeprefix("\ufeff"))), ())) for r in first}
+    named = {place(path) for path, header in headers.items() if any(header)}
+    if lacking := sorted(f for f in lines.inputFiles() if place(f) not in named):
+        raise ValueError(f"no header in {lacking}")
+    return headers
+
+
+def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """File paths by header. CSV columns are bound by place, so only files with one header are read together."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for row in sorted(found, key=lambda r: r["path"]):
-        header = tuple(next(csv.reader(io.StringIO(row["value"]))))
-        groups.setdefault(header, []).append(row["path"])
+    for path, header in sorted(file_headers(spark, paths).items()):
+        groups.setdefault(header, []).append(path)
     return groups
 
 
+def schema_diff_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(field, n_sources): columns that not all listed files have; no paths give no rows."""
+    headers = file_headers(spark, paths) if paths else {}
+    pairs = [(path, field) for path, header in headers.items() for field in header]
+    return not_shared(spark.createDataFrame(pairs, "path string, field string"), "path", "field")
+
+
 def read_trial_logs(spark: SparkSession, paths: Sequence[str], fill: Sequence[str]) -> DataFrame:
     """Read trial logs by column name; only the ``fill`` columns may be absent from a file."""
     frames = []
@@ -65,19 +89,37 @@ def read_trial_logs(spark: SparkSession, paths: Sequence[str], fill: Sequence[st
     return declare(union_filled(frames, [plain(c) for c in fill]))
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Fixation or saccade table; only the columns a query uses are read."""
-    return spark.read.parquet(path)
+def read_events(spark: SparkSession, path: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """Fixation or saccade table; only the columns a query uses are read.
 
+    With ``keys`` the table is validated first, by one pass over these columns:
+    missing or repeated keys raise.
+    """
+    events = spark.read.parquet(path)
+    return validated(events, keys) if keys else events
+
+
+def validated(events: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
+    """The events, after a check that their keys are known and unique."""
+    unknown = events.where(" OR ".join(f"{quoted(k)} IS NULL" for k in keys))
+    for what, bad in (("missing", unknown.select(*map(quoted, keys))), ("repeated", duplicate_events(events, keys))):
+        if rows := bad.limit(3).collect():
+            raise ValueError(f"{what} event keys, such as {[r.asDict() for r in rows]}")
+    return events
 
-def duplicate_events(events: DataFrame, keys: Sequence[str] = (*TRIAL, "fix_count")) -> DataFrame:
+
+def duplicate_events(events: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
     """Key values that occur more than once; must be empty before markers are built."""
     return row_counts(events, keys, "n").where("n > 1")
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    """Write one small condition table as CSV; anything larger belongs in Parquet."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_summary(df: DataFrame, path: str, mode: str = "error", files: int | None = 1) -> None:
+    """Write a condition table as CSV.
+
+    ``files``: how many tasks and files; None keeps the partitions of ``df`` for a
+    table that is too large for one task. ``mode`` as in ``DataFrameWriter``.
+    """
+    (df.coalesce(files) if files else df).write.mode(mode).csv(path, header=True)
 
 
 def read_summary(spark: SparkSession, path: str, experiment: str) -> DataFrame:
