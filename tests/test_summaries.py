@@ -6,6 +6,7 @@ import pytest
 
 from trialspark.functions.student_t import quantile
 from trialspark.operators import errors, exclude, summarize
+from trialspark.plans import behaviour
 
 
 def within_by_hand(data):
@@ -100,3 +101,23 @@ def test_completeness_rules(spark):
     assert who(exclude.drop_participants(df, exclude.participants_missing(df, ["v"]))) == ["a", "b", "d"]
     assert who(exclude.drop_with_missing(df, ["v", "region"])) == ["a", "b"]
     assert exclude.keep_with_cells(df, need).columns == df.columns
+
+
+def test_logs_of_two_experiments_in_one_pass(spark, rows):
+    def log(offset):
+        data = [(p, t, "Absent", "Go", 1, 0.5 + offset + t / 100, "Absent") for p in ("a", "b") for t in range(4)]
+        return spark.createDataFrame(data, "participant string, tno int, dist_region string, response string, response_corr int, response_rt double, dist_rep string")
+
+    logs = {"exp1": log(0.0), "exp2": log(0.3)}
+    apart = behaviour.side_by_side({name: behaviour.norep_rt(df) for name, df in logs.items()})
+    together = behaviour.norep_rt(behaviour.tagged_logs(logs), ["experiment"])
+    names = ["experiment", "dist_region", "n", "m_rt", "se_rt", "ci_rt"]
+    assert [r[:3] for r in rows(together, *names)] == [r[:3] for r in rows(apart, *names)]
+    assert [round(r[3], 6) for r in rows(together, *names)] == [round(r[3], 6) for r in rows(apart, *names)]
+
+
+def test_names_that_need_quoting(spark, rows):
+    df = spark.createDataFrame([("a", "F", 1000.0), ("a", "R", 1100.0), ("b", "F", 1200.0), ("b", "R", 1340.0)], "`my subject` string, `my cond` string, `a rt` double")
+    out = errors.within_error(df, ["my cond"], {"mean rt": "`a rt`"}, subject="my subject")
+    assert out.columns == ["my cond", "n", "m_mean rt", "se_mean rt", "ci_mean rt"]
+    assert [r["m_mean rt"] for r in out.orderBy("`my cond`").collect()] == [1100.0, 1220.0]

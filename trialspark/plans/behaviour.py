@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -52,15 +53,26 @@ def within_accuracy(trials: DataFrame, pool_responses: bool) -> DataFrame:
     return within_error(cells, ["dist_region", "distractor", "response"], {"pc": "acc"}).where("response = 'Go'")
 
 
-def norep_rt(trials: DataFrame) -> DataFrame:
-    """Response time per region without trials that repeat the distractor position."""
+def norep_rt(trials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Response time per region without trials that repeat the distractor position.
+
+    ``by`` names further columns to report by, such as an experiment tag: several
+    experiments then take one pass, provided that no participant id is in two of them.
+    """
     kept = trials.where(isin_safe("dist_rep", ["Absent", "Change"]))
-    cells = cell_mean(valid_go(kept), ["dist_region", "participant"], "response_rt * 1000", "rt")
+    cells = cell_mean(valid_go(kept), [*by, "dist_region", "participant"], "response_rt * 1000", "rt")
     cells = add(cells, {"dist_present": ifelse3("dist_region = 'Absent'", "'Absent'", "'Present'")})
-    return within_error(cells, ["dist_region", "dist_present"], {"rt": "rt"})
+    return within_error(cells, [*by, "dist_region", "dist_present"], {"rt": "rt"})
+
+
+def tagged_logs(logs: dict[str, DataFrame]) -> DataFrame:
+    """Trial logs of several experiments stacked under an ``experiment`` tag, with participant ids that hold the tag."""
+    own = "concat(experiment, ':', participant)"
+    tagged = [add(log, {"experiment": literal(name)}).selectExpr("* EXCEPT (participant)", f"{own} AS participant") for name, log in logs.items()]
+    return reduce(DataFrame.unionByName, tagged)
 
 
 def side_by_side(summaries: dict[str, DataFrame]) -> DataFrame:
-    """Stack summaries of several experiments under an ``experiment`` tag."""
+    """Stack finished summaries of several experiments, such as stored ones, under an ``experiment`` tag."""
     tagged = [add(s, {"experiment": literal(name)}) for name, s in summaries.items()]
     return reduce(DataFrame.unionByName, tagged)

@@ -175,15 +175,12 @@ def norep_rt(spark, d):
 
 @query
 def norep_rt_both(spark, d):
-    """Two experiments side by side: users with even and with odd group number."""
+    """Two experiments side by side in one pass: users with even and with odd group number."""
     events = tables.read_table(spark, d, "events")
-    odd = f"user_id div {tables.PARTICIPANTS} % 2 = 1"
-
-    def summary(part: DataFrame) -> DataFrame:
-        log = tables.declare(tables.trial_log(part))
-        return behaviour.norep_rt(behaviour.trials_with_repeats(log))
-
-    return behaviour.side_by_side({"exp1": summary(events.where(f"NOT {odd}")), "exp2": summary(events.where(odd))})
+    # the tag follows from the trial number, so it can be added to the finished log
+    log = add(tables.declare(tables.trial_log(events)), {"experiment": f"CASE WHEN coalesce(trials_thisN, practice_trials_thisRepN) div {tables.BLOCKS} % 2 = 1 THEN 'exp2' ELSE 'exp1' END"})
+    log = log.selectExpr("* EXCEPT (participant)", "concat(experiment, ':', participant) AS participant")
+    return behaviour.norep_rt(behaviour.trials_with_repeats(log), ["experiment"])
 
 
 # ---- fixations ----
