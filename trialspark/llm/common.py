@@ -52,11 +52,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once in an application."""
+    """Send this package to the executors' Python, once in an application.
+
+    Batches are kept to ``BATCH_ROWS`` rows where the session doesn't set a number:
+    texts are long, and the JVM and Python both hold a batch.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parent.parent
         folder = tempfile.mkdtemp(prefix="code-")  # the driver serves the file from here

@@ -189,9 +189,13 @@ class _Broadcast:
 
 
 def find_overlaps(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", finish=None
 ) -> DataFrame:
-    """The documents with ``_n_words``, ``_spans`` (hit words, with the longest match) and ``_items``."""
+    """The documents with ``_n_words``, ``_spans`` (hit words, with the longest match) and ``_items``.
+
+    ``finish``: a function of such a batch that gives one with the documents' own columns; it is
+    called in the same pass.
+    """
     spark = docs.sparkSession
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_spans", SPANS), T.StructField("_items", T.ArrayType(T.StringType()))]
@@ -199,9 +203,10 @@ def find_overlaps(
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("longest", pa.int64())]))
     shards = [_Broadcast(spark, s) for s in item_shards(items, window, item_col, item_text_col)]
     out = docs
-    for shared in shards or [None]:
+    for i, shared in enumerate(shards or [None]):
+        last = finish if i >= len(shards) - 1 else None
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, last=last):
             automaton = _automaton(shared, window) if shared else None
             for batch in batches:
                 before = batch.column("_spans").to_pylist() if "_spans" in batch.schema.names else [[]] * batch.num_rows
@@ -215,12 +220,13 @@ def find_overlaps(
                         new = merged([(s["first"], s["last"], s["longest"]) for s in had] + new)
                     spans.append([{"first": a, "last": b, "longest": n} for a, b, n in new])
                     found.append(sorted(set(ids) | {i for i in got if i is not None}))
-                yield with_columns(
+                done = with_columns(
                     batch,
                     {"_n_words": pa.array(counts, pa.int64()), "_spans": pa.array(spans, kind), "_items": pa.array(found, pa.list_(pa.string()))},
                 )
+                yield last(done) if last else done
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, docs.schema if last else schema)
     return out
 
 
@@ -254,25 +260,20 @@ def cut_spans(text: bytes, spans: list[dict]) -> bytes:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = LIMIT, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Documents below the coverage limit, with hit spans cut out of their texts; the columns stay."""
-    found = find_overlaps(docs, items, window, text_col)
-
-    def run(batches):
-        for batch in batches:
-            texts, words = binary(batch, text_col), batch.column("_n_words").to_pylist()
-            keep, new, changed = [], [], []
-            for text, n, spans in zip(texts, words, batch.column("_spans").to_pylist()):
-                hit = sum(s["last"] - s["first"] + 1 for s in spans)
-                keep.append(not (hit and hit * limit >= n))
-                changed.append(bool(hit))
-                new.append(cut_spans(text, spans).decode() if hit and keep[-1] else text.decode() if text is not None else None)
-            columns = {text_col: pa.array(new, pa.string())}
-            if chars_col in batch.schema.names:
-                old = batch.column(chars_col).to_pylist()
-                columns[chars_col] = pa.array([len(t) if c else o for t, c, o in zip(new, changed, old)])
-            out = with_columns(batch, columns).filter(pa.array(keep, pa.bool_()))
-            yield out.select(docs_names)
-
-    docs_names = docs.columns
-    return found.mapInArrow(run, docs.schema)
-
-
+    names = docs.columns
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, words = binary(batch, text_col), batch.column("_n_words").to_pylist()
+        keep, new, changed = [], [], []
+        for text, n, spans in zip(texts, words, batch.column("_spans").to_pylist()):
+            hit = sum(s["last"] - s["first"] + 1 for s in spans)
+            keep.append(not (hit and hit * limit >= n))
+            changed.append(bool(hit))
+            new.append(cut_spans(text, spans).decode() if hit and keep[-1] else text.decode() if text is not None else None)
+        columns = {text_col: pa.array(new, pa.string())}
+        if chars_col in batch.schema.names:
+            old = batch.column(chars_col).to_pylist()
+            columns[chars_col] = pa.array([len(t) if c else o for t, c, o in zip(new, changed, old)])
+        return with_columns(batch, columns).filter(pa.array(keep, pa.bool_())).select(names)
+
+    return find_overlaps(docs, items, window, text_col, finish=finish)

@@ -42,6 +42,8 @@ ROWS = 6
 MISS = 1e-5
 BLOCK = 1_000
 MAX_BANDS = 64
+#: word hashes that a task keeps
+CACHE = 100_000
 #: standard deviations that a signature's estimate may fall below the threshold
 SLACK = 5.0
 _PRIME = (1 << 61) - 1
@@ -56,7 +58,7 @@ def _word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     for w in words:
         h = cache.get(w)
         if h is None:
-            if len(cache) > 500_000:
+            if len(cache) > CACHE:
                 cache.clear()
             h = cache[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         out.append(h)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -78,31 +78,29 @@ def unseen(stored: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> Dat
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of (blob_id, text, rules): every match of every listed rule with its place."""
-    found = None
+    # the output of a generator is a new column: conditions on it stay above the join that picks
+    # the unseen blobs, so no other text is searched
+    fresh = blobs.select("blob_id", "rules", F.explode(F.array("text")).alias("text"))
+
+    def lengths(pieces):
+        return F.transform(pieces, F.length)
+
+    tried = []
     for rule in rules:
-        pattern = rule.pattern.replace("'", r"\'")
-        pieces = blobs.where(F.array_contains("rules", rule.key) & F.col("text").rlike(rule.pattern)).select(
-            "blob_id",
-            F.split("text", rule.pattern, -1).alias("gaps"),
-            F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)).alias("whole"),
-            F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)).alias("part"),
+        parts = F.struct(
+            F.lit(rule.key).alias("rule"),
+            F.lit(rule.kind).alias("kind"),
+            F.lit(rule.least).alias("least"),
+            lengths(F.split("text", rule.pattern, -1)).alias("gaps"),
+            lengths(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))).alias("whole"),
+            lengths(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))).alias("part"),
         )
-        one = (
-            pieces.select(
-                "blob_id",
-                F.expr("transform(gaps, x -> length(x))").alias("gaps"),
-                F.expr("transform(whole, x -> length(x))").alias("whole"),
-                F.expr("transform(part, x -> length(x))").alias("part"),
-            )
-            .select("blob_id", F.posexplode(F.arrays_zip("gaps", "whole", "part")).alias("i", "m"))
-            .select("blob_id", F.lit(rule.key).alias("rule"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), "i", "m.*")
-        )
-        found = one if found is None else found.union(one)
-    from pyspark.sql import Window
-
+        tried.append(F.when(F.array_contains("rules", rule.key) & F.col("text").rlike(rule.pattern), parts))
+    found = fresh.select("blob_id", F.inline(F.filter(F.array(*tried), lambda x: x.isNotNull())))
+    each = found.select("blob_id", "rule", "kind", "least", F.posexplode(F.arrays_zip("gaps", "whole", "part")).alias("i", "m"))
     upto = Window.partitionBy("blob_id", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     # the row after the last match has a gap and no match
-    placed = found.withColumn("end", F.sum(F.col("gaps") + F.coalesce("whole", F.lit(0))).over(upto).cast("long"))
+    placed = each.select("*", "m.*").withColumn("end", F.sum(F.col("gaps") + F.coalesce("whole", F.lit(0))).over(upto).cast("long"))
     return placed.where("part >= least").select("blob_id", "rule", "kind", (F.col("end") - F.col("whole")).cast("long").alias("start"), "end")
 
 
