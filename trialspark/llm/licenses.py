@@ -2,7 +2,8 @@
 
 Each notice of n characters may differ by up to ``errors`` edits. Cut into errors + 1
 pieces, at least one piece is then in the text unchanged, so an exact search for all
-pieces (one Aho-Corasick pass) finds every candidate. Around each candidate, the
+pieces (one Aho-Corasick pass) finds every candidate. An edit breaks at most q of a
+notice's q-grams; candidates that lack more are dropped. Around the others, the
 ``regex`` library's bounded-error matching confirms the notice and reports its span
 and its edits.
 
@@ -42,6 +43,7 @@ NOTICES = (
 )
 #: one edit for so many characters of a notice
 CHARS_PER_ERROR = 12
+QGRAM = 4
 
 
 @dataclass(frozen=True)
@@ -76,8 +78,15 @@ class Finder:
         for piece, places in of.items():
             self._pieces.add_word(piece, (len(piece), places))
         self._pieces.make_automaton()
+        self._grams = [[n.text[k : k + QGRAM] for k in range(len(n.text) - QGRAM + 1)] for n in self.notices]
         self._patterns = [regex.compile(f"(?b)(?:{regex.escape(n.text)}){{e<={n.errors}}}") for n in self.notices]
 
+    def _shares(self, i: int, window: str) -> bool:
+        """Whether the window has as many of the notice's q-grams as its edits must leave whole."""
+        held = {window[k : k + QGRAM] for k in range(len(window) - QGRAM + 1)}
+        grams = self._grams[i]
+        return sum(g in held for g in grams) >= len(grams) - QGRAM * self.notices[i].errors
+
     def find(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(label, start, end, edits, notice length) in the normal form, by start."""
         windows: dict[int, list[list[int]]] = {}
@@ -96,8 +105,8 @@ class Finder:
         for i, some in windows.items():
             notice = self.notices[i]
             for a, b in some:
-                a, at = max(a, 0), max(a, 0)
-                while m := self._patterns[i].search(text, at, min(b, len(text))):
+                at, b = max(a, 0), min(b, len(text))
+                while self._shares(i, text[at:b]) and (m := self._patterns[i].search(text, at, b)):
                     out.append((notice.label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice.text)))
                     at = max(m.end(), at + 1)
         return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
