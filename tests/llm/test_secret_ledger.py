@@ -108,3 +108,22 @@ def test_odd_tables(clashing, empty):
     assert sl.redacted(clashing).columns == clashing.columns
     assert sl.redacted(clashing).count() == clashing.count()
     assert sl.report(empty).count() == 0
+
+
+def test_repeated_rows_and_repeated_null_ids(spark):
+    """Every row of a repeated text with several secrets has the spans of one text."""
+    text, other = f"xx token=abcdef and {KEY} then secret: hunter22 {HEX} end", f"{HEX} é password=abcdefgh, token=abcdefghi"
+    rows = [(1, text)] * 3 + [(2, text)] + [(None, text)] * 2 + [(None, other)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    report = sl.report(df).join(df.selectExpr("sha2(cast(text AS binary), 256) AS blob_id", "text").distinct(), "blob_id").collect()
+    assert len(report) == len(rows)
+    for row in report:
+        check([row.asDict()], {row["doc_id"]: row["text"]})
+    expected = {}
+    for t in (text, other):
+        cut = t
+        for a, b in sorted({(int(s.split(":")[1]), int(s.split(":")[2])) for s in brute(t)}, reverse=True):
+            cut = cut[:a] + "<secret>" + cut[b:]
+        expected[t] = cut
+    got = sorted(r["text"] for r in sl.redacted(df, chars_col="").collect())
+    assert got == sorted(expected[t] for _, t in rows)

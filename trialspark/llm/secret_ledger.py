@@ -123,7 +123,9 @@ def update(
     todo = save(unseen(stored, ledger, rules), "unseen").withColumnRenamed("blob_id", "_blob").withColumnRenamed("_path", "_of")
     texts = docs.select(F.col(path_col).alias("_path"), blob_id(text_col).alias("blob_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = texts.join(todo.hint("shuffle_hash"), F.col("_path").eqNullSafe(F.col("_of")) & (F.col("blob_id") == F.col("_blob")))
-    new = scan(held.select("blob_id", "text", "rules"), rules).distinct()
+    # repeated rows, and rows without a path that share a text, all meet their pair: scan() takes one text for each blob
+    held = held.dropDuplicates(["_path", "blob_id"])
+    new = scan(held.select("blob_id", "text", "rules"), rules)
     all_found = save(findings.union(new), "findings")
     pairs = todo.select(F.col("_blob").alias("blob_id"), F.explode("rules").alias("rule"))
     return stored, save(ledger.union(pairs), "ledger"), all_found
