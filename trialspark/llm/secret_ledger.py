@@ -41,6 +41,16 @@ class Rule:
         return f"{self.kind}.{self.version}"
 
 
+#: a private key from its header to its END line, with nothing dashed between; one cut off before END to its last base64
+#: line: headers, runs of 16 or more on any line, and one shorter run that is a line. Line breaks may be written as \\n.
+#: The repeats are possessive, so a long text neither overflows the stack nor is searched twice.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:[\s>]|\\[nrt])++[A-Z][A-Za-z]*+-[A-Z][A-Za-z]*+:(?:(?!\\[nr])[^\n])*+)*+"
+    r"(?:(?:[\s>]|\\[nrt])++[A-Za-z0-9+/]{16,}+={0,2}+)*+"
+    r"(?:[ \t]*+(?:\r?\n|\\r|\\n)(?:[\s>]|\\[nrt])*+[A-Za-z0-9+/]++={0,2}+(?=[ \t]*+(?:[\r\n\\\"']|$)))?+)"
+)
 #: in the order of the digest; ``base`` rules first
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
@@ -48,7 +58,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 24, 0, True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 28),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 27),
+    Rule("pem", PEM, 27, version=2),
 )
 EMPTY_LEDGER = "blob_id string, rule string"
 FINDINGS = "blob_id string, rule string, kind string, start long, end long"
