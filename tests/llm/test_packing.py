@@ -93,3 +93,22 @@ def test_lanes_of_a_common_length(docs, texts, reference, monkeypatch):
 def test_odd_tables(clashing, empty):
     assert pk.pack(clashing).select("doc_id").distinct().count() == clashing.select("doc_id").distinct().count()
     assert pk.pack(empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def by_default():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", "é"]), st.text(max_size=5)), max_size=12).map("".join))
+def test_ids_with_added_tokens(by_default, text):
+    assert pk.encoder(pk.tokenizer_path())(text) == by_default.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_with_added_tokens(spark, by_default):
+    assert pk.ADDED == {t.content: i for i, t in by_default.get_added_tokens_decoder().items()}
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>" * 100, 3: "x<|endoftext|", 4: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = [r.asDict() for r in pk.pack(df, length=64, with_ids=True).collect()]
+    check(rows, texts, lambda text: by_default.encode(text or "", add_special_tokens=False).ids + [pk.END_ID], 64)

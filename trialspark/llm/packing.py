@@ -17,14 +17,15 @@
 The plan's size depends on the maximum length, not on the number of documents.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each;
-a null id stays null; an empty table gives no rows. A text that holds a special token's
-name is ordinary text.
+a null id stays null; an empty table gives no rows. ``<|endoftext|>`` in a text is
+the added token of the JSON file, as ``tokenizers`` takes it by default.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import functools
 import zlib
 
 import numpy as np
@@ -39,6 +40,8 @@ END_ID = 2
 DEPTH = 3
 ROUNDS = 300
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: the added tokens of byte_bpe_50k.json
+ADDED = {"<|endoftext|>": 50256}
 
 
 def load_encoder(path: str):
@@ -51,7 +54,8 @@ def load_encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+    return functools.partial(encoding.encode, allowed_special="all")
 
 
 _ENCODERS: dict = {}
