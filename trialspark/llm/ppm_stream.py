@@ -1,0 +1,183 @@
+"""Prediction by partial matching over the whole byte stream of each text.
+
+Model. A text's bytes (A-Z in lower case) and its end are predicted from the ``ORDER`` bytes before
+them, blanks and the word before included; before its first byte stand start marks. Escapes
+and exclusion are those of ``ppm``: method C, in the trie of all contexts seen in training.
+
+Work. A byte's code length depends on its gram, the context and the byte:
+
+1. Tasks cut their documents into buckets of ``BUCKET_BYTES`` and list each bucket's distinct
+   grams and words with training counts, beside the texts.
+2. Grams are summed over buckets and get their code lengths by ``ppm.gram_scores``.
+3. Code lengths and word counts go back to the buckets that hold the gram or word, and each
+   text of the bucket is added up position by position.
+
+All counts cover every training document; nothing is pruned. Neither grams nor words are
+gathered: each has one row for each bucket that holds it. The base score is the smoothed
+unigram over words.
+
+Defined cases: as in ``ppm``.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import LOWER, save, text_bytes
+from .ppm import _END, _WORD, BUCKET_BYTES, ORDER, gram_scores
+
+#: bytes of texts whose codes are held at once
+PART_BYTES = 2_000_000
+
+
+def parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text) + 1
+        if size >= PART_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def stream_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the (context, byte) grams of all texts in order, and how many each text has."""
+    pad, end = bytes([_WORD]) * order, bytes([_END])
+    data = np.frombuffer(b"".join([pad + t + end for t in texts]), np.uint8).astype(np.int64)
+    out = data.copy()
+    for k in range(1, order + 1):
+        out[k:] += data[:-k] << (8 * k)
+    size = np.array([len(t) + 1 for t in texts])
+    starts = np.cumsum(size + order) - size - order
+    keep = np.ones(len(data), bool)
+    keep[(starts[:, None] + np.arange(order)).ravel()] = False
+    return out[keep], size
+
+
+def _summed(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, at = np.unique(np.concatenate([g for g, _ in some]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([n for _, n in some]), len(grams)).astype(np.int64)
+
+
+def bucket_grams(texts: list[bytes], held: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the texts with their counts in those that are not held out."""
+    some = []
+    for out in (False, True):
+        for part in parts([t for t, h in zip(texts, held) if h == out]):
+            grams, n = np.unique(stream_codes(part, order)[0], return_counts=True)
+            some.append((grams, n * (not out)))
+    return _summed(some)
+
+
+def bucket_words(texts: list[bytes], held: list[bool]) -> Counter:
+    words: Counter = Counter()
+    for text, out in zip(texts, held):
+        words.update(dict.fromkeys(text.split(), 0) if out else text.split())
+    return words
+
+
+def coded(docs: DataFrame, id_col: str, text_col: str, held_out: Column, order: int) -> DataFrame:
+    """Step 1: rows of grams (bucket, g, n), of words (bucket, word, n) and of documents (bucket, _id, held_out, text)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"bucket long, g long, word binary, n long, _id {kind}, held_out boolean, text binary"
+    names = ["bucket", "g", "word", "n", "_id", "held_out", "text"]
+    source = docs.select(F.col(id_col).alias("_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    # small partitions would each list the common grams again
+    source = source.coalesce(max(1, -(-text_bytes(docs, text_col) // BUCKET_BYTES)))
+
+    def run(batches):
+        bucket, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), None, pa.bool_(), pa.binary()]
+
+        def rows(count, **columns):
+            arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in zip(names, kinds)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(count, bucket)), *arrays[1:]], names=names)
+
+        def flush():
+            grams, n = bucket_grams(texts, held, order)
+            yield rows(len(grams), g=grams, n=n)
+            words = bucket_words(texts, held)
+            yield rows(len(words), word=list(words), n=list(words.values()))
+            yield rows(len(texts), _id=ids, held_out=held, text=texts)
+
+        for batch in batches:
+            kinds[4] = batch.column("_id").type
+            for i, out, text in zip(batch.column("_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist()):
+                ids.append(i)
+                held.append(bool(out))
+                texts.append(text.translate(LOWER))
+                size += len(text) + 1
+                if size >= BUCKET_BYTES:
+                    yield from flush()
+                    bucket, ids, held, texts, size = bucket + 1, [], [], [], 0
+        if texts:
+            yield from flush()
+
+    return source.mapInArrow(run, schema)
+
+
+def document_sums(texts: DataFrame, values: DataFrame, kind: str, order: int) -> DataFrame:
+    """Step 3: per document the words, known words, sum of log10(c + 0.1), and log10 probability of its bytes."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams = right.filter(pc.is_valid(right.column("g")))
+        words = right.filter(pc.is_valid(right.column("word")))
+        count = dict(zip(words.column("word").to_pylist(), words.column("v").to_pylist()))
+        rank = np.argsort(g := grams.column("g").to_numpy())
+        g, lp = g[rank], grams.column("v").to_numpy()[rank]
+        lines, n_words, known, base, sums = left.column("text").to_pylist(), [], [], [], []
+        for part in parts(lines):
+            codes, size = stream_codes(part, order)
+            sums.append(np.add.reduceat(lp[np.searchsorted(g, codes)], np.cumsum(size) - size))
+        for text in lines:
+            c = np.array([count[w] for w in text.split()], float)
+            n_words.append(len(c))
+            known.append(np.count_nonzero(c))
+            base.append(np.log10(c + 0.1).sum())
+        out = left.select(["_id", "held_out"])
+        for name, column in (("n_words", pa.array(n_words, pa.int64())), ("known", pa.array(known, pa.int64())), ("base", pa.array(base, pa.float64())), ("lp", pa.array(np.concatenate(sums)))):
+            out = out.append_column(name, column)
+        return out
+
+    schema = f"_id {kind}, held_out boolean, n_words long, known long, base double, lp double"
+    return texts.groupBy("bucket").cogroup(values.groupBy("at")).applyInArrow(run, schema)
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from rows that are not held out."""
+    if not 2 <= order <= 6:
+        raise ValueError("order must be 2 to 6")
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = save(coded(docs, id_col, text_col, held_out, order), "coded")
+    grams = made.where("g IS NOT NULL").select("bucket", "g", "n")
+    words = made.where("word IS NOT NULL").select("bucket", "word", "n")
+    texts = made.where("text IS NOT NULL").select("bucket", "_id", "held_out", "text")
+    counts = save(grams.groupBy("g").agg(F.sum("n").alias("n")), "grams")
+    vocabulary = save(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    lp = grams.select("bucket", "g").join(gram_scores(counts, order), "g").select(F.col("bucket").alias("at"), "g", F.lit(None).cast("binary").alias("word"), F.col("lp").alias("v"))
+    known = words.select("bucket", "word").join(vocabulary, "word").select(F.col("bucket").alias("at"), F.lit(None).cast("long").alias("g"), "word", F.col("n").cast("double").alias("v"))
+    sums = document_sums(texts, lp.union(known), kind, order)
+
+    n_docs = texts.where("NOT held_out").count()
+    seen = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)).alias("distinct")).first()
+    train, distinct = seen["tokens"] + n_docs, seen["distinct"] + (n_docs > 0)
+    tokens = F.col("n_words") + 1
+    return sums.select(
+        F.col("_id").alias(id_col),
+        "held_out",
+        tokens.alias("n_tokens"),
+        (F.col("known") + int(n_docs > 0)).alias("n_known"),
+        F.lit(int(train)).alias("train_tokens"),
+        (F.col("base") + F.log10(F.lit(n_docs + 0.1)) - tokens * F.log10(F.lit(train + 0.1 * (distinct + 1)))).alias("base_score"),
+        F.col("lp").alias("score"),
+    )
