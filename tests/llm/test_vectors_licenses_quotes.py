@@ -150,3 +150,27 @@ def test_long_repeating_conversation(spark):
 
 def test_no_messages(spark):
     assert qu.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_trimmed_and_rewrapped_quotes(spark):
+    """One line, one sentence, a start in mid-paragraph, other line breaks; a whole passage wins, then the most text."""
+    first = "The mill stands by the old river.\nIt was built of grey stone and oak. Its\nwheel turned for a hundred years. Nobody\nlives there now."
+    rows = {
+        0: first,
+        1: "The weather is fine. Nobody lives there now.",
+        2: "> It was built of grey stone and oak. Its\n\nOne line.",
+        3: "> Its wheel turned\n> for a hundred years.\n\nOne sentence, wrapped anew.",
+        4: "> of grey stone and oak. Its wheel turned for a hundred\n> years. Nobody lives there now.\n\nFrom mid-paragraph.",
+        5: "> Nothing of this was said.\n\nNo original.",
+        6: "Its wheel turned for a hundred years.",
+        7: "> Its wheel turned for a hundred years.\n\nA whole passage.",
+        8: "> From mid-paragraph.\n>> Its wheel turned for a hundred\n>> years. Nobody said so.\n\nNested.",
+        9: None,
+    }
+    df = spark.createDataFrame([(1, t, "user", x) for t, x in rows.items()] + [(2, 3, "user", rows[3])], "conv_id long, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in qu.linked(df).collect()}
+    assert len(got) == 11
+    assert {t: got[1, t]["parent_turn"] for t in rows} == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: None, 6: None, 7: 6, 8: 4, 9: None}
+    assert got[2, 3]["parent_turn"] is None
+    assert [got[1, t]["n_linked"] for t in (2, 3, 4, 5, 7, 8)] == [1, 1, 1, 0, 1, 2]
+    assert {t: got[1, t]["thread_turn"] for t in (2, 3, 4, 8)} == {2: 0, 3: 0, 4: 0, 8: 0}

@@ -8,9 +8,13 @@
    text holds the passage. The latest one is looked up inside blocks of ``BLOCK`` turns
    and carried from block to block, so a passage that a whole conversation repeats is
    neither paired with itself nor gathered in one task.
-4. A message answers the original of its outermost linked quote, the latest if there are
+4. A quote that no message holds as a whole, such as a trimmed one or one that starts in the
+   middle of a paragraph, is looked up by its lines and its sentences (normalised; sentences
+   do not depend on where lines are wrapped). Each finds the latest earlier message with the
+   same line or sentence; the message with the most characters found wins, then the latest.
+5. A message answers the original of its outermost linked quote, the latest if there are
    several. Messages connected by answers form a thread, named by its first turn.
-5. Conversations come out without quotes, ordered by thread and turn, so every answer
+6. Conversations come out without quotes, ordered by thread and turn, so every answer
    follows what it quotes.
 
 Defined cases: null and empty texts have no passages and an empty own text; a quote
@@ -34,11 +38,33 @@ from .components import components
 
 BLOCK_BITS = 16
 _MARKS = re.compile(r"(?:[ \t]*>)+[ \t]?")
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+")
+_LINE, _SENTENCES = 0, 1
 _ANNOUNCES = re.compile(r"\b(wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$", re.IGNORECASE)
 
 
+def _normal(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def _hash(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
 def passages(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     """Own text, and (level, normalised passage) in order; level 0 is the message's own."""
+    own, found = _cut(text)
+    normal = ((level, _normal(" ".join(lines))) for level, lines in found)
+    return own, [(level, passage) for level, passage in normal if passage]
+
+
+def parts(lines: list[str]) -> set[tuple[int, str]]:
+    """(kind, text) of the normalised lines and sentences of a passage."""
+    cut = {(_LINE, _normal(line)) for line in lines} | {(_SENTENCES, x) for x in _SENTENCE.split(_normal(" ".join(lines)))}
+    return {(kind, x) for kind, x in cut if x}
+
+
+def _cut(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
     own: list[str] = []
     found: list[tuple[int, list[str]]] = []
     open_, before = False, 0
@@ -58,8 +84,7 @@ def passages(text: str | None) -> tuple[str, list[tuple[int, str]]]:
         else:
             found.append((level, [content]))
             open_ = True
-    normal = ((level, " ".join(" ".join(lines).lower().split())) for level, lines in found)
-    return "\n".join(own).strip("\n"), [(level, passage) for level, passage in normal if passage]
+    return "\n".join(own).strip("\n"), found
 
 
 def parsed(messages: DataFrame, text_col: str) -> DataFrame:
@@ -74,12 +99,47 @@ def parsed(messages: DataFrame, text_col: str) -> DataFrame:
             for text in batch.column(text_col).to_pylist():
                 mine, some = passages(text)
                 own.append(mine)
-                found.append([{"level": n, "hash": hashlib.blake2b(p.encode(), digest_size=16).digest()} for n, p in some])
+                found.append([{"level": n, "hash": _hash(p)} for n, p in some])
             yield with_columns(batch, {"_own": pa.array(own, pa.string()), "_passages": pa.array(found, arrow)})
 
     return messages.mapInArrow(run, schema)
 
 
+def cut_parts(messages: DataFrame) -> DataFrame:
+    """(conv, turn, level, hash, kind, part, n): lines and sentences of every passage of (conv, turn, text), with their characters."""
+    kind = messages.schema["conv"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            source, columns = [], ([], [], [], [], [])
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for level, lines in _cut(text)[1]:
+                    whole = _hash(_normal(" ".join(lines)))
+                    for of, part in parts(lines):
+                        source.append(i)
+                        for column, value in zip(columns, (level, whole, of, _hash(part), len(part))):
+                            column.append(value)
+            taken = [batch.column(c).take(pa.array(source, pa.int64())) for c in ("conv", "turn")]
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*taken, *arrays], names=["conv", "turn", "level", "hash", "kind", "part", "n"])
+
+    return messages.select("conv", "turn", "text").mapInArrow(run, f"conv {kind}, turn long, level int, hash binary, kind int, part binary, n long")
+
+
+def linked_by_parts(messages: DataFrame, rest: DataFrame) -> DataFrame:
+    """Links (conv, hash, turn, level, _found) of the quotes ``rest`` (conv, hash, turn, level) by their lines and sentences."""
+    cut = save(cut_parts(messages.join(rest.select("conv").distinct(), "conv", "left_semi")), "parts")
+    quoted = cut.where("level > 0").select("conv", "hash", "turn", "kind", "part", "n").distinct()
+    quoted = save(quoted.join(rest, ["conv", "hash", "turn"]), "quoted_parts")
+    points = quoted.select("conv", "part", "turn").distinct()
+    originals = cut.where("level = 0").select("conv", "part", "turn").distinct().join(quoted.select("conv", "part").distinct(), ["conv", "part"], "left_semi")
+    found = latest_before(points, originals, ["conv", "part"]).where("_found IS NOT NULL")
+    # lines and sentences hold the same text, so they are not added to each other
+    agreed = quoted.join(found, ["conv", "part", "turn"]).groupBy("conv", "hash", "turn", "level", "kind", "_found").agg(F.sum("n").alias("n"))
+    best = agreed.groupBy("conv", "hash", "turn", "level").agg(F.max(F.struct("n", "_found")).alias("b"))
+    return best.select("conv", "hash", "turn", "level", F.col("b._found").alias("_found"))
+
+
 def latest_before(points: DataFrame, originals: DataFrame, keys: list[str]) -> DataFrame:
     """``points`` (keys, turn, ...) with ``_found``: the largest original turn below theirs, null if none.
 
@@ -109,7 +169,10 @@ def linked(
     # only passages that somebody quotes matter
     wanted = quoted.select("conv", "hash").distinct()
     originals = each.where("level = 0").select("conv", "hash", "turn").distinct().join(wanted, ["conv", "hash"], "left_semi")
-    links = save(latest_before(quoted, originals, ["conv", "hash"]).where("_found IS NOT NULL"), "links")
+    looked = save(latest_before(quoted, originals, ["conv", "hash"]), "links")
+    rest = looked.where("_found IS NULL").select("conv", "hash", "turn", "level")
+    texts = keyed.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
+    links = save(looked.where("_found IS NOT NULL").unionByName(linked_by_parts(texts, rest)), "all_links")
     best = F.max(F.struct(-F.col("level"), F.col("_found").alias("found")))
     answers = links.groupBy("conv", "turn").agg(best.alias("b"), F.count("*").alias("n_linked")).select("conv", "turn", F.col("b.found").alias("parent_turn"), "n_linked")
     node = [F.struct("conv", F.col("turn").alias("t")).alias("u"), F.struct("conv", F.col("parent_turn").alias("t")).alias("v")]
