@@ -90,4 +90,17 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS
 FROM embeddings LEFT JOIN links ON vec_id = links.a LEFT JOIN root ON vec_id = root.a
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op3_secret_ledger": OP3, "op5_minhash_dedup": OP5, "op8_vector_dedup": OP8}
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP11 = f"""
+WITH l AS (
+  SELECT doc_id, i, line, translate(trim(line, {_BLANK}), '{_UPPER}', '{_LOWER}') AS k
+  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+shared AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT l.*, s.k IS NOT NULL AND l.doc_id <> s.keeper AS gone FROM l LEFT JOIN shared s ON l.k = s.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op3_secret_ledger": OP3, "op5_minhash_dedup": OP5, "op8_vector_dedup": OP8, "op11_line_dedup": OP11}

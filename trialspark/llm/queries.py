@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, near_dups, packing, ppm_stream, quality, quotes, secret_ledger, vector_dups
+from . import decontaminate, language, licenses, line_dedup, near_dups, packing, ppm_stream, quality, quotes, secret_ledger, spelling, vector_dups, whitening
 from .common import remainder, ship, table
 
 QUERIES = {}
@@ -85,3 +85,22 @@ def op9_license_notices(spark, sf_dir):
 def op10_quote_threads(spark, sf_dir):
     """Messages without quotes, linked to what they quote, in reply order."""
     return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_line_dedup(spark, sf_dir):
+    """Documents without the lines that three or more of them hold."""
+    found = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    """Words of the documents with their number of near words, and the frequent word each is a variant of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    """Every vector on the first four principal components, scaled to variance one."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
