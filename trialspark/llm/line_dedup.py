@@ -314,6 +314,7 @@ def drop_shared_lines(
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), text], names=["id", "n_lines", "n_dropped", "kept"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("_key", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
-    both = texts.join(found.select(F.col("id").alias("_key"), "hashes"), "_key", "left").select("id", "text", "hashes")
+    # the hashes of a task's documents are few beside their texts, which then need no sort
+    both = texts.join(found.select(F.col("id").alias("_key"), "hashes").hint("shuffle_hash"), "_key", "left").select("id", "text", "hashes")
     out = both.mapInArrow(cut, f"id {kind}, n_lines long, n_dropped long, kept binary")
     return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept"))
