@@ -255,3 +255,34 @@ def test_last_before(spark, rows, split):
     )
     got = rows(out.where("cat = 'Search'"), "type", "tno", "t", "marker", "marker_time")
     assert got == [("D", 1, 0.1, 6, 0.2), ("M", 1, 0.3, 7, 0.5), ("M", 3, 0.2, 7, 0.5), ("M", 3, 0.2, 7, 0.5)]
+
+
+def test_filters_on_attributes_do_not_reach_the_check(spark):
+    ev = events(spark, {1: "1 d 2", 2: "2 1"}).selectExpr("* EXCEPT (response_corr)", "CAST(tno - 1 AS INT) AS response_corr")
+    marks = markers.trial_markers(ev)
+    assert [r["tno"] for r in marks.where("response_corr = 1 AND n_events = 2").collect()] == [2]
+    assert marks.where("response_corr = 0 AND response = 'Go' AND dist_region = 'Rare'").count() == 1
+
+
+def test_unknown_labels_and_missing_keys_raise(spark):
+    ev = events(spark, {1: "1 d 2"})
+    with pytest.raises(Exception, match="outside its levels"):
+        markers.trial_markers(ev.selectExpr("* EXCEPT (response)", "'Perhaps' AS response")).collect()
+    for key in ("participant", "tno", "fix_count"):
+        lacking = ev.selectExpr(f"* EXCEPT ({key})", f"CASE WHEN start_time < 0.25 THEN {key} END AS {key}")
+        with pytest.raises(Exception, match="lacks its key"):
+            markers.trial_markers(lacking).select("first_target").collect()
+
+
+def test_repeated_keys_raise_on_demand(spark):
+    ev = events(spark, {1: "1 d 2 1", 2: "d"})
+    assert sorted(map(tuple, markers.trial_markers(ev, unique_keys=True).collect())) == sorted(map(tuple, markers.trial_markers(ev).collect()))
+    with pytest.raises(Exception, match="key is repeated"):
+        markers.trial_markers(ev.union(ev.where("fix_count = 2 AND tno = 1")), unique_keys=True).collect()
+
+
+def test_other_attributes(spark):
+    ev = events(spark, {1: "1 d 2"}).selectExpr("*", "CAST(NULL AS DOUBLE) AS weight")
+    row = markers.trial_markers(ev, {"weight": None, "response": ("Go",)}).first()
+    assert row["weight"] is None and row["response"] == "Go" and "dist_region" not in row.asDict()
+    assert markers.trial_markers(ev, {}).first()["n_events"] == 3

@@ -66,3 +66,16 @@ def test_event_columns_are_pruned(spark, tmp_path):
     flags = plan(phases.trial_phase_flags(events, marks, ["dist_region"]))
     assert all("unused" not in part.splitlines()[0] for part in flags.split("ReadSchema:")[1:])
     assert flags.count("EqualTo(cat,Search)") >= 1
+
+
+@pytest.mark.parametrize("name", ["trial_markers", "fix_pattern"])
+def test_markers_take_one_shuffle(spark, no_small_broadcast, name):
+    """Attributes are checked in the aggregation: events move once, as partial results, and nothing moves after."""
+    text = executed_scans(entry.queries()[name](spark, DIRECTORY))
+    assert text.count("Exchange") == 1 and text.count("FileScan") == 1
+    assert "Window" not in text and "Sort" not in text
+
+
+def test_one_asof_pass_for_both_kinds(spark, no_small_broadcast):
+    text = executed_scans(entry.queries()["sacc_first_search"](spark, DIRECTORY))
+    assert text.count("FileScan") <= 2 and text.count("FullOuter") == 1

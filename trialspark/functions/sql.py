@@ -53,6 +53,6 @@ def compute_once(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     earlier one under the name ``_once_<name>``.
     """
     staged = add(df, {f"_once_{n}": sql for n, sql in columns.items()})
-    fields = ", ".join(f"'{n}', _once_{n}" for n in columns)
-    hidden = ", ".join(f"_once_{n}" for n in columns)
+    fields = ", ".join(f"{literal(n)}, {quoted('_once_' + n)}" for n in columns)
+    hidden = ", ".join(quoted("_once_" + n) for n in columns)
     return staged.selectExpr(f"* EXCEPT ({hidden})", f"inline(array(named_struct({fields})))")

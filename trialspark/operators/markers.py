@@ -8,18 +8,21 @@ query does not use are pruned from the aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 from ..functions.categories import label_at, rank_of
-from ..functions.sql import add, aggregates, drop
+from ..functions.sql import add, aggregates, compute_once, drop, literal, quoted
 from .attach import TRIAL
 from .classify import EVENT_CLASSES
+from .positions import REGIONS
+from .trial_log import RESPONSES
 
 # Labels of the visit patterns.
 PATTERNS = ("No fix.", "Single tar. fix.", "Both fix.", "Refixation")
-TRIAL_ATTRIBUTES = ("dist_region", "response", "response_corr")
+#: columns that are constant within a trial, with their levels; None for numbers
+TRIAL_ATTRIBUTES = {"dist_region": REGIONS, "response": RESPONSES, "response_corr": None}
 
 
 def visit_pattern(first1: str, last1: str, first2: str, last2: str) -> str:
@@ -35,13 +38,33 @@ def visit_pattern(first1: str, last1: str, first2: str, last2: str) -> str:
         ELSE 'Both fix.' END"""
 
 
-def trial_markers(events: DataFrame, attributes: Sequence[str] = TRIAL_ATTRIBUTES) -> DataFrame:
-    """One row per trial from classified events.
+def _code(column: str, levels: Sequence[str] | None) -> str:
+    """A label as its rank, so that the aggregation buffer stays numeric; an unknown label raises."""
+    if levels is None:
+        return quoted(column)
+    rank, unknown = rank_of(quoted(column), levels), literal(f"{column} has a label outside its levels")
+    return f"CASE WHEN {quoted(column)} IS NOT NULL THEN coalesce({rank}, CAST(raise_error({unknown}) AS INT)) END"
 
-    ``attributes`` are columns that are constant within a trial. They are grouping
-    columns so that the aggregation buffer stays numeric; a trial in which they
-    differ comes out as two rows, and that raises. ``fix_count`` must be unique
-    within a trial, which ``sources.trial_logs.validated`` checks.
+
+def _known_keys(events: DataFrame) -> DataFrame:
+    """The events; one without a participant, trial number or index raises when it is read."""
+    known = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in (*TRIAL, "fix_count"))
+    return events.where(f"CASE WHEN {known} THEN true ELSE raise_error('an event lacks its key') END")
+
+
+def trial_markers(
+    events: DataFrame, attributes: Mapping[str, Sequence[str] | None] = TRIAL_ATTRIBUTES, unique_keys: bool = False
+) -> DataFrame:
+    """One row per trial from classified events, in one shuffle of partial results.
+
+    ``attributes`` are columns that are constant within a trial, and their levels. Labels
+    go through the aggregation as ranks; minimum, maximum and count tell whether
+    one varies within a trial, and that raises, as does a missing event key.
+
+    ``fix_count`` must be unique within a trial. ``sources.stored_events`` checks it once,
+    when events are stored, and ``sources.trial_logs.validated`` when they are read. With
+    ``unique_keys`` it is checked here: distinct indexes are counted in the same
+    aggregation, at the price of moving every (trial, index) once.
     """
     search = "cat = 'Search'"
     on_target = f"{search} AND fix_type = 'Target'"
@@ -62,10 +85,17 @@ def trial_markers(events: DataFrame, attributes: Sequence[str] = TRIAL_ATTRIBUTE
     def at_first(value: str, cond: str) -> str:
         return f"min_by({value}, {index_if(cond)})"
 
-    grouped = events.groupBy(*TRIAL, *attributes).agg(
+    checks = {}
+    for i, column in enumerate(attributes):
+        checks |= {f"_low{i}": f"min(_code{i})", f"_high{i}": f"max(_code{i})", f"_known{i}": f"count(_code{i})"}
+    if unique_keys:
+        checks["_indexes"] = "count(DISTINCT fix_count)"
+    coded = add(_known_keys(events), {f"_code{i}": _code(c, levels) for i, (c, levels) in enumerate(attributes.items())})
+    grouped = coded.groupBy(*TRIAL).agg(
         *aggregates(
-            {
-                "n_events": "count(1)",
+            checks
+            | {
+                "_events": "count(1)",
                 "n_search": f"count({index_if(search)})",
                 "first_search": first(search),
                 "first_target": first(on_target),
@@ -86,8 +116,16 @@ def trial_markers(events: DataFrame, attributes: Sequence[str] = TRIAL_ATTRIBUTE
         )
     )
 
-    alone = f"count(1) OVER (PARTITION BY {', '.join(TRIAL)}) = 1"
-    grouped = drop(add(grouped, {"_alone": alone}).where("CASE WHEN _alone THEN true ELSE raise_error('attributes differ within a trial') END"), "_alone")
+    n = len(attributes)
+    constant = " AND ".join(f"(_known{i} = 0 OR _known{i} = _events AND _low{i} = _high{i})" for i in range(n)) or "true"
+    grouped = grouped.where(f"CASE WHEN {constant} THEN true ELSE raise_error('attributes differ within a trial') END")
+    if unique_keys:
+        grouped = grouped.where("CASE WHEN _indexes = _events THEN true ELSE raise_error('an event key is repeated') END")
+    # new columns behind a generator: a later filter "response_corr = 1" would otherwise be
+    # joined with the check, and the optimizer would put the 1 into it for every trial
+    coded = [(f"_low{i}", c, levels) for i, (c, levels) in enumerate(attributes.items())]
+    values = {c: at if levels is None else label_at(at, levels) for at, c, levels in coded}
+    grouped = drop(compute_once(grouped, {**values, "n_events": "_events"}), *checks, "_events")
 
     # the first visit to "the other" target is the later of the two first visits
     def other(one: str, two: str) -> str:

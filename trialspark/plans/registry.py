@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.categories import rank_of
 from ..functions.geometry import AOI_RADIUS, item_x, item_y
-from ..functions.sql import add, aggregates, literal
+from ..functions.sql import add, aggregates
 from ..operators import attach as at
 from ..operators import classify as cl
 from ..operators import drift, errors, exclude, phases, positions, reshape, summarize, trial_log
@@ -334,9 +334,8 @@ def asof_distractor(spark, d):
 @query
 def sacc_first_search(spark, d):
     """Natural full join of leading saccades with the first search event of every trial, for both kinds of event."""
-    eye = _eye(spark, d)
-    parts = [add(saccades.with_first_search(*eye, kind), {"kind": literal(kind)}) for kind in saccades.MARKERS]
-    return parts[0].unionByName(parts[1]).select("participant", "tno", "kind", "marker", "first_search", "latency")
+    rows = saccades.with_first_search(*_eye(spark, d))
+    return rows.select("participant", "tno", "kind", "marker", "first_search", "latency")
 
 
 @query

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.sql import add, drop
+from ..functions.sql import add, drop, literals
 from ..operators.asof import last_before
 from ..operators.attach import TRIAL, natural_full, row_counts
 from ..operators.errors import within_error
@@ -36,10 +36,14 @@ def leading_saccades(saccades: DataFrame, markers: DataFrame, kinds: Sequence[st
     return add(rows.where("cat = 'Search'"), {"latency": "(start_time - search_start_time) * 1000"})
 
 
-def with_first_search(saccades: DataFrame, markers: DataFrame, kind: str) -> DataFrame:
-    """Leading saccades and first search events of all trials that have either."""
-    leading = drop(leading_saccades(saccades, markers, [kind]), "first_search")
-    return natural_full(leading, markers.where("first_search IS NOT NULL").select(*TRIAL, "first_search"))
+def with_first_search(saccades: DataFrame, markers: DataFrame, kinds: Sequence[str] = tuple(MARKERS)) -> DataFrame:
+    """Leading saccades of each kind, and first search events, of all trials that have either.
+
+    One as-of pass serves all kinds; the two per-trial tables are joined by trial and kind.
+    """
+    leading = drop(leading_saccades(saccades, markers, kinds), "first_search").withColumnRenamed("type", "kind")
+    first = markers.where("first_search IS NOT NULL").selectExpr(*TRIAL, "first_search", f"explode(array({literals(kinds)})) AS kind")
+    return natural_full(leading, first)
 
 
 def latency_all(saccades: DataFrame, markers: DataFrame) -> DataFrame:
