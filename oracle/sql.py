@@ -626,4 +626,13 @@ Q["share_lineitem"] = f"""
     GROUP BY l_returnflag, l_linestatus
 """
 
+# ---- the same results on stored tables ----
+Q["stored_phase_prop"], Q["stored_enriched"] = Q["phase_prop"], Q["enrich_full"]
+Q["stored_markers"] = f"""
+    SELECT participant, tno, n_events, first_target, both_targets, first_distractor_time, fix_pattern
+    FROM ({Q['trial_markers']}) JOIN ({Q['fix_pattern']}) USING (participant, tno)"""
+Q["stored_latency"] = f"""
+    SELECT participant, tno, 'Target' AS type, start_time, marker, marker_time, latency FROM ({Q['asof_target']})
+    UNION ALL SELECT participant, tno, 'Distractor', start_time, marker, marker_time, latency FROM ({Q['asof_distractor']})"""
+
 ORACLE_SQL = Q

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sql import add, aggregates, compute_once, drop, quoted
+from .parted import Parted, together
 
 TRIAL = ("participant", "tno")
 SPLIT_ROWS = 2_000_000
@@ -47,6 +48,9 @@ def attach(
     are few and already in one partition, so they can be reduced first.
     """
     on = list(on)
+    if isinstance(events, Parted):  # the store has split the heavy trials
+        return events.attach(per_trial, weight, on, keep_lane, LANES)
+    per_trial = together(per_trial)
     split_rows = SPLIT_ROWS if split_rows is None else split_rows
     own = events.columns
     added = [c for c in per_trial.columns if c not in on and c != weight]
@@ -77,7 +81,7 @@ def enrich_full(events: DataFrame, trials: DataFrame, on: Sequence[str] = TRIAL,
     The rows of a full outer join, but no event row passes one: events are joined
     from the left, and the trials that have none are told by their count.
     """
-    sized = trials.join(row_counts(events, on, "_found"), list(on), "left")
+    sized = trials.join(together(row_counts(events, on, "_found")), list(on), "left")
     sized = drop(compute_once(sized, {"_n": "coalesce(_found, 0L)"}), "_found")
     joined = attach(events, sized, "_n", on, **split)
     alone = drop(sized.where("_n = 0"), "_n")

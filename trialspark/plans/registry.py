@@ -14,8 +14,11 @@ from ..operators import attach as at
 from ..operators import classify as cl
 from ..operators import drift, errors, exclude, phases, positions, reshape, summarize, trial_log
 from ..operators.markers import PATTERNS
+from ..operators.parted import together
 from ..sources import event_tables as tables
-from ..sources.trial_logs import duplicate_events
+from ..sources.scratch import new_folder
+from ..sources.stored_events import store_events
+from ..sources.trial_logs import EVENT_KEY, duplicate_events
 from . import behaviour, gaze, saccades
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,6 +358,41 @@ def sacc_latency_first(spark, d):
     return saccades.first_latency_summary(*_eye(spark, d))
 
 
+# ---- the same analyses on stored tables ----
+
+
+def _stored(spark: SparkSession, d: str):
+    """Both event tables, bucketed by trial in the scratch folder, with checked keys."""
+    events = {"fixations": tables.load_fixations(spark, d), "saccades": tables.load_saccades(spark, d)}
+    return store_events(events, new_folder(spark, "events"), buckets=8, keys={"fixations": EVENT_KEY})
+
+
+@query
+def stored_markers(spark, d):
+    markers = gaze.markers_of(_stored(spark, d)["fixations"])
+    return together(markers).select("participant", "tno", "n_events", "first_target", "both_targets", "first_distractor_time", "fix_pattern")
+
+
+@query
+def stored_phase_prop(spark, d):
+    return gaze.phase_prop(_stored(spark, d)["fixations"])
+
+
+@query
+def stored_latency(spark, d):
+    """Leading saccades of both kinds: the as-of lookup between two stored tables."""
+    store = _stored(spark, d)
+    rows = together(saccades.leading_saccades(store["saccades"], gaze.markers_of(store["fixations"])))
+    return rows.select("participant", "tno", "type", "start_time", "marker", "marker_time", "latency")
+
+
+@query
+def stored_enriched(spark, d):
+    """Stored fixations with the repeat label of their trial, and trials without fixations."""
+    fx = _stored(spark, d)["fixations"].select("participant", "tno", "fix_count", "cat", "duration")
+    return at.enrich_full(fx, _repeat_trials(spark, d).select("participant", "tno", "dist_rep"))
+
+
 # ---- the general operators on other tables ----
 
 
