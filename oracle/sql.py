@@ -626,6 +626,18 @@ Q["share_lineitem"] = f"""
     GROUP BY l_returnflag, l_linestatus
 """
 
+# ---- files ----
+Q["csv_trial_log"] = f"""
+    SELECT *, CASE CAST(participant AS INT) % 3 WHEN 1 THEN 's' || participant WHEN 2 THEN '0' END AS int14_2_started,
+        CASE CAST(participant AS INT) % 3 WHEN 2 THEN CAST(response_corr + 1 AS VARCHAR) END AS per15_2_started,
+        CAST(NULL AS VARCHAR) AS response_pract_rt
+    FROM ({Q['load_trials']})"""
+Q["csv_schema_diff"] = """
+    SELECT field FROM (SELECT DISTINCT CAST(user_id % 15 % 3 AS INT) AS third FROM events) t
+    JOIN (VALUES ('int14_2.started', 1), ('int14_2.started', 2), ('per15_2.started', 2)) v(field, third) USING (third)
+    GROUP BY field HAVING count(*) < (SELECT count(DISTINCT user_id % 15 % 3) FROM events)"""
+Q["summary_roundtrip"] = Q["norep_rt"]
+
 # ---- the same results on stored tables ----
 Q["stored_phase_prop"], Q["stored_enriched"] = Q["phase_prop"], Q["enrich_full"]
 Q["stored_markers"] = f"""

@@ -1,10 +1,12 @@
 import csv
+import gzip
+import random
 
 import pytest
 
 from trialspark.operators import drift
 from trialspark.operators.positions import ORIENTATION_COLUMNS
-from trialspark.sources import schemas, trial_logs
+from trialspark.sources import schemas, summaries, trial_logs
 
 BASE = ["participant", "trials.thisN", "practice_trials.thisRepN", *ORIENTATION_COLUMNS, "dist_freq", "respon", "response.corr", "response.rt"]
 
@@ -125,14 +127,48 @@ def test_not_shared(spark, rows):
 def test_summary_csv(spark, tmp_path, rows):
     path = tmp_path / "s.csv"
     path.write_text('"","dist_region","dist_present","m_rt","se_rt","ci_rt"\n"1","Absent","Absent",1076.4929091544,12.49,26.8\n')
-    got = trial_logs.read_summary(spark, str(path), "exp1")
+    got = summaries.read_summary(spark, str(path), "exp1")
     assert rows(got) == [("Absent", "Absent", 1076.4929091544, 12.49, 26.8, "exp1")]
     out = str(tmp_path / "out")
-    trial_logs.write_summary(got.drop("experiment"), out)
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        trial_logs.write_summary(got.drop("experiment"), out)
-    trial_logs.write_summary(got.drop("experiment"), out, mode="overwrite", files=None)
-    assert rows(trial_logs.read_summary(spark, out, "exp1")) == rows(got)
+    summaries.write_summary(got.drop("experiment"), out)
+    (lines,) = [p.read_text() for p in (tmp_path / "out").rglob("part-*.txt")]
+    assert lines == path.read_text()
+    with pytest.raises(FileExistsError):
+        summaries.write_summary(got.drop("experiment"), out)
+    summaries.write_summary(got.limit(0).drop("experiment"), out, mode="ignore")
+    assert rows(summaries.read_summary(spark, out, "exp1")) == rows(got)
+    summaries.write_summary(got.drop("experiment"), out, mode="overwrite", files=None)
+    assert rows(summaries.read_summary(spark, out, "exp1")) == rows(got)
+    with pytest.raises(ValueError, match="append"):
+        summaries.write_summary(got, out, mode="append")
+
+
+def test_a_failed_overwrite_keeps_the_old_summary(spark, tmp_path, rows):
+    out = str(tmp_path / "out")
+    first = spark.createDataFrame([("a", 1, 0.5), ("b", 2, None)], "c string, n int, m double")
+    summaries.write_summary(first, out)
+    with pytest.raises(Exception, match="too far"):
+        summaries.write_summary(first.selectExpr("c", "n", "CASE WHEN n > 1 THEN raise_error('too far') ELSE m END AS m"), out, mode="overwrite")
+    assert rows(summaries.read_rows(spark, out)) == rows(first)
+    second = first.selectExpr("c", "n + 1 AS n", "m", "true AS extra")
+    summaries.write_summary(second, out, mode="overwrite")
+    assert rows(summaries.read_rows(spark, out)) == rows(second)
+    with pytest.raises(FileNotFoundError):
+        summaries.read_rows(spark, str(tmp_path / "none"))
+
+
+def test_lines_keep_every_value(spark, tmp_path):
+    values = ["plain", "with, comma", 'a "quoted" word', "back\\slash", "'", "", " edge ", "NA ", "é 日", "1", None]
+    doubles = [0.1, -0.0, 1e300, 5e-324, 1 / 3, float("nan"), float("inf"), -1e-7, 123456789.125, 2.0, None]
+    df = spark.createDataFrame([(v, d, i, i % 2 == 0) for i, (v, d) in enumerate(zip(values, doubles))], "label string, x double, `a,b` long, flag boolean")
+    for numbered in (True, False):
+        back = summaries.from_lines(summaries.to_lines(df, numbered), df.schema, numbered)
+        assert back.schema == df.schema
+        assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, map(tuple, df.collect())))
+    with pytest.raises(Exception, match="line break"):
+        summaries.to_lines(spark.createDataFrame([("a\nb",)], "label string")).collect()
+    with pytest.raises(Exception):  # noqa: B017
+        summaries.from_lines(spark.createDataFrame([('"1","x"',)], "value string"), spark.createDataFrame([], "n int").schema).collect()
 
 
 def test_duplicate_events(spark, rows):
@@ -145,3 +181,56 @@ def test_read_events_prunes_columns(spark, tmp_path):
     spark.createDataFrame([("p", 1, 1, 0.5)], "participant string, tno int, fix_count int, duration double").write.parquet(path)
     plan = trial_logs.read_events(spark, path).where("tno = 1").select("participant")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<participant:string,tno:int>" in plan and "EqualTo(tno,1)" in plan
+
+
+def file_scans(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+def test_a_thousand_headers_take_one_scan(spark, tmp_path, rows):
+    rnd = random.Random(2)
+    paths, want = [], []
+    for i in range(1000):
+        header = [*BASE, *rnd.sample(schemas.DRIFT_EXP1, rnd.randint(0, 7))]
+        rnd.shuffle(header)
+        values = {c: f"{c}{i}" for c in schemas.DRIFT_EXP1} | {"response.rt": i / 8}
+        paths.append(write(tmp_path / f"{i}.csv", header, [log_row(f"p{i}", t, header, **values) for t in range(2)]))
+        want += [(f"p{i}", t, i / 8, *(f"{c}{i}" if c in header else None for c in schemas.DRIFT_EXP1)) for t in range(2)]
+    log = trial_logs.read_trial_logs(spark, paths, schemas.DRIFT_EXP1)
+    assert log.select(*schemas.TRIAL_LOG.fieldNames()).schema == schemas.TRIAL_LOG
+    got = log.select("participant", "trials_thisN", "response_rt", *map(trial_logs.plain, schemas.DRIFT_EXP1))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert file_scans(log) == 1
+
+
+def test_paths_with_odd_characters_and_folders(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    for i, name in enumerate(("x y.csv", "50%25.csv", "a+b.csv", "ü.csv", "p=1,q.csv")):
+        write(folder / name, [*reversed(BASE)] if i % 2 else BASE, [log_row(f"s{i}", i, [*reversed(BASE)] if i % 2 else BASE)])
+    log = trial_logs.read_trial_logs(spark, [str(folder)], schemas.DRIFT_EXP1)
+    assert sorted((r["participant"], r["trials_thisN"]) for r in log.collect()) == [(f"s{i}", i) for i in range(5)]
+
+
+def test_only_the_beginning_of_files_is_read_for_headers(spark, tmp_path):
+    path = tmp_path / "large.csv"
+    row = ",".join(map(str, log_row("a", 1, BASE))) + "\n"
+    path.write_text(",".join(BASE) + "\n" + row * 200_000)
+    packed = tmp_path / "packed.csv.gz"
+    packed.write_bytes(gzip.compress((",".join([*BASE, "extra"]) + "\n" + row * 1000).encode()))
+    def bytes_read():
+        return sum(x.getBytesRead() for x in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = bytes_read()
+    headers = trial_logs.file_headers(spark, [str(path), str(packed)])
+    read = bytes_read() - before
+    assert sorted(map(len, headers.values())) == [len(BASE), len(BASE) + 1]
+    assert path.stat().st_size > 8_000_000 and 0 < read < 200_000
+
+
+def test_duplicate_and_short_rows(spark, tmp_path, rows):
+    header = [*BASE, "per15_2.started"]
+    path = write(tmp_path / "a.csv", header, [log_row("a", 1, header), log_row("a", 2, header)[: len(BASE)]])
+    log = trial_logs.read_trial_logs(spark, [path], schemas.DRIFT_EXP1)
+    assert rows(log, "trials_thisN", "per15_2_started") == [(1, "x"), (2, None)]

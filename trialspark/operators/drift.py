@@ -15,20 +15,25 @@ class SchemaDriftError(ValueError):
     """A frame lacks a column that may not be filled."""
 
 
+def filled_columns(columns: Sequence[Sequence[str]], fill: Sequence[str]) -> list[str]:
+    """All columns of some sources, and ``fill``; any other difference between the sources raises."""
+    if not columns:
+        raise ValueError("no frames to combine")
+    everything = dict.fromkeys(c for own in columns for c in own)
+    for i, own in enumerate(columns):
+        if missing := sorted(set(everything) - set(own) - set(fill)):
+            raise SchemaDriftError(f"frame {i} lacks columns that may not be filled: {missing}")
+    return list(everything | dict.fromkeys(fill))
+
+
 def union_filled(frames: Sequence[DataFrame], fill: Sequence[str]) -> DataFrame:
     """Stack frames; columns listed in ``fill`` are NULL where a frame lacks them.
 
     Any other difference between the frames raises.
     """
-    if not frames:
-        raise ValueError("no frames to combine")
-    everything = set().union(*[f.columns for f in frames])
-    for i, f in enumerate(frames):
-        missing = sorted(everything - set(f.columns) - set(fill))
-        if missing:
-            raise SchemaDriftError(f"frame {i} lacks columns that may not be filled: {missing}")
+    columns = filled_columns([f.columns for f in frames], fill)
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    absent = [c for c in fill if c not in everything]
+    absent = [c for c in columns if c not in out.columns]
     return out.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else out
 
 

@@ -9,16 +9,18 @@ from pyspark.sql import types as T
 
 from ..functions.categories import rank_of
 from ..functions.geometry import AOI_RADIUS, item_x, item_y
-from ..functions.sql import add, aggregates
+from ..functions.sql import add, aggregates, quoted
 from ..operators import attach as at
 from ..operators import classify as cl
 from ..operators import drift, errors, exclude, phases, positions, reshape, summarize, trial_log
 from ..operators.markers import PATTERNS
 from ..operators.parted import together
 from ..sources import event_tables as tables
+from ..sources.schemas import DRIFT_EXP1, TRIAL_LOG
 from ..sources.scratch import new_folder
 from ..sources.stored_events import store_events
-from ..sources.trial_logs import EVENT_KEY, duplicate_events
+from ..sources.summaries import read_rows, write_summary
+from ..sources.trial_logs import EVENT_KEY, duplicate_events, read_trial_logs, schema_diff_files
 from . import behaviour, gaze, saccades
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +106,47 @@ def pivot_roundtrip(spark, d):
     return reshape.to_wide(long, ["participant", "tno"], "loc", cols, "ori")
 
 
+#: columns that the written logs have beside the declared ones, by the third of the participants they belong to
+_EXTRA = {0: {}, 1: {"int14_2.started": "concat('s', participant)"}, 2: {"int14_2.started": "'0'", "per15_2.started": "CAST(response_corr + 1 AS STRING)"}}
+
+
+def _written_logs(spark: SparkSession, d: str) -> list[str]:
+    """The trial log as CSV files with three different headers: other columns in another order."""
+    log = tables.trial_log(tables.read_table(spark, d, "events"))
+    folder = new_folder(spark, "logs")
+    paths = []
+    for third, extra in _EXTRA.items():
+        rows = add(log.where(f"CAST(participant AS INT) % 3 = {third}").withColumnRenamed("response.corr", "response_corr"), extra)
+        rows = rows.withColumnRenamed("response_corr", "response.corr")
+        names = rows.columns[::-1] if third == 1 else rows.columns[third:] + rows.columns[:third]
+        rows.select(*map(quoted, names)).write.csv(f"{folder}/{third}", header=True, nullValue="NA")
+        paths.append(f"{folder}/{third}")
+    return paths
+
+
+@query
+def csv_trial_log(spark, d):
+    """Trial logs written as CSV with differing headers and read back by column name in one scan."""
+    log = read_trial_logs(spark, _written_logs(spark, d), DRIFT_EXP1)
+    return log.select(*TRIAL_LOG.fieldNames(), "int14_2_started", "per15_2_started", "response_pract_rt")
+
+
+@query
+def csv_schema_diff(spark, d):
+    """Columns that not all of the written logs have, from the headers alone."""
+    return schema_diff_files(spark, _written_logs(spark, d)).select("field")
+
+
+@query
+def summary_roundtrip(spark, d):
+    """Response times without repeats, written as a numbered CSV summary, replaced, and read back."""
+    summary = behaviour.norep_rt(_repeat_trials(spark, d))
+    path = new_folder(spark, "summary")
+    write_summary(summary.limit(0), path)
+    write_summary(summary, path, mode="overwrite")
+    return read_rows(spark, path)
+
+
 # ---- trial log ----
 
 

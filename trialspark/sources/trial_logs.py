@@ -1,20 +1,20 @@
-"""Trial logs in CSV, event tables in Parquet, summaries in CSV."""
+"""Trial logs in CSV, event tables in Parquet."""
 
 from __future__ import annotations
 
 import csv
 import io
 from collections.abc import Sequence
-from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sql import literal, quoted
+from ..functions.sql import quoted
 from ..operators.attach import TRIAL, row_counts
-from ..operators.drift import not_shared, union_filled
-from .schemas import RESPONSE_NAMES, SUMMARY, TRIAL_LOG
+from ..operators.drift import filled_columns, not_shared
+from .first_lines import first_lines
+from .schemas import RESPONSE_NAMES, TRIAL_LOG
 
 EVENT_KEY = (*TRIAL, "fix_count")
 
@@ -44,34 +44,16 @@ def declare(df: DataFrame, schema: T.StructType = TRIAL_LOG) -> DataFrame:
 def file_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
     """Header of every listed file: its first line. A file without one raises.
 
-    What reaches the driver is one line per file, as many as the driver lists for
-    any read.
+    Only the beginning of each file is read. What reaches the driver is one line per file,
+    as many as the driver lists for any read.
     """
-    lines = spark.read.text(list(paths))
-
-    def place(uri: str) -> tuple[str, str]:
-        parts = urlsplit(uri)
-        return parts.netloc, unquote(parts.path)
-
-    numbered = lines.selectExpr(
-        "value", "_metadata.file_path AS path", "_metadata.file_block_start AS block", "monotonically_increasing_id() AS i"
-    )
-    first = numbered.where("block = 0").groupBy("path").agg(F.min_by("value", "i").alias("line")).collect()
-    headers = {r["path"]: tuple(next(csv.reader(io.StringIO(r["line"].removeprefix("\ufeff"))), ())) for r in first}
-    named = {place(path) for path, header in headers.items() if any(header)}
-    if lacking := sorted(f for f in lines.inputFiles() if place(f) not in named):
+    lines = first_lines(spark, spark.read.text(list(paths)).inputFiles())
+    headers = {path: tuple(next(csv.reader(io.StringIO(line.removeprefix("\ufeff"))), ())) for path, line in lines.items()}
+    if lacking := sorted(path for path, header in headers.items() if not any(header)):
         raise ValueError(f"no header in {lacking}")
     return headers
 
 
-def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """File paths by header. CSV columns are bound by place, so only files with one header are read together."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in sorted(file_headers(spark, paths).items()):
-        groups.setdefault(header, []).append(path)
-    return groups
-
-
 def schema_diff_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(field, n_sources): columns that not all listed files have; no paths give no rows."""
     headers = file_headers(spark, paths) if paths else {}
@@ -79,14 +61,33 @@ def schema_diff_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return not_shared(spark.createDataFrame(pairs, "path string, field string"), "path", "field")
 
 
+#: a file's address without its scheme, which Spark writes in more than one way
+ADDRESS = "regexp_replace({}, '^[^:/]+:(//)?', '')"
+
+
 def read_trial_logs(spark: SparkSession, paths: Sequence[str], fill: Sequence[str]) -> DataFrame:
-    """Read trial logs by column name; only the ``fill`` columns may be absent from a file."""
-    frames = []
-    for header, files in header_groups(spark, paths).items():
-        names = [h or f"_c{i}" for i, h in enumerate(header)]
-        schema = T.StructType([T.StructField(plain(n), T.StringType()) for n in names])
-        frames.append(spark.read.csv(files, header=True, schema=schema, nullValue="NA", enforceSchema=True))
-    return declare(union_filled(frames, [plain(c) for c in fill]))
+    """Read trial logs by column name; only the ``fill`` columns may be absent from a file.
+
+    One scan serves any number of headers. Cells are read by place; the header of a row's
+    file tells the place of each column. Headers are joined by file, one row for each.
+    """
+    headers = {path: [plain(h or f"_c{i}") for i, h in enumerate(header)] for path, header in file_headers(spark, paths).items()}
+    columns = filled_columns(list(headers.values()), [plain(c) for c in fill])
+    width = max(map(len, headers.values()))
+    cells = [f"_cell{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    rows = spark.read.csv(list(paths), header=True, schema=schema, nullValue="NA", enforceSchema=True)
+    rows = rows.selectExpr(f"array({', '.join(cells)}) AS _cells", f"{ADDRESS.format('_metadata.file_path')} AS _file")
+
+    places = {}
+    for path, header in headers.items():
+        at = {name: i for i, name in enumerate(header)}
+        places[path] = [at.get(c) for c in columns]
+    found = spark.createDataFrame(list(places.items()), "path string, _places array<int>").selectExpr(f"{ADDRESS.format('path')} AS _file", "_places")
+    bound = rows.join(F.broadcast(found), "_file", "left")
+    placed = "CASE WHEN _places IS NULL THEN raise_error(concat('no header was read for ', _file)) ELSE _places END"
+    bound = bound.selectExpr("_cells", f"{placed} AS _places")
+    return declare(bound.selectExpr(*[f"get(_cells, get(_places, {i})) AS {quoted(c)}" for i, c in enumerate(columns)]))
 
 
 def read_events(spark: SparkSession, path: str, keys: Sequence[str] | None = None) -> DataFrame:
@@ -111,19 +112,3 @@ def validated(events: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
 def duplicate_events(events: DataFrame, keys: Sequence[str] = EVENT_KEY) -> DataFrame:
     """Key values that occur more than once; must be empty before markers are built."""
     return row_counts(events, keys, "n").where("n > 1")
-
-
-def write_summary(df: DataFrame, path: str, mode: str = "error", files: int | None = 1) -> None:
-    """Write a condition table as CSV.
-
-    ``files``: how many tasks and files; None keeps the partitions of ``df`` for a
-    table that is too large for one task. ``mode`` as in ``DataFrameWriter``.
-    """
-    (df.coalesce(files) if files else df).write.mode(mode).csv(path, header=True)
-
-
-def read_summary(spark: SparkSession, path: str, experiment: str) -> DataFrame:
-    """Read a condition table, without the unnamed row-number column if it has one."""
-    raw = spark.read.csv(path, header=True)
-    declared = [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in SUMMARY]
-    return raw.selectExpr(*declared, f"{literal(experiment)} AS experiment")
