@@ -643,8 +643,37 @@ Q["stored_phase_prop"], Q["stored_enriched"] = Q["phase_prop"], Q["enrich_full"]
 Q["stored_markers"] = f"""
     SELECT participant, tno, n_events, first_target, both_targets, first_distractor_time, fix_pattern
     FROM ({Q['trial_markers']}) JOIN ({Q['fix_pattern']}) USING (participant, tno)"""
+Q["checked_markers"] = Q["stored_markers"]
 Q["stored_latency"] = f"""
     SELECT participant, tno, 'Target' AS type, start_time, marker, marker_time, latency FROM ({Q['asof_target']})
     UNION ALL SELECT participant, tno, 'Distractor', start_time, marker, marker_time, latency FROM ({Q['asof_distractor']})"""
 
+# ---- further operators on other tables ----
+Q["previous_event"] = f"""
+    SELECT event_id, user_id, {rnd('lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)', 'previous')} FROM events"""
+Q["first_line_sum"] = f"""
+    SELECT l_orderkey, {rnd('sum(l_extendedprice)', 'price')}
+    FROM (SELECT * FROM lineitem QUALIFY l_linenumber = min(l_linenumber) OVER (PARTITION BY l_orderkey)) GROUP BY l_orderkey"""
+Q["within_merged"] = Q["within_orders"]
+_GAUSS = ", ".join(f"{{'x': {x!r}::DOUBLE, 'w': {w!r}::DOUBLE}}" for x, w in zip(NODES[0].tolist(), NODES[1].tolist()))
+# bisection of the angle whose cosine power integral is the level
+Q["welch_quantiles"] = f"""
+    WITH RECURSIVE c AS (
+      SELECT l_suppkey, df FROM (
+        SELECT l_suppkey, (qr + qn) ** 2 / nullif(qr * qr / (nr - 1) + qn * qn / (nn - 1), 0) AS df FROM (
+          SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS nr, count(*) FILTER (l_returnflag = 'N') AS nn,
+            var_samp(l_extendedprice) FILTER (l_returnflag = 'R') / nr AS qr, var_samp(l_extendedprice) FILTER (l_returnflag = 'N') / nn AS qn
+          FROM lineitem GROUP BY l_suppkey) WHERE nr > 1 AND nn > 1)),
+    s AS (
+      SELECT l_suppkey, df, level, 0::DOUBLE AS low, pi() / 2 AS high, 0 AS i,
+        exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) AS scale FROM c, (VALUES (0.9::DOUBLE), (0.999::DOUBLE)) v(level)
+      UNION ALL
+      SELECT l_suppkey, df, level, if(area < level, mid, low), if(area < level, high, mid), i + 1, scale FROM (
+        SELECT *, (low + high) / 2 AS mid,
+          scale * mid * list_sum(list_transform([{_GAUSS}], lambda g: g.w * cos(mid / 2 * (g.x + 1)) ** (df - 1))) AS area
+        FROM s WHERE i < 56)),
+    t AS (SELECT l_suppkey, level, sqrt(df) * tan((low + high) / 2) AS t FROM s WHERE i = 56)
+    SELECT l_suppkey, {rnd('df', 'df')}, {rnd('a.t', 't_90')}, {rnd('b.t', 't_999')} FROM c
+    LEFT JOIN (SELECT * FROM t WHERE level < 0.95) a USING (l_suppkey) LEFT JOIN (SELECT * FROM t WHERE level > 0.95) b USING (l_suppkey)"""
+
 ORACLE_SQL = Q

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from trialspark.functions import categories, geometry, nulls, sql, student_t
@@ -90,3 +91,41 @@ def test_published_interval_ratio():
     ]
     for se, ci in cells:
         assert ci / se == pytest.approx(student_t.quantile(14), abs=1e-10)
+
+
+def central(t, df):
+    """P(-T < t < T), by quadrature in a variable in which the density is smooth at both ends."""
+    x, w = np.polynomial.legendre.leggauss(400)
+    scale = 2 * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    if df > 2 or t * t < df:
+        angle = math.atan(t / math.sqrt(df))
+        return scale * angle / 2 * float(w @ np.cos(angle / 2 * (x + 1)) ** (df - 1))
+    # the tail: sin of the complement to the power df - 1, with s = sin^df
+    top = (df / (df + t * t)) ** (df / 2)
+    s = top / 2 * (x + 1)
+    return 1 - scale * top / 2 / df * float(w @ (1 - s ** (2 / df)) ** -0.5)
+
+
+@pytest.mark.parametrize("level", [0.9, 0.95, 0.99, 0.999])
+def test_t_quantile_at_any_df(spark, level):
+    dfs = [0.5, 0.8, 1.0, 1.7, 2.0, 3.3, 5.0, 14.0, 29.5, 60.0, 333.3, 5000.0]
+    df = spark.createDataFrame([(d,) for d in dfs], "d double")
+    for r in df.selectExpr("d", f"{student_t.t_quantile((1 + level) / 2, 'd')} AS t").collect():
+        step = 1e-9 * r["t"]
+        assert central(r["t"] - step, r["d"]) < level < central(r["t"] + step, r["d"])
+    exact = spark.sql(f"SELECT {student_t.t_quantile((1 + level) / 2, '1')} AS a, {student_t.t_quantile((1 + level) / 2, '2D')} AS b").first()
+    assert exact["a"] == pytest.approx(math.tan(math.pi / 2 * level), rel=1e-9)
+    assert exact["b"] == pytest.approx(level * math.sqrt(2 / (1 - level**2)), rel=1e-9)
+
+
+def test_t_quantile_meets_the_table_and_the_normal(spark):
+    for n in (1, 4, 14, 29, 60, 149, 1000):
+        row = spark.sql(f"SELECT {student_t.t_quantile(0.975, str(n))} AS t, {student_t.t975(str(n))} AS table").first()
+        assert row["t"] == pytest.approx(row["table"], rel=2e-9)
+    # the expansion in 1 / df about the normal, far out
+    far = spark.sql(f"SELECT {student_t.t_quantile(0.975, '1e6D')} AS t").first()["t"]
+    assert far == pytest.approx(student_t.quantile(10**6), rel=1e-9)
+    odd = spark.sql(f"SELECT {student_t.t_quantile(0.975, '0')} AS a, {student_t.t_quantile(0.975, 'CAST(NULL AS DOUBLE)')} AS b, {student_t.t_quantile(0.975, '-1D')} AS c").first()
+    assert tuple(odd) == (None, None, None)
+    with pytest.raises(ValueError):
+        student_t.t_quantile(0.5, "d")

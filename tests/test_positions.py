@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -99,3 +100,57 @@ def test_spread_statistics(spark, rows):
     df = spark.createDataFrame([("A", 1.0, 2.0, 0.1, 0.2)], "c string, m_before double, m_after double, ci_before double, ci_after double")
     got = reshape.spread_statistics(df, ["c"], ["m", "ci"], ["before", "after"], "phase")
     assert rows(got, "phase", "m", "ci") == [("after", 2.0, 0.2), ("before", 1.0, 0.1)]
+
+
+# ---- previous row by any order ----
+
+
+def brute_previous(data, order_of):
+    groups = {}
+    for r in data:
+        groups.setdefault(r[0], []).append(r)
+    out = []
+    for group in groups.values():
+        group.sort(key=order_of)
+        out += [(*r, group[i - 1][-1] if i else None) for i, r in enumerate(group)]
+    return sorted(map(str, out))
+
+
+def nulls_first(*values):
+    return tuple((v is not None, v if v is not None else 0) for v in values)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+@pytest.mark.parametrize("kind", ["timestamp", "bigint", "string", "double"])
+def test_previous_in_order(spark, kind, parts):
+    rnd = random.Random(parts)
+    make = {
+        "timestamp": lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=rnd.randrange(10**6) * 10**6),
+        "bigint": lambda: rnd.randrange(-(2**62), 2**62),
+        "string": lambda: rnd.choice("abcdefghij") * rnd.randint(0, 3),
+        "double": lambda: rnd.gauss(0, 1),
+    }[kind]
+    data = [(rnd.choice(["long"] * 20 + ["a", "b", None]), make() if rnd.random() > 0.05 else None, i, rnd.randrange(5)) for i in range(600)]
+    df = spark.createDataFrame(data, f"g string, t {kind}, i int, v int").repartition(5)
+    got = lagged.previous_in_order(df, ["g"], ["t", "i"], "v", "p", parts)
+    assert got.columns == ["g", "t", "i", "v", "p"]
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute_previous(data, lambda r: nulls_first(r[1], r[2]))
+
+
+def test_previous_with_full_ties(spark):
+    """Rows that tie in the order follow one another by value."""
+    data = [("g", 1, v) for v in (3, None, 1, 1)] + [("g", 2, 0)]
+    got = lagged.previous_in_order(spark.createDataFrame(data, "g string, t int, v int"), ["g"], ["t"], "v", "p", 4)
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute_previous(data, lambda r: nulls_first(r[1], r[2]))
+    assert lagged.previous_in_order(spark.createDataFrame([], "g string, t int, v int"), ["g"], ["t"], "v", "p").count() == 0
+
+
+def test_a_long_group_is_spread_over_tasks(spark):
+    df = spark.range(20_000).selectExpr("'one' AS g", "id * 7 % 20011 AS t", "id AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lag = lagged.previous_in_order(df, ["g"], ["t"], "v", "p", 16)
+        sizes = [r["count"] for r in lag.selectExpr("spark_partition_id() AS s").groupBy("s").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 20_000 and max(sizes) < 9_000

@@ -121,3 +121,39 @@ def test_names_that_need_quoting(spark, rows):
     out = errors.within_error(df, ["my cond"], {"mean rt": "`a rt`"}, subject="my subject")
     assert out.columns == ["my cond", "n", "m_mean rt", "se_mean rt", "ci_mean rt"]
     assert [r["m_mean rt"] for r in out.orderBy("`my cond`").collect()] == [1100.0, 1220.0]
+
+
+def test_sum_at_first_adds_up_ties(spark, rows):
+    data = [("a", 2, 1.0), ("a", 1, 2.0), ("a", 1, 3.0), ("b", 5, None), ("b", 5, 1.0), ("c", None, 9.0), ("c", 7, 4.0), (None, 1, 0.5), ("d", None, 1.0)]
+    df = spark.createDataFrame(data, "g string, i int, v double")
+    assert rows(summarize.sum_at_first(df, ["g"], "i", "v", "s")) == [("a", 5.0), ("b", None), ("c", 4.0), (None, 0.5)]
+    assert summarize.sum_at_first(df.limit(0), ["g"], "i", "v", "s").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_merged_cells_equal_one_pass(spark, parts):
+    rnd = random.Random(parts)
+    data = [(f"s{rnd.randrange(7)}", rnd.choice("xyz"), 1e6 + rnd.gauss(0, 1), rnd.random() if rnd.random() > 0.01 else None, i % parts) for i in range(500)]
+    df = spark.createDataFrame(data, "participant string, c string, v double, w double, part int")
+    measures = {"v": "v", "w": "w"}
+    want = errors.within_error(df, ["c"], measures)
+    states = [errors.error_cells(df.where(f"part = {p}"), ["c"], measures) for p in range(parts)]
+    merged = errors.merge_cells(states, ["c"])
+    assert merged.columns == states[0].columns
+    got = errors.error_of_cells(merged, ["c"], list(measures))
+    for a, b in zip(got.orderBy("c").collect(), want.orderBy("c").collect(), strict=True):
+        assert (a["c"], a["n"]) == (b["c"], b["n"])
+        for x, y in zip(a[2:], b[2:], strict=True):
+            assert x is y is None or x == pytest.approx(y, rel=1e-6)
+    # a day that comes later joins the state that is there
+    step = states[0]
+    for s in states[1:]:
+        step = errors.merge_cells([step, s], ["c"])
+    assert sorted((r["participant"], r["c"], r["_n"], round(r["_mean0"], 6)) for r in step.collect()) == sorted((r["participant"], r["c"], r["_n"], round(r["_mean0"], 6)) for r in merged.collect())
+
+
+def test_other_levels(spark):
+    df = spark.createDataFrame([(p, c, float(hash((p, c)) % 97)) for p in range(9) for c in "ab"], "participant int, c string, v double")
+    narrow, wide = (errors.within_error(df, ["c"], {"v": "v"}, level=level).orderBy("c").collect() for level in (0.9, 0.99))
+    for a, b in zip(narrow, wide):
+        assert a["ci_v"] / a["se_v"] == pytest.approx(1.8595480375) and b["ci_v"] / b["se_v"] == pytest.approx(3.3553873313)

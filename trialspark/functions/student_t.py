@@ -1,6 +1,9 @@
-"""Two-sided 95 % Student t quantile as a Spark column expression.
+"""Student t quantiles as Spark column expressions.
 
-Up to ``TABLE_DF`` degrees of freedom the quantile is looked up in an array
+``t975`` is the usual 0.975 quantile at whole degrees of freedom, ``t_quantile`` any upper
+quantile at any real degrees of freedom.
+
+``t975``: up to ``TABLE_DF`` degrees of freedom the quantile is looked up in an array
 literal that is solved once on the driver from the closed-form distribution for
 whole degrees of freedom; above it the asymptotic expansion in 1/df is exact to
 about 1e-9 and needs no table.
@@ -10,6 +13,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from statistics import NormalDist
 
 from .sql import literal, literals
 
@@ -63,3 +67,64 @@ def t975(df: str) -> str:
     table = literals(quantile(i) for i in range(1, TABLE_DF + 1))
     tail = " + ".join([literal(Z975), *[f"{literal(g)} / power({df}, {k})" for k, g in enumerate(expansion_terms(), 1)]])
     return f"CASE WHEN {df} > {TABLE_DF} THEN {tail} WHEN {df} >= 1 THEN get(array({table}), CAST({df} AS INT) - 1) END"
+
+
+# ---- any level, any degrees of freedom ----
+
+TERMS = 120
+STEPS = 30
+SHIFT = 32
+# The expansion of gamma(z + 1/2) / (gamma(z) sqrt(z)) in 1 / z.
+GAMMA_RATIO = (1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304)
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _gamma_ratio(z: str) -> str:
+    """gamma(z + 1/2) / gamma(z) for z > 0: the expansion at z + SHIFT, brought back by the recurrence."""
+    far = f"({z} + {SHIFT}D)"
+    series = " + ".join(f"{literal(c)} / power({far}, {k})" for k, c in enumerate(GAMMA_RATIO))
+    back = f"aggregate(sequence(0, {SHIFT - 1}), 1D, (p, k) -> p * ({z} + k) / ({z} + k + 0.5D))"
+    return f"(sqrt({far}) * ({series}) * {back})"
+
+
+def _series(first: str, second: str, x: str) -> str:
+    """1 + first / second * x + first (first + 1) / (second (second + 1)) * x^2 + ..."""
+    state = "named_struct('c', 1D, 's', 1D)"
+    term = f"acc.c * ({first} + k) / ({second} + k) * {x}"
+    step = _let("c", term, "named_struct('c', c, 's', acc.s + c)")
+    return f"aggregate(sequence(0, {TERMS - 1}), {state}, (acc, k) -> {step}, acc -> acc.s)"
+
+
+def upper_tail(t: str, df: str, ratio: str) -> str:
+    """P(T > t) for t > 0, by the incomplete beta series on the side where its argument is at most one half.
+
+    ``ratio`` is gamma((df + 1) / 2) / gamma(df / 2).
+    """
+    x, y = f"({df} / ({df} + {t} * {t}))", f"({t} * {t} / ({df} + {t} * {t}))"
+    # x^(df / 2) sqrt(1 - x) / B(df / 2, 1 / 2)
+    front = f"(exp(-{df} / 2 * log1p({t} * {t} / {df})) * sqrt({y}) * {ratio} / sqrt(pi()))"
+    near = f"0.5D - {front} * {_series(f'({df} / 2 + 0.5D)', '1.5D', y)}"
+    far = f"{front} / {df} * {_series(f'({df} / 2 + 0.5D)', f'({df} / 2 + 1D)', x)}"
+    return f"CASE WHEN {x} <= 0.5D THEN {far} ELSE {near} END"
+
+
+def t_quantile(p: float, df: str) -> str:
+    """Quantile ``p`` (0.5 < p < 1) of Student t at any real ``df`` > 0; NULL otherwise.
+
+    The logarithm of the tail falls ever faster in log t, so Newton steps from a start above
+    the quantile come down to it without a bracket. Meant for summaries: a row costs some
+    thousand operations.
+    """
+    if not 0.5 < p < 1:
+        raise ValueError("p must lie between 0.5 and 1")
+    z, target = NormalDist().inv_cdf(p), literal(math.log1p(-p))
+    start = f"0.5D * (ln(d) + ln(expm1(power({literal(z)} * (8 * d + 3) / (8 * d + 1), 2) / d)))"
+    slope = "t * ratio / sqrt(d * pi()) * exp(-(d + 1) / 2 * log1p(t * t / d))"
+    step = _let("t", "exp(u)", _let("tail", upper_tail("t", "d", "ratio"), f"u + (ln(tail) - {target}) * tail / ({slope})"))
+    solved = f"exp(aggregate(sequence(1, {STEPS}), {start}, (u, i) -> {step}))"
+    found = _let("d", f"CAST({df} AS DOUBLE)", _let("ratio", _gamma_ratio("d / 2"), solved))
+    return f"CASE WHEN {df} > 0 THEN {found} END"

@@ -39,7 +39,7 @@ def event_class() -> str:
     near = literal(AOI_RADIUS)
 
     def on_target(d: str) -> str:
-        return f"({d} < {near} AND NOT (dist_dist IS NOT NULL AND {d} > dist_dist))"
+        return f"({d} < {near} AND {d} <= coalesce(dist_dist, {d}))"
 
     on_distractor = f"dist_dist IS NOT NULL AND dist_dist < {near}"
     off_centre = ifelse3(on_distractor, "'Distractor'", "'Other'")

@@ -43,3 +43,37 @@ def previous_value(
     firsts = f"PARTITION BY {keys}, CASE WHEN NOT _starts THEN _block END ORDER BY _block"
     carried = add(blocked, {"_carried": f"lag(_tail) OVER ({firsts})"})
     return drop(add(carried, {name: "CASE WHEN _starts THEN _carried ELSE _inside END"}), "_block", "_inside", "_starts", "_tail", "_carried")
+
+
+def previous_in_order(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, parts: int | None = None
+) -> DataFrame:
+    """Add ``name`` = ``value`` of the preceding row of the group, for any columns that sort.
+
+    Rows are dealt to ranges of (``by``, ``order``): a long group takes as many ranges as it
+    fills. Rows are lagged inside (group, range); the first row of each then takes the last
+    value of the range before. No window holds more than a range, or one row of each.
+
+    NULLs in ``order`` come first, and a NULL group is a group. Rows that tie in all of
+    ``order`` follow one another by ``value``, NULLs first, so the result is the same each
+    time; name further columns in ``order`` to break ties otherwise. The first row of a
+    group has NULL.
+    """
+    keys = ", ".join(map(quoted, by))
+    along = ", ".join(map(quoted, [*order, value]))
+    columns = [*map(quoted, by), *map(quoted, order), quoted(value)]
+    ranged = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
+    inside = f"PARTITION BY {keys}, _part ORDER BY {along}"
+    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    cut = add(
+        add(ranged, {"_part": "spark_partition_id()"}),
+        {
+            "_inside": f"lag({quoted(value)}) OVER ({inside})",
+            "_starts": f"row_number() OVER ({inside}) = 1",
+            "_tail": f"last_value({quoted(value)}) OVER ({inside} {whole})",
+        },
+    )
+    # the first rows of all ranges of a group meet under the range NULL
+    firsts = f"PARTITION BY {keys}, CASE WHEN NOT _starts THEN _part END ORDER BY _part"
+    carried = add(cut, {"_carried": f"lag(_tail) OVER ({firsts})"})
+    return drop(add(carried, {name: "CASE WHEN _starts THEN _carried ELSE _inside END"}), "_part", "_inside", "_starts", "_tail", "_carried")

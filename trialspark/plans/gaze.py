@@ -14,7 +14,7 @@ from ..operators.markers import trial_markers
 from ..operators.phases import distractor_phases, trial_phase_flags
 from ..operators.positions import target_regions
 from ..operators.reshape import spread_statistics, to_long, to_wide
-from ..operators.summarize import cell_mean, share_within, two_level_mean
+from ..operators.summarize import cell_mean, share_within, sum_at_first, two_level_mean
 from ..operators.trial_log import RESPONSES, valid_go
 
 CELL = ["dist_region", "response"]
@@ -99,8 +99,8 @@ def distractor_duration_cells(fixations: DataFrame) -> DataFrame:
     trials = _phase_trials(events, need_both=True)
     labelled = distractor_phases(events, trials, CELL).where("both_targets IS NOT NULL AND dfix_type <> 'Between'")
     by = [*CELL, "dfix_type", "participant"]
-    first = labelled.groupBy(*by, "tno").agg(*aggregates({"dur": "min_by(duration, fix_count) * 1000"}))
-    cells = cell_mean(first, by, "dur", "dur")
+    first = sum_at_first(labelled, [*by, "tno"], "fix_count", "duration", "dur")
+    cells = cell_mean(first, by, "dur * 1000", "dur")
     return to_wide(cells, [*CELL, "participant"], "dfix_type", ["Before", "After"], "dur")
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 from ..functions.categories import rank_of
 from ..functions.geometry import AOI_RADIUS, item_x, item_y
 from ..functions.sql import add, aggregates, quoted
+from ..functions.student_t import t_quantile
 from ..operators import attach as at
 from ..operators import classify as cl
-from ..operators import drift, errors, exclude, phases, positions, reshape, summarize, trial_log
+from ..operators import drift, errors, exclude, lagged, phases, positions, reshape, summarize, trial_log
 from ..operators.markers import PATTERNS
 from ..operators.parted import together
 from ..sources import event_tables as tables
@@ -286,6 +287,13 @@ def trial_markers(spark, d):
     )
 
 
+@query
+def checked_markers(spark, d):
+    """Markers that also check in the same aggregation that no event key repeats."""
+    markers = gaze.trial_markers(cl.classify(tables.load_fixations(spark, d)), unique_keys=True)
+    return markers.select("participant", "tno", "n_events", "first_target", "both_targets", "first_distractor_time", "fix_pattern")
+
+
 @query
 def dist_phase(spark, d):
     events = cl.classify(tables.load_fixations(spark, d))
@@ -489,3 +497,43 @@ def two_level_lineitem(spark, d):
 def share_lineitem(spark, d):
     lines = tables.read_table(spark, d, "lineitem")
     return summarize.share_within(lines, ["l_returnflag"], "l_linestatus")
+
+
+@query
+def previous_event(spark, d):
+    """Value of each user's event before, in the order of time stamps."""
+    events = tables.read_table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    return lagged.previous_in_order(events, ["user_id"], ["ts", "event_id"], "value", "previous").select("event_id", "user_id", "previous")
+
+
+@query
+def first_line_sum(spark, d):
+    """Price of the first line of each order; lines that share the least number are added up."""
+    lines = tables.read_table(spark, d, "lineitem")
+    return summarize.sum_at_first(lines, ["l_orderkey"], "l_linenumber", "l_extendedprice", "price")
+
+
+@query
+def within_merged(spark, d):
+    """Order value by priority from the stored cells of three periods, merged."""
+    orders, by, measures = tables.read_table(spark, d, "orders"), ["o_orderpriority"], {"price": "o_totalprice"}
+    period = "pmod(datediff(o_orderdate, DATE '1992-01-01'), 3)"
+    states = []
+    for i in range(3):
+        path = new_folder(spark, "cells")
+        errors.error_cells(orders.where(f"{period} = {i}"), by, measures, "o_custkey").write.parquet(path)
+        states.append(spark.read.parquet(path))
+    return errors.error_of_cells(errors.merge_cells(states, by, "o_custkey"), by, list(measures), "o_custkey")
+
+
+@query
+def welch_quantiles(spark, d):
+    """Degrees of freedom for comparing two price means by supplier (not whole numbers), and t at two levels."""
+    lines = tables.read_table(spark, d, "lineitem")
+    parts = {}
+    for flag in "RN":
+        price = f"CASE WHEN l_returnflag = '{flag}' THEN l_extendedprice END"
+        parts |= {f"n{flag}": f"count({price})", f"q{flag}": f"var_samp({price}) / count({price})"}
+    cells = lines.groupBy("l_suppkey").agg(*aggregates(parts)).where("nR > 1 AND nN > 1")
+    cells = add(cells, {"df": "try_divide(power(qR + qN, 2), qR * qR / (nR - 1) + qN * qN / (nN - 1))"})
+    return cells.selectExpr("l_suppkey", "df", f"{t_quantile(0.95, 'df')} AS t_90", f"{t_quantile(0.9995, 'df')} AS t_999")
