@@ -47,3 +47,17 @@ def clashing(spark, docs):
     both = docs.union(more).union(docs.where("doc_id IN (3, 80)"))
     extra = {c: F.lit("x") for c in ("digest", "sig", "rep", "root", "key", "bucket", "n", "word", "lane", "score", "uid", "length", "blob_id", "rule")}
     return both.withColumns(extra)
+
+
+@pytest.fixture(scope="session")
+def helper_names():
+    """Every underscored column name that the subpackage writes, and some with more underscores."""
+    import pathlib
+    import re
+
+    import trialspark.llm
+
+    found = set()
+    for path in pathlib.Path(trialspark.llm.__file__).parent.glob("*.py"):
+        found |= set(re.findall(r"""["'`(, ](_[a-z][a-z_0-9]*)\b""", path.read_text()))
+    return sorted(n for n in found | {"_spans_", "_lang_", "_cuts_"} if not n.startswith("__"))

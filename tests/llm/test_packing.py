@@ -15,7 +15,6 @@ from trialspark.llm import packing as pk
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [pk.END_ID]
 
 
@@ -24,7 +23,6 @@ def reference():
 def test_ids_are_those_of_tokenizers(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_ids_are_those_of_tokenizers, "t") else test_ids_are_those_of_tokenizers.t
     test_ids_are_those_of_tokenizers.t = t
-    t.encode_special_tokens = True
     assert pk.encoder(pk.tokenizer_path())(text) == t.encode(text, add_special_tokens=False).ids
 
 
@@ -112,3 +110,10 @@ def test_pieces_with_added_tokens(spark, by_default):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = [r.asDict() for r in pk.pack(df, length=64, with_ids=True).collect()]
     check(rows, texts, lambda text: by_default.encode(text or "", add_special_tokens=False).ids + [pk.END_ID], 64)
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000 + "x", "\n" * 2_000_000, "a" * 2_000_000, "\t \n" * 700_000 + "é", "x " * 300_000 + " " * 1_500_000])
+def test_long_runs(spark, reference, run):
+    got = pk.pieces(spark.createDataFrame([(1, run)], "doc_id long, text string"), "doc_id", "text", with_ids=True).orderBy("piece").collect()
+    ids = [i for r in got for i in r["ids"]]
+    assert ids == reference(run)

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, binary, with_columns
+from .common import alnum_words, binary, fresh, with_columns
 
 WINDOW = 13
 #: hits of at least one word in LIMIT contaminate a document
 LIMIT = 20
+FOUND = ("_n_words", "_spans", "_items")
 SHARD_WORDS = 100_000
 MAX_SHARDS = 200
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -191,26 +192,26 @@ class _Broadcast:
 def find_overlaps(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", finish=None
 ) -> DataFrame:
-    """The documents with ``_n_words``, ``_spans`` (hit words, with the longest match) and ``_items``.
+    """The documents with three more columns: number of words, spans (hit words, with the longest match), and items.
 
-    ``finish``: a function of such a batch that gives one with the documents' own columns; it is
-    called in the same pass.
+    They are called ``FOUND``, with underscores where the documents have such columns.
+    ``finish``: a function of such a batch, and the three names, that gives one with the
+    documents' own columns; it is called in the same pass.
     """
     spark = docs.sparkSession
-    schema = T.StructType(
-        [*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_spans", SPANS), T.StructField("_items", T.ArrayType(T.StringType()))]
-    )
+    names = n_words, spans_col, items_col = fresh(docs, *FOUND)
+    kinds = (T.LongType(), SPANS, T.ArrayType(T.StringType()))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("longest", pa.int64())]))
     shards = [_Broadcast(spark, s) for s in item_shards(items, window, item_col, item_text_col)]
     out = docs
     for i, shared in enumerate(shards or [None]):
         last = finish if i >= len(shards) - 1 else None
 
-        def run(batches, shared=shared, last=last):
+        def run(batches, shared=shared, last=last, again=i > 0):
             automaton = _automaton(shared, window) if shared else None
             for batch in batches:
-                before = batch.column("_spans").to_pylist() if "_spans" in batch.schema.names else [[]] * batch.num_rows
-                known = batch.column("_items").to_pylist() if "_items" in batch.schema.names else [[]] * batch.num_rows
+                before, known = (batch.column(c).to_pylist() if again else [[]] * batch.num_rows for c in (spans_col, items_col))
                 counts, spans, found = [], [], []
                 for text, had, ids in zip(binary(batch, text_col), before, known):
                     words = alnum_words(text)
@@ -222,9 +223,9 @@ def find_overlaps(
                     found.append(sorted(set(ids) | {i for i in got if i is not None}))
                 done = with_columns(
                     batch,
-                    {"_n_words": pa.array(counts, pa.int64()), "_spans": pa.array(spans, kind), "_items": pa.array(found, pa.list_(pa.string()))},
+                    {n_words: pa.array(counts, pa.int64()), spans_col: pa.array(spans, kind), items_col: pa.array(found, pa.list_(pa.string()))},
                 )
-                yield last(done) if last else done
+                yield last(done, names) if last else done
 
         out = out.mapInArrow(run, docs.schema if last else schema)
     return out
@@ -262,10 +263,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit
     """Documents below the coverage limit, with hit spans cut out of their texts; the columns stay."""
     names = docs.columns
 
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, words = binary(batch, text_col), batch.column("_n_words").to_pylist()
+    def finish(batch: pa.RecordBatch, found: list[str]) -> pa.RecordBatch:
+        texts, words = binary(batch, text_col), batch.column(found[0]).to_pylist()
         keep, new, changed = [], [], []
-        for text, n, spans in zip(texts, words, batch.column("_spans").to_pylist()):
+        for text, n, spans in zip(texts, words, batch.column(found[1]).to_pylist()):
             hit = sum(s["last"] - s["first"] + 1 for s in spans)
             keep.append(not (hit and hit * limit >= n))
             changed.append(bool(hit))

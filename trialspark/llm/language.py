@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import fresh, quoted, with_columns
 
 PROFILE = 300
 MAX_LANGS = 2_000
@@ -96,7 +96,9 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", si
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col)
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).drop("n")
+    # the limit stands on the row number itself: Spark then drops what lies beyond it in each task, before the shuffle
+    first = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    return first.select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 class Profiles:
@@ -141,16 +143,17 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
     return Profiles([(r["lang"], r["gram"], r["rank"]) for r in rows])
 
 
-def predict(docs: DataFrame, model: Profiles, text_col: str = "text") -> DataFrame:
-    """The rows with ``_lang`` and ``_score``."""
+def predict(docs: DataFrame, model: Profiles, text_col: str = "text", names: tuple[str, str] = ("_lang", "_score")) -> DataFrame:
+    """The rows with two more columns, which the frame must not have yet: the language and its score."""
+    lang, score = names
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column(text_col).to_pylist()]
             yield with_columns(
-                batch, {"_lang": pa.array([f[0] for f in found], pa.string()), "_score": pa.array([f[1] for f in found], pa.float64())}
+                batch, {lang: pa.array([f[0] for f in found], pa.string()), score: pa.array([f[1] for f in found], pa.float64())}
             )
 
     return docs.mapInArrow(run, schema)
@@ -158,4 +161,6 @@ def predict(docs: DataFrame, model: Profiles, text_col: str = "text") -> DataFra
 
 def accepted(docs: DataFrame, model: Profiles, text_col: str = "text") -> DataFrame:
     """Documents in a learned language: drops those without letters and those that share no n-gram with any profile."""
-    return predict(docs, model, text_col).where((F.col("_lang") != UND) & (F.col("_score") > 0)).select(docs.columns)
+    lang, score = fresh(docs, "_lang", "_score")
+    found = predict(docs, model, text_col, (lang, score))
+    return found.where((F.col(lang) != UND) & (F.col(score) > 0)).select([quoted(c) for c in docs.columns])

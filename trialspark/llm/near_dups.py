@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, save, space_words
+from .common import binary, fresh, save, space_words
 from .components import components
 
 SHINGLE = 3
@@ -346,5 +346,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with a null id stay, and so do repeated rows of a kept id: they are the same document.
     """
     found = near_duplicates(docs, id_col, text_col, size, threshold)
-    dropped = found.where("NOT kept").select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    (name,) = fresh(docs, "_dropped")
+    dropped = found.where("NOT kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col(name), "left_anti")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import fresh, quoted, save
 
 
 @dataclass(frozen=True)
@@ -180,21 +180,21 @@ def redacted(docs: DataFrame, mask: str = "<secret>", rules: tuple[Rule, ...] =
         (out, s) -> if(size(out) > 0 and s.start < element_at(out, -1).end,
             concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, s.end)))),
             concat(out, array(s))))"""
-    cuts = current(findings, rules).groupBy(F.col("blob_id").alias("_blob")).agg(F.expr(merge).alias("_cuts"))
-    quoted = f"`{text_col}`"
+    blob, mine, new, cut = fresh(docs, "_blob", "_blob_id", "_new", "_cuts")
+    cuts = current(findings, rules).groupBy(F.col("blob_id").alias(blob)).agg(F.expr(merge).alias(cut))
+    text = quoted(text_col)
     # the pieces before each cut, then what follows the last
-    rebuilt = f"""concat(array_join(transform(_cuts, (s, i) -> substring({quoted},
-        cast(if(i = 0, 0, _cuts[i - 1].end) + 1 as int), cast(s.start - if(i = 0, 0, _cuts[i - 1].end) as int))), '{mask}'),
-        '{mask}', substring({quoted}, cast(element_at(_cuts, -1).end + 1 as int)))"""
-    out = docs.withColumn("_blob_id", blob_id(text_col)).join(cuts, F.col("_blob_id") == F.col("_blob"), "left")
-    text = F.when(F.col("_cuts").isNotNull(), F.expr(rebuilt)).otherwise(F.col(text_col))
-    out = out.withColumn("_new", text)
+    rebuilt = f"""concat(array_join(transform({cut}, (s, i) -> substring({text},
+        cast(if(i = 0, 0, {cut}[i - 1].end) + 1 as int), cast(s.start - if(i = 0, 0, {cut}[i - 1].end) as int))), '{mask}'),
+        '{mask}', substring({text}, cast(element_at({cut}, -1).end + 1 as int)))"""
+    out = docs.withColumn(mine, blob_id(text_col)).join(cuts, F.col(mine) == F.col(blob), "left")
+    out = out.withColumn(new, F.when(F.col(cut).isNotNull(), F.expr(rebuilt)).otherwise(F.col(text)))
     columns = []
     for f in docs.schema:
         if f.name == text_col:
-            columns.append(F.col("_new").alias(f.name))
+            columns.append(F.col(new).alias(f.name))
         elif f.name == chars_col:
-            columns.append(F.when(F.col("_cuts").isNotNull(), F.length("_new")).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name))
+            columns.append(F.when(F.col(cut).isNotNull(), F.length(new)).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name))
         else:
-            columns.append(F.col(f"`{f.name}`"))
+            columns.append(F.col(quoted(f.name)))
     return out.select(*columns)
