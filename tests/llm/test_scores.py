@@ -1,16 +1,13 @@
-"""Language identification, language model and quality scores."""
+"""Language identification and quality scores."""
 
-import zlib
 from collections import Counter
-from math import log10
 
 import numpy as np
 import pytest
 from llm_texts import prose
-from pyspark.sql import functions as F
 
 from trialspark.llm import language as la
-from trialspark.llm import ppm, quality
+from trialspark.llm import quality
 from trialspark.llm.common import remainder
 
 
@@ -74,90 +71,6 @@ def test_language_odd_tables(clashing, empty, docs):
     assert la.predict(docs, la.learn(empty)).where("_lang <> 'und'").count() == 0
 
 
-def slow_ppm(words, counts, order):
-    """Code length of segments by the definition: escapes by distinct bytes, exclusion of bytes seen in longer contexts."""
-    trie = {}
-
-    def steps(word):
-        start = [ppm._RUN if word[0] in ppm._BLANK else ppm._WORD] * order
-        line = start + list(word) + [ppm._END]
-        return [(tuple(line[i - order : i]), line[i]) for i in range(order, len(line))]
-
-    for word, n in counts.items():
-        for context, byte in steps(word) if n else ():
-            for k in range(order + 1):
-                node = trie.setdefault(context[order - k :], Counter())
-                node[byte] += n
-    out = {}
-    for word in words:
-        total = 0.0
-        for context, byte in steps(word):
-            excluded = set()
-            for k in range(order, -1, -1):
-                node = trie.get(context[order - k :])
-                if node is None:
-                    continue
-                left = {b: n for b, n in node.items() if b not in excluded}
-                weight = sum(left.values()) + len(left)
-                if byte in left:
-                    total += log10(left[byte] / weight)
-                    break
-                if left:
-                    total += log10(len(left) / weight)
-                excluded |= set(node)
-            else:
-                total -= log10(ppm._SYMBOLS - len(excluded))
-        out[word] = total
-    return out
-
-
-@pytest.mark.parametrize("order", [2, 4])
-def test_code_lengths(spark, docs, texts, order):
-    some = docs.where("doc_id <> 86")
-    low = {i: (t or "").encode().translate(ppm.LOWER) for i, t in texts.items() if i != 86}
-    train = {i for i in low if zlib.crc32(str(i).encode()) % 10}
-    counts, tokens = Counter(), Counter()
-    for i, t in low.items():
-        found = ppm.segments(t)[0]
-        for w in found:
-            counts[w] += found[w] if i in train else 0
-        if i in train:
-            tokens.update(t.split() + [None])
-    lp = slow_ppm(list(counts), counts, order)
-    total, distinct = sum(tokens.values()), len(tokens)
-    for r in ppm.score(some, remainder("doc_id", 10) == 0, order=order).collect():
-        t = low[r["doc_id"]]
-        words = t.split() + [None]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(tokens[w] > 0 for w in words), total)
-        assert r["held_out"] == (r["doc_id"] not in train)
-        assert r["base_score"] == pytest.approx(sum(log10((tokens[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words))
-        parts = sum(n * lp[w] for w, n in ppm.segments(t)[0].items())
-        assert parts - 10 * len(words) < r["score"] < parts or r["score"] == pytest.approx(parts, abs=2)
-
-
-def test_probabilities_add_up_to_one():
-    words = {b"ab": 3, b"abc": 1, b"b": 2}
-    grams = np.array([(c1 << 16) | (c2 << 8) | b for c1, c2 in ((254, 254), (254, 97), (97, 98), (1, 1)) for b in range(256) if b not in (ppm._WORD, ppm._RUN)])
-    g, size = ppm.gram_codes(list(words), 2)
-    seen, at = np.unique(g, return_inverse=True)
-    n = np.bincount(at, np.repeat(list(words.values()), size))
-    low, la_ = np.unique(seen & 0xFFFF, return_inverse=True)
-    # contexts are asked in full: every byte after them
-    asked = np.union1d(grams, seen)
-    counts = np.zeros(len(asked))
-    counts[np.searchsorted(asked, seen)] = n
-    p = 10 ** ppm.log_probabilities(asked, counts, (low, np.bincount(la_, n)), 2)
-    for context in np.unique(grams >> 8):
-        assert p[(asked >> 8) == context].sum() == pytest.approx(1)
-
-
-def test_ppm_odd_tables(clashing, empty):
-    out = ppm.score(clashing, remainder("doc_id", 10) == 0)
-    assert out.count() == clashing.count() and out.where("score IS NULL OR score > 0 OR isnan(score)").count() == 0
-    assert ppm.score(empty, remainder("doc_id", 10) == 0).count() == 0
-    assert ppm.score(clashing, F.lit(True)).where("n_known > 0 OR score > 0").count() == 0
-
-
 @pytest.fixture(scope="module")
 def graded(spark):
     import random

@@ -1,186 +1,219 @@
-"""Language-model scoring by prediction by partial matching over byte contexts.
-
-Model. A text is a row of segments, words and runs of white space in turn (A-Z in lower
-case). A segment's bytes and its end are predicted from up to ``ORDER`` bytes before them in the
-segment, in the trie of all contexts seen in training. Where a context lacks the byte,
-the model escapes to the context without its oldest byte; escapes have the weight of the
-number of distinct bytes seen (method C), and bytes of the longer context are excluded
-from the shorter one. After the empty context all bytes not seen are equally likely.
-Whether a text is empty, starts with white space, and ends after a segment are coded by
-their training frequencies.
-
-Work. A segment's code length depends on the segment alone, so it is worked out once for
-each distinct segment:
-
-1. Documents are dealt into buckets of ``BUCKET_BYTES``; a bucket becomes its distinct
-   segments with training counts, and its documents as counts of these.
-2. Segments are dealt by hash into groups of about ``GROUP_ROWS``; each group sums counts and
-   lists its distinct (context, byte) grams.
-3. Grams are summed. All contexts with the same last two bytes are handled together,
-   at most 2^24 grams; orders 1 and 0 come from a broadcast table of 2^16 counts.
-4. Code lengths go back to the groups, from there to the buckets, and are added up.
-
-All counts cover every training document; nothing is pruned. The base score is a
-smoothed unigram over words, from the same segment counts.
+"""Language-model scoring by prediction by partial matching over the byte stream of each text.
+
+Model. A text's bytes (A-Z in lower case) and its end are predicted from the ``ORDER`` bytes before
+them, blanks and the word before included; before its first byte stand start marks. The trie
+holds all contexts seen in training. Where a context lacks the byte, the model escapes to
+the context without its oldest byte. Method D: of n occurrences of a byte among T, n - 1/2
+count for it and 1/2 for the escape. Bytes of a longer context are excluded from a shorter
+one. After the empty context all bytes not seen are equally likely.
+
+Work. A byte's code length depends on its gram alone, the context and the byte:
+
+1. Tasks cut their documents into packs of ``PACK_BYTES`` and list each pack's distinct grams
+   and words with training counts, beside the texts. Grams are sorted from the nearest
+   context byte on, so that their differences are small, and stored in shards by the three
+   nearest bytes, compressed.
+2. Counts of grams of up to two context bytes are added up: 2^24 at most, broadcast.
+3. A shard adds up the counts of its grams, which hold whole branches of the trie, and
+   gives every pack the code lengths of its grams, in the pack's order. The same for words.
+4. Each pack adds up its texts position by position.
+
+All counts cover every training document; nothing is pruned. Nothing but the grams of two
+context bytes is gathered; what moves is packed, a few bytes a gram. The base score is the
+smoothed unigram over words. Code lengths move in single precision, sums are double.
 
 Defined cases: a null text is empty: its only token is the end; repeated rows count each;
-a null id hashes as the empty text; without training rows every byte is equally likely.
+a null id hashes as the empty text; without training rows every byte is equally likely; only
+the id and the text of the input are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, save, text_bytes
 
-ORDER = 4
-BUCKET_BYTES = 14_000_000
-GROUP_ROWS = 150_000
-CHUNK_ROWS = 300_000
-#: bytes that never occur in UTF-8 mark the start of a word, the start of a run, and the end
-_WORD, _RUN, _END = 0xFE, 0xFD, 0xFF
+ORDER = 6
+PACK_BYTES = 24_000_000
+SHARD_BYTES = 32_000_000
+#: bytes of texts whose codes are held at once
+PART_BYTES = 2_000_000
+#: bytes that never occur in UTF-8 mark the start and the end
+_START, _END = 0xFE, 0xFF
 _SYMBOLS = 254
-#: runs other than one blank
-_RUNS = re.compile(rb"[\x09-\x0d\x20]{2,}|[\x09-\x0d]")
-_BLANK = b"\t\n\x0b\x0c\r "
+LOW = 2
 
 
-def segments(text: bytes) -> tuple[Counter, int, bool]:
-    """Counts of the distinct segments, their number, and whether white space comes first."""
-    words = text.split()
-    out = Counter(words)
-    first = text[:1] in _BLANK if text else False
-    runs = len(words) - 1 + first + (text[-1] in _BLANK) if words else int(bool(text))
-    if runs:
-        odd = _RUNS.findall(text)
-        out.update(odd)
-        if runs > len(odd):
-            out[b" "] += runs - len(odd)
-    return out, len(words) + runs, first
+# ---- numbers in few bytes ----
 
 
-def packed(at: np.ndarray, times: np.ndarray) -> bytes:
-    """Rising numbers as differences, and their counts, byte plane by byte plane: the planes compress well."""
-    both = np.stack([np.diff(at, prepend=0), times]).astype("<i4")
-    return both.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes()
+def squeezed(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers as compressed byte planes; rising ones as differences."""
+    steps = np.diff(numbers, prepend=0) if rising else numbers
+    planes = steps.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(data, np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)
-    both = np.ascontiguousarray(planes).view("<i4")[..., 0]
-    return np.cumsum(both[0]), both[1]
+def unsqueezed(data: bytes, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    numbers = np.ascontiguousarray(planes.T).view("<i8").ravel()
+    return np.cumsum(numbers) if rising else numbers
 
 
-def coded(docs: DataFrame, id_col: str, text_col: str, held_out: Column, order: int) -> DataFrame:
-    """Step 1: rows of segments (bucket, idx, word, n) and rows of documents (bucket, id, ...)."""
-    count = max(1, -(-text_bytes(docs, text_col) // BUCKET_BYTES))
-    kind = docs.schema[id_col].dataType.simpleString()
-    dealt = docs.select(
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(count)).cast("int").alias("bucket"),
-        F.col(id_col).alias("_id"),
-        held_out.alias("held_out"),
-        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"),
-    )
-    schema = f"bucket int, idx int, word binary, n long, _id {kind}, held_out boolean, n_words long, n_segments long, run_first boolean, codes binary"
-
-    def run(group: pa.Table) -> pa.Table:
-        index: dict[bytes, int] = {}
-        at, times, words, sizes, firsts = [], [], [], [], []
-        for text in group.column("_text").to_pylist():
-            found, size, first = segments(text.translate(LOWER))
-            numbers = np.array([index.setdefault(w, len(index)) for w in found], np.int64)
-            order_ = np.argsort(numbers)
-            at.append(numbers[order_])
-            times.append(np.array(list(found.values()), np.int64)[order_])
-            sizes.append(size)
-            firsts.append(first)
-            words.append(len(text.split()))
-        held, docs_n, n = np.array(group.column("held_out").to_pylist(), bool), group.num_rows, len(index)
-        train = np.zeros(n)
-        some = [i for i in range(docs_n) if not held[i]]
-        if some and n:
-            train = np.bincount(np.concatenate([at[i] for i in some]), np.concatenate([times[i] for i in some]), n)
-        bucket = group.column("bucket")[0].as_py()
-
-        def nulls(count, type_):
-            return pa.nulls(count, type_)
-
-        listed = {
-            "bucket": pa.array([bucket] * n, pa.int32()),
-            "idx": pa.array(np.arange(n), pa.int32()),
-            "word": pa.array(list(index), pa.binary()),
-            "n": pa.array(train.astype(np.int64)),
-        }
-        rows = {
-            "bucket": pa.array([bucket] * docs_n, pa.int32()),
-            "_id": group.column("_id").combine_chunks(),
-            "held_out": pa.array(held),
-            "n_words": pa.array(words, pa.int64()),
-            "n_segments": pa.array(sizes, pa.int64()),
-            "run_first": pa.array(firsts, pa.bool_()),
-            "codes": pa.array([packed(a, t) for a, t in zip(at, times)], pa.binary()),
-        }
-        types = {"idx": pa.int32(), "word": pa.binary(), "n": pa.int64(), "_id": rows["_id"].type, "held_out": pa.bool_()}
-        types |= {"n_words": pa.int64(), "n_segments": pa.int64(), "run_first": pa.bool_(), "codes": pa.binary()}
-        parts = [pa.table({"bucket": part["bucket"], **{c: part.get(c, nulls(size, t)) for c, t in types.items()}}) for part, size in ((listed, n), (rows, docs_n))]
-        return pa.concat_tables(parts)
-
-    return dealt.groupBy("bucket").applyInArrow(run, schema)
-
-
-def gram_codes(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all (context, byte) grams of the segments, and how many each segment has."""
-    pads = {True: bytes([_RUN]) * order, False: bytes([_WORD]) * order}
-    end = bytes([_END])
-    data = np.frombuffer(b"".join([pads[w[0] in _BLANK] + w + end for w in words]), np.uint8).astype(np.int64)
+# ---- grams ----
+
+
+def parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text) + 1
+        if size >= PART_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def stream_codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the grams of all texts in order, and how many each text has.
+
+    A code has the nearest context byte first, the oldest next to last, and the byte last.
+    """
+    pad, end = bytes([_START]) * order, bytes([_END])
+    data = np.frombuffer(b"".join([pad + t + end for t in texts]), np.uint8).astype(np.int64)
     out = data.copy()
     for k in range(1, order + 1):
-        out[k:] += data[:-k] << (8 * k)
-    return out[(data != _WORD) & (data != _RUN)], np.array([len(w) + 1 for w in words])
+        out[k:] += data[:-k] << (8 * (order - k + 1))
+    size = np.array([len(t) + 1 for t in texts])
+    starts = np.cumsum(size + order) - size - order
+    keep = np.ones(len(data), bool)
+    keep[(starts[:, None] + np.arange(order)).ravel()] = False
+    return out[keep], size
+
+
+def shorter(codes: np.ndarray, by: int) -> np.ndarray:
+    """The grams without their ``by`` oldest context bytes."""
+    return (codes >> (8 * (by + 1))) << 8 | (codes & 0xFF)
+
+
+def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and their summed counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[new], np.add.reduceat(n, new) if len(grams) else n
 
 
-def _by_word(words: list[bytes], n: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, each row's word number, and summed counts."""
-    index: dict[bytes, int] = {}
-    at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    return list(index), at, np.bincount(at, n, len(index)).astype(np.int64)
+def pack_grams(texts: list[bytes], held: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the texts with their counts in those that are not held out."""
+    some = []
+    for out in (False, True):
+        for part in parts([t for t, h in zip(texts, held) if h == out]):
+            grams, n = np.unique(stream_codes(part, order)[0], return_counts=True)
+            some.append((grams, n * (not out)))
+    return summed(np.concatenate([g for g, _ in some]), np.concatenate([n for _, n in some]))
 
 
-def group_grams(rows: DataFrame, order: int) -> DataFrame:
-    """Step 2: (grp, g, n): grams of each group with training counts; g = -1 counts the trained words."""
+def gram_shard(grams: np.ndarray, order: int, shards: int) -> np.ndarray:
+    """Shard of each gram, by its three nearest context bytes."""
+    key = (grams >> (8 * (order - 2))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((key >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
-    def run(group: pa.Table) -> pa.Table:
-        words, _, total = _by_word(group.column("word").to_pylist(), group.column("n").to_numpy())
-        g, size = gram_codes(words, order)
-        grams, at = np.unique(g, return_inverse=True)
-        n = np.bincount(at, np.repeat(total, size)).astype(np.int64)
-        trained = sum(t > 0 and w[0] not in _BLANK for w, t in zip(words, total.tolist()))
-        return pa.table(
-            {
-                "grp": pa.array(np.full(len(grams) + 1, group.column("grp")[0].as_py()), pa.int64()),
-                "g": pa.array(np.append(grams, -1), pa.int64()),
-                "n": pa.array(np.append(n, trained), pa.int64()),
-            }
-        )
 
-    return rows.select("grp", "word", "n").groupBy("grp").applyInArrow(run, "grp long, g long, n long")
+def pack_words(texts: list[bytes], held: list[bool]) -> Counter:
+    words: Counter = Counter()
+    for text, out in zip(texts, held):
+        words.update(dict.fromkeys(text.split(), 0) if out else text.split())
+    return words
+
+
+def word_shards(words: list[bytes], shards: int) -> list[list[bytes]]:
+    """Sorted words of each shard."""
+    out = [[] for _ in range(shards)]
+    for word in sorted(words):
+        out[xxhash.xxh3_64_intdigest(word) % shards].append(word)
+    return out
+
+
+# ---- step 1 ----
+
+
+def packs(docs: DataFrame, id_col: str, text_col: str, held_out: Column, order: int, shards: int) -> DataFrame:
+    """Rows of grams and of words of a pack and shard, of grams of ``LOW`` context bytes of a pack, and of documents."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"pack long, kind string, shard int, keys binary, n binary, _id {kind}, held_out boolean, text binary"
+    names = ["pack", "kind", "shard", "keys", "n", "_id", "held_out", "text"]
+    size_of = text_bytes(docs, text_col)
+    source = docs.select(F.col(id_col).alias("_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    # small partitions would each list the common grams again
+    source = source.coalesce(max(1, -(-size_of // PACK_BYTES)))
+
+    def run(batches):
+        pack, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), None, pa.bool_(), pa.binary()]
+
+        def rows(count, kind, **columns):
+            arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in zip(names, kinds)]
+            return pa.RecordBatch.from_arrays([pa.array([pack] * count, pa.int64()), pa.array([kind] * count, pa.string()), *arrays[2:]], names=names)
+
+        def flush():
+            grams, n = pack_grams(texts, held, order)
+            low, low_n = summed(shorter(grams[n > 0], order - LOW), n[n > 0])
+            yield rows(1, "low", keys=[squeezed(low, True)], n=[squeezed(low_n)])
+            shard = gram_shard(grams, order, shards)
+            by_shard = np.argsort(shard, kind="stable")
+            ends = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+            for s, (a, b) in enumerate(zip(ends, ends[1:])):
+                if a < b:
+                    at = by_shard[a:b]
+                    yield rows(1, "gram", shard=[s], keys=[squeezed(grams[at], True)], n=[squeezed(n[at])])
+            count = pack_words(texts, held)
+            for s, words in enumerate(word_shards(list(count), shards)):
+                if words:
+                    joined = zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+                    yield rows(1, "word", shard=[s], keys=[joined], n=[squeezed(np.array([count[w] for w in words], np.int64))])
+            for a in range(0, len(texts), 1_000):
+                some = slice(a, a + 1_000)
+                yield rows(len(texts[some]), "text", _id=ids[some], held_out=held[some], text=texts[some])
+
+        for batch in batches:
+            kinds[5] = batch.column("_id").type
+            for i, out, text in zip(batch.column("_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist()):
+                ids.append(i)
+                held.append(bool(out))
+                texts.append(text.translate(LOWER))
+                size += len(text) + 1
+                if size >= PACK_BYTES:
+                    yield from flush()
+                    pack, ids, held, texts, size = pack + 1, [], [], [], 0
+        if texts:
+            yield from flush()
+
+    return source.mapInArrow(run, schema)
+
+
+# ---- the model ----
 
 
 class Level:
     """Counts of grams of one order: n of a gram, and total and distinct bytes of a context."""
 
     def __init__(self, grams: np.ndarray, n: np.ndarray):
-        self.grams, at = np.unique(grams, return_inverse=True)
-        self.n = np.bincount(at, n, len(self.grams)) if len(grams) else np.zeros(0)
+        self.grams, self.n = summed(grams, n)
         self.contexts, self.of = np.unique(self.grams >> 8, return_inverse=True)
         self.total = np.bincount(self.of, self.n, len(self.contexts))
         self.distinct = np.bincount(self.of, minlength=len(self.contexts)).astype(float)
+        self.below = np.zeros(len(self.contexts))
 
     @staticmethod
     def _find(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,150 +228,166 @@ class Level:
     def context(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self._find(self.contexts, c)
 
+    def stand_on(self, lower: Level) -> None:
+        """What a context's bytes weigh in the context below: that much is excluded there."""
+        if len(self.grams):
+            at, _ = lower.gram(shorter(self.grams, 1))
+            self.below = np.bincount(self.of, lower.n[at], len(self.contexts))
+
+
+def low_levels(grams: np.ndarray, n: np.ndarray) -> list[Level]:
+    """The levels of up to ``LOW`` context bytes, from the grams of ``LOW``."""
+    levels = [Level(shorter(grams, LOW - k) if k < LOW else grams, n) for k in range(LOW + 1)]
+    for lower, upper in zip(levels, levels[1:]):
+        upper.stand_on(lower)
+    return levels
 
-def log_probabilities(g: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
-    """log10 of each gram's probability. ``g`` holds all grams of its two-byte contexts; ``low`` all two-byte grams and counts."""
+
+def log_probabilities(g: np.ndarray, n: np.ndarray, low: list[Level], order: int) -> np.ndarray:
+    """log10 of each gram's probability. ``g``, sorted, holds whole branches: all grams of its three nearest bytes."""
     trained = n > 0
-    levels = [None, Level(*low)] + [Level(g[trained] & ((1 << 8 * (k + 1)) - 1), n[trained]) for k in range(2, order + 1)]
-    levels[0] = Level(low[0] & 0xFF, low[1])
-    # what a context's bytes weigh in the context below
-    below = [None]
-    for k in range(1, order + 1):
-        at, _ = levels[k - 1].gram(levels[k].grams & ((1 << 8 * k) - 1))
-        below.append(np.bincount(levels[k].of, levels[k - 1].n[at], len(levels[k].contexts)) if len(levels[k].grams) else np.zeros(0))
+    levels = [*low, *(Level(shorter(g[trained], order - k) if k < order else g[trained], n[trained]) for k in range(LOW + 1, order + 1))]
+    for k in range(LOW + 1, order + 1):
+        levels[k].stand_on(levels[k - 1])
     out = np.zeros(len(g))
-    open_, escaped = np.ones(len(g), bool), np.zeros(len(g), bool)
-    upper = np.zeros(len(g), np.int64)
+    todo = np.arange(len(g))  # grams not coded yet
+    upper, escaped = np.zeros(len(g), np.int64), np.zeros(len(g), bool)
     for k in range(order, -1, -1):
-        level, code = levels[k], g & ((1 << 8 * (k + 1)) - 1)
-        at, hit = level.gram(code)
-        of, known = level.context(code >> 8)
-        if not len(level.grams):
+        level = levels[k]
+        if not len(level.grams) or not len(todo):
             continue
+        code = shorter(g[todo], order - k) if k < order else g[todo]
+        of, known = level.context(code >> 8)
+        at, hit = level.gram(code)
         total, distinct = level.total[of], level.distinct[of]
         if k < order and len(levels[k + 1].contexts):
-            total = total - np.where(escaped, below[k + 1][upper], 0)
+            total = total - np.where(escaped, levels[k + 1].below[upper], 0)
             distinct = distinct - np.where(escaped, levels[k + 1].distinct[upper], 0)
-        weight = total + distinct
-        now = open_ & known & hit
-        out[now] += np.log10(level.n[at[now]] / weight[now])
-        open_ &= ~now
-        leave = open_ & known
-        some = leave & (weight > 0)
-        out[some] += np.log10(distinct[some] / weight[some])
-        escaped |= leave
-        upper = np.where(leave, of, 0)
+        now = known & hit
+        out[todo[now]] += np.log10((level.n[at[now]] - 0.5) / total[now])
+        some = known & ~hit & (distinct > 0.5)
+        out[todo[some]] += np.log10(distinct[some] / 2 / total[some])
+        escaped, upper = (escaped | known)[~now], np.where(known, of, 0)[~now]
+        todo = todo[~now]
     left = _SYMBOLS - (levels[0].distinct[0] if len(levels[0].distinct) else 0)
-    out[open_ & escaped] -= np.log10(left)
-    out[open_ & ~escaped] -= np.log10(_SYMBOLS)
+    out[todo] -= np.log10(np.where(escaped, left, _SYMBOLS))
     return out
 
 
-def gram_scores(counts: DataFrame, order: int) -> DataFrame:
-    """Step 3: (g, lp) of every gram, from summed counts (g, n)."""
-    pairs = counts.where("n > 0").groupBy(F.col("g").bitwiseAND(0xFFFF).alias("g")).agg(F.sum("n").alias("n")).collect()  # 2^16 rows at most
-    low = (np.array([r["g"] for r in pairs], np.int64), np.array([r["n"] for r in pairs], np.float64))
-    shared = counts.sparkSession.sparkContext.broadcast(low)
-    # sort key: the last two context bytes, then the gram
-    keyed = counts.withColumn("c", F.shiftright("g", 8).bitwiseAND(0xFFFF))
+# ---- steps 2 to 4 ----
+
+_ANSWER = "pack long, kind string, shard int, v binary, tokens long, distinct long"
+_ANSWER_KINDS = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * 6
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, _ANSWER_KINDS)], names=[c.split()[0] for c in _ANSWER.split(", ")])
+
+
+def low_grams(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of ``LOW`` context bytes, 2^24 at most: packs are added up in tasks, then those sums here."""
 
     def run(batches):
-        held = None
+        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in ("c", "g", "n")])
-            held = rows if held is None else np.concatenate([held, rows], axis=1)
-            if held.shape[1] >= CHUNK_ROWS and held[0, 0] != held[0, -1]:
-                cut = int(np.searchsorted(held[0], held[0, -1]))
-                yield score(held[:, :cut])
-                held = held[:, cut:]
-        if held is not None and held.shape[1]:
-            yield score(held)
+            found = [(unsqueezed(k, True), unsqueezed(n)) for k, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist())]
+            total = summed(*(np.concatenate(x) for x in zip(total, *found)))
+        yield pa.RecordBatch.from_arrays([pa.array([squeezed(total[0], True)], pa.binary()), pa.array([squeezed(total[1])], pa.binary())], names=["keys", "n"])
 
-    def score(rows):
-        lp = log_probabilities(rows[1], rows[2], shared.value, order)
-        return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(lp)], names=["g", "lp"])
+    rows = made.where("kind = 'low'").select("keys", "n")
+    parts = max(1, made.sparkSession.sparkContext.defaultParallelism)
+    total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for r in rows.repartition(parts).mapInArrow(run, "keys binary, n binary").toLocalIterator():
+        total = summed(np.concatenate([total[0], unsqueezed(r["keys"], True)]), np.concatenate([total[1], unsqueezed(r["n"])]))
+    return total
 
-    return keyed.repartition("c").sortWithinPartitions("c", "g").select("c", "g", "n").mapInArrow(run, "g long, lp double")
 
+def gram_answers(made: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int) -> DataFrame:
+    shared = made.sparkSession.sparkContext.broadcast(low)
 
-def segment_scores(rows: DataFrame, grams: DataFrame, order: int) -> DataFrame:
-    """Step 4a: (bucket, idx, c, lp): training count (-1 for white space) and log10 probability of each segment."""
+    def run(table: pa.Table) -> pa.Table:
+        keys = [unsqueezed(k, True) for k in table["keys"].to_pylist()]
+        grams, n = summed(np.concatenate(keys), np.concatenate([unsqueezed(c) for c in table["n"].to_pylist()]))
+        lp = log_probabilities(grams, n, low_levels(*shared.value), order).astype("<f4")
+        shard = table["shard"][0].as_py()
+        return _answers([(p, "gram", shard, lp[np.searchsorted(grams, k)].tobytes(), None, None) for p, k in zip(table["pack"].to_pylist(), keys)])
+
+    return made.where("kind = 'gram'").select("pack", "shard", "keys", "n").groupBy("shard").applyInArrow(run, _ANSWER)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, at, total = _by_word(left.column("word").to_pylist(), left.column("n").to_numpy())
-        order_ = np.argsort(right.column("g").to_numpy())
-        known, lp = right.column("g").to_numpy()[order_], right.column("lp").to_numpy()[order_]
-        g, size = gram_codes(words, order)
-        sums = np.add.reduceat(lp[np.searchsorted(known, g)], np.cumsum(size) - size)
-        count = np.where([w[0] in _BLANK for w in words], -1, total)
-        return pa.table({"bucket": left.column("bucket"), "idx": left.column("idx"), "c": pa.array(count[at], pa.int64()), "lp": pa.array(sums[at])})
 
-    left = rows.select("grp", "bucket", "idx", "word", "n").groupBy("grp")
-    return left.cogroup(grams.select("grp", "g", "lp").groupBy("grp")).applyInArrow(run, "bucket int, idx int, c long, lp double")
+def word_answers(made: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        keys = [zstandard.ZstdDecompressor().decompress(k).split(b" ") for k in table["keys"].to_pylist()]
+        total: dict[bytes, int] = {}
+        for words, n in zip(keys, table["n"].to_pylist()):
+            for word, c in zip(words, unsqueezed(n).tolist()):
+                total[word] = total.get(word, 0) + c
+        shard = table["shard"][0].as_py()
+        rows = [(p, "word", shard, squeezed(np.array([total[w] for w in words], np.int64)), None, None) for p, words in zip(table["pack"].to_pylist(), keys)]
+        return _answers([*rows, (None, "total", shard, None, sum(total.values()), sum(c > 0 for c in total.values()))])
 
+    return made.where("kind = 'word'").select("pack", "shard", "keys", "n").groupBy("shard").applyInArrow(run, _ANSWER)
 
-def document_sums(docs: DataFrame, scored: DataFrame, kind: str) -> DataFrame:
-    """Step 4b: per document the known words, sum of log10(c + 0.1) and log10 probability of its segments."""
+
+def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int, shards: int) -> DataFrame:
+    """Per document the words, known words, sum of log10(c + 0.1), and log10 probability of its bytes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = right.column("idx").to_numpy()
-        count, lp = np.zeros(len(at), np.int64), np.zeros(len(at))
-        count[at], lp[at] = right.column("c").to_numpy(), right.column("lp").to_numpy()
-        word, known = count >= 0, count > 0
-        base = np.where(word, np.log10(np.maximum(count, 0) + 0.1), 0)
-        out = []
-        for codes in left.column("codes").to_pylist():
-            a, times = unpacked(codes)
-            out.append((int(times[known[a]].sum()), float((base[a] * times).sum()), float((lp[a] * times).sum())))
-        known_n, base_n, lp_n = zip(*out)
-        rest = left.select(["_id", "held_out", "n_words", "n_segments", "run_first"])
-        return rest.append_column("known", pa.array(known_n, pa.int64())).append_column("base", pa.array(base_n)).append_column("lp", pa.array(lp_n))
-
-    # buckets whose texts are all empty have no segments
-    left = docs.select("bucket", "_id", "held_out", "n_words", "n_segments", "run_first", "codes")
-    schema = f"_id {kind}, held_out boolean, n_words long, n_segments long, run_first boolean, known long, base double, lp double"
-    return left.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(run, schema)
+        lines, held = left["text"].to_pylist(), left["held_out"].to_pylist()
+        given = {(k, s): v for k, s, v in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["v"].to_pylist())}
+        count: dict[bytes, int] = {}
+        for s, words in enumerate(word_shards(list(pack_words(lines, held)), shards)):
+            if words:
+                count.update(zip(words, unsqueezed(given["word", s]).tolist()))
+        grams, _ = pack_grams(lines, held, order)
+        shard = gram_shard(grams, order, shards)
+        by_shard, lp = np.argsort(shard, kind="stable"), np.zeros(len(grams))
+        lp[by_shard] = np.concatenate([np.frombuffer(given["gram", s], "<f4") for s in np.unique(shard).tolist()])
+        n_words, known, base, sums = [], [], [], []
+        for part in parts(lines):
+            codes, size = stream_codes(part, order)
+            order_ = np.argsort(codes)
+            codes = codes[order_]
+            new = np.concatenate([[True], codes[1:] != codes[:-1]])
+            value = lp[np.searchsorted(grams, codes[new])][np.cumsum(new) - 1]
+            sums.append(np.bincount(np.repeat(np.arange(len(part)), size)[order_], value, len(part)))
+        for text in lines:
+            c = np.array([count[w] for w in text.split()], float)
+            n_words.append(len(c))
+            known.append(np.count_nonzero(c))
+            base.append(np.log10(c + 0.1).sum())
+        out = left.select(["_id", "held_out"])
+        for name, column in (("n_words", pa.array(n_words, pa.int64())), ("known", pa.array(known, pa.int64())), ("base", pa.array(base, pa.float64())), ("lp", pa.array(np.concatenate(sums)))):
+            out = out.append_column(name, column)
+        return out
+
+    schema = f"_id {kind}, held_out boolean, n_words long, known long, base double, lp double"
+    left = texts.select("pack", "_id", "held_out", "text").groupBy("pack")
+    return left.cogroup(answers.select("pack", "kind", "shard", "v").groupBy("pack")).applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from rows that are not held out."""
-    if not 2 <= order <= 6:
-        raise ValueError("order must be 2 to 6")
+    if not LOW < order <= 6:
+        raise ValueError(f"order must be {LOW + 1} to 6")
     kind = docs.schema[id_col].dataType.simpleString()
-    made = save(coded(docs, id_col, text_col, held_out, order), "coded")
-    rows, texts = made.where("idx IS NOT NULL"), made.where("idx IS NULL")
-    total = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(~F.substring("word", 1, 1).isin([bytes([b]) for b in _BLANK]), F.col("n"))), F.lit(0)).alias("tokens")).first()
-    groups = max(1, -(-total["rows"] // GROUP_ROWS))
-    rows = rows.select("bucket", "idx", "word", "n", F.pmod(F.xxhash64("word"), F.lit(groups)).alias("grp"))
-    listed = save(group_grams(rows, order), "grams")
-    summed = listed.groupBy("g").agg(F.sum("n").alias("n"))
-    distinct = listed.where("g = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    scores = gram_scores(summed.where("g >= 0"), order)
-    scored = segment_scores(rows, listed.where("g >= 0").select("grp", "g").join(scores, "g"), order)
-    sums = document_sums(texts, scored, kind)
-
-    known = texts.where("NOT held_out").agg(
-        F.count("*").alias("docs"),
-        F.coalesce(F.sum((F.col("n_segments") == 0).cast("long")), F.lit(0)).alias("empty"),
-        F.coalesce(F.sum(F.col("run_first").cast("long")), F.lit(0)).alias("first"),
-        F.coalesce(F.sum("n_segments"), F.lit(0)).alias("segments"),
-    ).first()
-    train, vocabulary = total["tokens"] + known["docs"], distinct + (known["docs"] > 0)
-    full = known["docs"] - known["empty"]
-    p_empty, p_first, p_end = (known["empty"] + 0.5) / (known["docs"] + 1), (known["first"] + 0.5) / (full + 1), (full + 0.5) / (known["segments"] + 1)
+    shards = max(1, -(-text_bytes(docs, text_col) // SHARD_BYTES))
+    made = save(packs(docs, id_col, text_col, held_out, order, shards), "packs")
+    texts = made.where("kind = 'text'")
+    answers = save(gram_answers(made, low_grams(made), order).union(word_answers(made)), "answers")
+    sums = document_sums(texts, answers.where("pack IS NOT NULL"), kind, order, shards)
+
+    n_docs = texts.where("NOT held_out").count()
+    seen = answers.where("kind = 'total'").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
+    train, distinct = seen["tokens"] + n_docs, seen["distinct"] + (n_docs > 0)
     tokens = F.col("n_words") + 1
-    frame = F.when(F.col("n_segments") == 0, F.log10(F.lit(p_empty))).otherwise(
-        F.log10(F.lit(1 - p_empty))
-        + F.when(F.col("run_first"), F.log10(F.lit(p_first))).otherwise(F.log10(F.lit(1 - p_first)))
-        + F.log10(F.lit(p_end))
-        + (F.col("n_segments") - 1) * F.log10(F.lit(1 - p_end) if p_end < 1 else F.lit(0.5))
-    )
     return sums.select(
         F.col("_id").alias(id_col),
         "held_out",
         tokens.alias("n_tokens"),
-        (F.col("known") + int(known["docs"] > 0)).alias("n_known"),
+        (F.col("known") + int(n_docs > 0)).alias("n_known"),
         F.lit(int(train)).alias("train_tokens"),
-        (F.col("base") + F.log10(F.lit(known["docs"] + 0.1)) - tokens * F.log10(F.lit(train + 0.1 * (vocabulary + 1)))).alias("base_score"),
-        (F.col("lp") + frame).alias("score"),
+        (F.col("base") + F.log10(F.lit(n_docs + 0.1)) - tokens * F.log10(F.lit(train + 0.1 * (distinct + 1)))).alias("base_score"),
+        F.col("lp").alias("score"),
     )

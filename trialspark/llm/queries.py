@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, near_dups, packing, ppm_stream, quality, quotes, secret_ledger, spelling, vector_dups, whitening
+from . import decontaminate, language, licenses, line_dedup, near_dups, packing, ppm, quality, quotes, secret_ledger, spelling, vector_dups, whitening
 from .common import remainder, ship, table
 
 QUERIES = {}
@@ -29,7 +29,7 @@ def op1_decontaminate(spark, sf_dir):
 @query
 def op2_ppm_score(spark, sf_dir):
     """Log probability of each document by unigrams and by prediction by partial matching."""
-    return ppm_stream.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+    return ppm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
 
 
 @query
