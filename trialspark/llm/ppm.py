@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, save, text_bytes
 
 ORDER = 6
-PACK_BYTES = 24_000_000
+PACK_BYTES = 14_000_000
 SHARD_BYTES = 32_000_000
 #: bytes of texts whose codes are held at once
 PART_BYTES = 2_000_000
@@ -56,15 +56,33 @@ LOW = 2
 # ---- numbers in few bytes ----
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def squeezed(numbers: np.ndarray, rising: bool = False) -> bytes:
     """Whole numbers as compressed byte planes; rising ones as differences."""
     steps = np.diff(numbers, prepend=0) if rising else numbers
     planes = steps.astype("<i8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return squeeze(planes.tobytes())
+
+
+def squeezed_floats(values: np.ndarray) -> bytes:
+    """Single-precision numbers as compressed byte planes: many grams have the same code length."""
+    return squeeze(values.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unsqueezed_floats(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<f4").ravel()
 
 
 def unsqueezed(data: bytes, rising: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(8, -1)
     numbers = np.ascontiguousarray(planes.T).view("<i8").ravel()
     return np.cumsum(numbers) if rising else numbers
 
@@ -151,8 +169,8 @@ def word_shards(words: list[bytes], shards: int) -> list[list[bytes]]:
 def packs(docs: DataFrame, id_col: str, text_col: str, held_out: Column, order: int, shards: int) -> DataFrame:
     """Rows of grams and of words of a pack and shard, of grams of ``LOW`` context bytes of a pack, and of documents."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"pack long, kind string, shard int, keys binary, n binary, _id {kind}, held_out boolean, text binary"
-    names = ["pack", "kind", "shard", "keys", "n", "_id", "held_out", "text"]
+    schema = f"pack long, kind string, shard int, keys binary, n binary, _ids array<{kind}>, _held array<boolean>"
+    names = ["pack", "kind", "shard", "keys", "n", "_ids", "_held"]
     size_of = text_bytes(docs, text_col)
     source = docs.select(F.col(id_col).alias("_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     # small partitions would each list the common grams again
@@ -160,34 +178,33 @@ def packs(docs: DataFrame, id_col: str, text_col: str, held_out: Column, order:
 
     def run(batches):
         pack, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), None, pa.bool_(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), None, pa.list_(pa.bool_())]
 
-        def rows(count, kind, **columns):
-            arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in zip(names, kinds)]
-            return pa.RecordBatch.from_arrays([pa.array([pack] * count, pa.int64()), pa.array([kind] * count, pa.string()), *arrays[2:]], names=names)
+        def row(kind, **columns):
+            columns |= {"pack": pack, "kind": kind}
+            return pa.RecordBatch.from_arrays([pa.array([columns.get(c)], t) for c, t in zip(names, kinds)], names=names)
 
         def flush():
             grams, n = pack_grams(texts, held, order)
             low, low_n = summed(shorter(grams[n > 0], order - LOW), n[n > 0])
-            yield rows(1, "low", keys=[squeezed(low, True)], n=[squeezed(low_n)])
+            yield row("low", keys=squeezed(low, True), n=squeezed(low_n))
             shard = gram_shard(grams, order, shards)
             by_shard = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[by_shard], np.arange(shards + 1))
             for s, (a, b) in enumerate(zip(ends, ends[1:])):
                 if a < b:
                     at = by_shard[a:b]
-                    yield rows(1, "gram", shard=[s], keys=[squeezed(grams[at], True)], n=[squeezed(n[at])])
+                    yield row("gram", shard=s, keys=squeezed(grams[at], True), n=squeezed(n[at]))
             count = pack_words(texts, held)
             for s, words in enumerate(word_shards(list(count), shards)):
                 if words:
-                    joined = zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
-                    yield rows(1, "word", shard=[s], keys=[joined], n=[squeezed(np.array([count[w] for w in words], np.int64))])
+                    yield row("word", shard=s, keys=squeeze(b" ".join(words)), n=squeezed(np.array([count[w] for w in words], np.int64)))
             for a in range(0, len(texts), 1_000):
                 some = slice(a, a + 1_000)
-                yield rows(len(texts[some]), "text", _id=ids[some], held_out=held[some], text=texts[some])
+                yield row("text", keys=squeeze(b"".join(texts[some])), n=squeezed(np.array([len(t) for t in texts[some]], np.int64)), _ids=ids[some], _held=held[some])
 
         for batch in batches:
-            kinds[5] = batch.column("_id").type
+            kinds[5] = pa.list_(batch.column("_id").type)
             for i, out, text in zip(batch.column("_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(i)
                 held.append(bool(out))
@@ -309,16 +326,16 @@ def gram_answers(made: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int
     def run(table: pa.Table) -> pa.Table:
         keys = [unsqueezed(k, True) for k in table["keys"].to_pylist()]
         grams, n = summed(np.concatenate(keys), np.concatenate([unsqueezed(c) for c in table["n"].to_pylist()]))
-        lp = log_probabilities(grams, n, low_levels(*shared.value), order).astype("<f4")
+        lp = log_probabilities(grams, n, low_levels(*shared.value), order)
         shard = table["shard"][0].as_py()
-        return _answers([(p, "gram", shard, lp[np.searchsorted(grams, k)].tobytes(), None, None) for p, k in zip(table["pack"].to_pylist(), keys)])
+        return _answers([(p, "gram", shard, squeezed_floats(lp[np.searchsorted(grams, k)]), None, None) for p, k in zip(table["pack"].to_pylist(), keys)])
 
     return made.where("kind = 'gram'").select("pack", "shard", "keys", "n").groupBy("shard").applyInArrow(run, _ANSWER)
 
 
 def word_answers(made: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        keys = [zstandard.ZstdDecompressor().decompress(k).split(b" ") for k in table["keys"].to_pylist()]
+        keys = [unsqueeze(k).split(b" ") for k in table["keys"].to_pylist()]
         total: dict[bytes, int] = {}
         for words, n in zip(keys, table["n"].to_pylist()):
             for word, c in zip(words, unsqueezed(n).tolist()):
@@ -334,7 +351,10 @@ def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int, s
     """Per document the words, known words, sum of log10(c + 0.1), and log10 probability of its bytes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lines, held = left["text"].to_pylist(), left["held_out"].to_pylist()
+        lines, held = [], [h for some in left["_held"].to_pylist() for h in some]
+        for data, sizes in zip(left["keys"].to_pylist(), left["n"].to_pylist()):
+            data, ends = unsqueeze(data), np.cumsum(unsqueezed(sizes)).tolist()
+            lines += [data[a:b] for a, b in zip([0, *ends], ends)]
         given = {(k, s): v for k, s, v in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["v"].to_pylist())}
         count: dict[bytes, int] = {}
         for s, words in enumerate(word_shards(list(pack_words(lines, held)), shards)):
@@ -343,7 +363,7 @@ def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int, s
         grams, _ = pack_grams(lines, held, order)
         shard = gram_shard(grams, order, shards)
         by_shard, lp = np.argsort(shard, kind="stable"), np.zeros(len(grams))
-        lp[by_shard] = np.concatenate([np.frombuffer(given["gram", s], "<f4") for s in np.unique(shard).tolist()])
+        lp[by_shard] = np.concatenate([unsqueezed_floats(given["gram", s]) for s in np.unique(shard).tolist()])
         n_words, known, base, sums = [], [], [], []
         for part in parts(lines):
             codes, size = stream_codes(part, order)
@@ -357,13 +377,12 @@ def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int, s
             n_words.append(len(c))
             known.append(np.count_nonzero(c))
             base.append(np.log10(c + 0.1).sum())
-        out = left.select(["_id", "held_out"])
-        for name, column in (("n_words", pa.array(n_words, pa.int64())), ("known", pa.array(known, pa.int64())), ("base", pa.array(base, pa.float64())), ("lp", pa.array(np.concatenate(sums)))):
-            out = out.append_column(name, column)
-        return out
+        ids = pa.concat_arrays([chunk.flatten() for chunk in left["_ids"].chunks])
+        arrays = [ids, pa.array(held), pa.array(n_words, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(sums))]
+        return pa.table(arrays, names=["_id", "held_out", "n_words", "known", "base", "lp"])
 
     schema = f"_id {kind}, held_out boolean, n_words long, known long, base double, lp double"
-    left = texts.select("pack", "_id", "held_out", "text").groupBy("pack")
+    left = texts.select("pack", "keys", "n", "_ids", "_held").groupBy("pack")
     return left.cogroup(answers.select("pack", "kind", "shard", "v").groupBy("pack")).applyInArrow(run, schema)
 
 
@@ -375,11 +394,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     shards = max(1, -(-text_bytes(docs, text_col) // SHARD_BYTES))
     made = save(packs(docs, id_col, text_col, held_out, order, shards), "packs")
     texts = made.where("kind = 'text'")
-    answers = save(gram_answers(made, low_grams(made), order).union(word_answers(made)), "answers")
-    sums = document_sums(texts, answers.where("pack IS NOT NULL"), kind, order, shards)
+    words = save(word_answers(made), "word-answers")
+    answers = gram_answers(made, low_grams(made), order).union(words.where("pack IS NOT NULL"))
+    sums = document_sums(texts, answers, kind, order, shards)
 
-    n_docs = texts.where("NOT held_out").count()
-    seen = answers.where("kind = 'total'").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
+    n_docs = texts.agg(F.coalesce(F.sum(F.expr("size(filter(_held, h -> NOT h))")), F.lit(0))).first()[0]
+    seen = words.where("kind = 'total'").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
     train, distinct = seen["tokens"] + n_docs, seen["distinct"] + (n_docs > 0)
     tokens = F.col("n_words") + 1
     return sums.select(
