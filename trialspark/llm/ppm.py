@@ -15,7 +15,7 @@ Work. A byte's code length depends on its gram alone, the context and the byte:
    nearest bytes, compressed.
 2. Counts of grams of up to two context bytes are added up: 2^24 at most, broadcast.
 3. A shard adds up the counts of its grams, which hold whole branches of the trie, and
-   gives every pack the code lengths of its grams, in the pack's order. The same for words.
+   gives every pack its grams back with their code lengths. The same for words.
 4. Each pack adds up its texts position by position.
 
 All counts cover every training document; nothing is pruned. Nothing but the grams of two
@@ -46,7 +46,9 @@ ORDER = 6
 PACK_BYTES = 14_000_000
 SHARD_BYTES = 32_000_000
 #: bytes of texts whose codes are held at once
-PART_BYTES = 2_000_000
+PART_BYTES = 400_000
+#: grams of parts are added up when they are so many
+HELD_GRAMS = 2_000_000
 #: bytes that never occur in UTF-8 mark the start and the end
 _START, _END = 0xFE, 0xFF
 _SYMBOLS = 254
@@ -126,7 +128,7 @@ def shorter(codes: np.ndarray, by: int) -> np.ndarray:
 
 def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams, sorted, and their summed counts."""
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     grams, n = grams[order], n[order]
     new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
     return grams[new], np.add.reduceat(n, new) if len(grams) else n
@@ -134,12 +136,16 @@ def summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_grams(texts: list[bytes], held: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of the texts with their counts in those that are not held out."""
-    some = []
+    held_n, some = 0, []
     for out in (False, True):
         for part in parts([t for t, h in zip(texts, held) if h == out]):
             grams, n = np.unique(stream_codes(part, order)[0], return_counts=True)
             some.append((grams, n * (not out)))
-    return summed(np.concatenate([g for g, _ in some]), np.concatenate([n for _, n in some]))
+            held_n += len(grams)
+            if held_n > HELD_GRAMS:
+                some = [summed(*(np.concatenate(x) for x in zip(*some)))]
+                held_n = len(some[0][0]) // 2  # what has been added up once weighs half, so that sums stay few
+    return summed(*(np.concatenate(x) for x in zip(*some)))
 
 
 def gram_shard(grams: np.ndarray, order: int, shards: int) -> np.ndarray:
@@ -149,9 +155,10 @@ def gram_shard(grams: np.ndarray, order: int, shards: int) -> np.ndarray:
 
 
 def pack_words(texts: list[bytes], held: list[bool]) -> Counter:
-    words: Counter = Counter()
-    for text, out in zip(texts, held):
-        words.update(dict.fromkeys(text.split(), 0) if out else text.split())
+    """Words of the texts with their counts in those that are not held out."""
+    words = Counter(b" ".join([t for t, h in zip(texts, held) if not h]).split())
+    for word in set(b" ".join([t for t, h in zip(texts, held) if h]).split()):
+        words.setdefault(word, 0)
     return words
 
 
@@ -293,8 +300,8 @@ def log_probabilities(g: np.ndarray, n: np.ndarray, low: list[Level], order: int
 
 # ---- steps 2 to 4 ----
 
-_ANSWER = "pack long, kind string, shard int, v binary, tokens long, distinct long"
-_ANSWER_KINDS = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+_ANSWER = "pack long, kind string, keys binary, v binary, tokens long, distinct long"
+_ANSWER_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
 
 def _answers(rows: list[tuple]) -> pa.Table:
@@ -327,8 +334,8 @@ def gram_answers(made: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int
         keys = [unsqueezed(k, True) for k in table["keys"].to_pylist()]
         grams, n = summed(np.concatenate(keys), np.concatenate([unsqueezed(c) for c in table["n"].to_pylist()]))
         lp = log_probabilities(grams, n, low_levels(*shared.value), order)
-        shard = table["shard"][0].as_py()
-        return _answers([(p, "gram", shard, squeezed_floats(lp[np.searchsorted(grams, k)]), None, None) for p, k in zip(table["pack"].to_pylist(), keys)])
+        given = zip(table["pack"].to_pylist(), table["keys"].to_pylist(), keys)
+        return _answers([(p, "gram", data, squeezed_floats(lp[np.searchsorted(grams, k)]), None, None) for p, data, k in given])
 
     return made.where("kind = 'gram'").select("pack", "shard", "keys", "n").groupBy("shard").applyInArrow(run, _ANSWER)
 
@@ -340,14 +347,14 @@ def word_answers(made: DataFrame) -> DataFrame:
         for words, n in zip(keys, table["n"].to_pylist()):
             for word, c in zip(words, unsqueezed(n).tolist()):
                 total[word] = total.get(word, 0) + c
-        shard = table["shard"][0].as_py()
-        rows = [(p, "word", shard, squeezed(np.array([total[w] for w in words], np.int64)), None, None) for p, words in zip(table["pack"].to_pylist(), keys)]
-        return _answers([*rows, (None, "total", shard, None, sum(total.values()), sum(c > 0 for c in total.values()))])
+        given = zip(table["pack"].to_pylist(), table["keys"].to_pylist(), keys)
+        rows = [(p, "word", data, squeezed(np.array([total[w] for w in words], np.int64)), None, None) for p, data, words in given]
+        return _answers([*rows, (None, "total", None, None, sum(total.values()), sum(c > 0 for c in total.values()))])
 
     return made.where("kind = 'word'").select("pack", "shard", "keys", "n").groupBy("shard").applyInArrow(run, _ANSWER)
 
 
-def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int, shards: int) -> DataFrame:
+def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int) -> DataFrame:
     """Per document the words, known words, sum of log10(c + 0.1), and log10 probability of its bytes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -355,15 +362,17 @@ def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int, s
         for data, sizes in zip(left["keys"].to_pylist(), left["n"].to_pylist()):
             data, ends = unsqueeze(data), np.cumsum(unsqueezed(sizes)).tolist()
             lines += [data[a:b] for a, b in zip([0, *ends], ends)]
-        given = {(k, s): v for k, s, v in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["v"].to_pylist())}
         count: dict[bytes, int] = {}
-        for s, words in enumerate(word_shards(list(pack_words(lines, held)), shards)):
-            if words:
-                count.update(zip(words, unsqueezed(given["word", s]).tolist()))
-        grams, _ = pack_grams(lines, held, order)
-        shard = gram_shard(grams, order, shards)
-        by_shard, lp = np.argsort(shard, kind="stable"), np.zeros(len(grams))
-        lp[by_shard] = np.concatenate([unsqueezed_floats(given["gram", s]) for s in np.unique(shard).tolist()])
+        grams, lp = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for name, keys, v in zip(right["kind"].to_pylist(), right["keys"].to_pylist(), right["v"].to_pylist()):
+            if name == "word":
+                count.update(zip(unsqueeze(keys).split(b" "), unsqueezed(v).tolist()))
+            else:
+                grams.append(unsqueezed(keys, True))
+                lp.append(unsqueezed_floats(v))
+        grams, lp = np.concatenate(grams), np.concatenate(lp)
+        by_gram = np.argsort(grams)
+        grams, lp = grams[by_gram], lp[by_gram]
         n_words, known, base, sums = [], [], [], []
         for part in parts(lines):
             codes, size = stream_codes(part, order)
@@ -383,7 +392,7 @@ def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int, s
 
     schema = f"_id {kind}, held_out boolean, n_words long, known long, base double, lp double"
     left = texts.select("pack", "keys", "n", "_ids", "_held").groupBy("pack")
-    return left.cogroup(answers.select("pack", "kind", "shard", "v").groupBy("pack")).applyInArrow(run, schema)
+    return left.cogroup(answers.select("pack", "kind", "keys", "v").groupBy("pack")).applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -396,7 +405,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     texts = made.where("kind = 'text'")
     words = save(word_answers(made), "word-answers")
     answers = gram_answers(made, low_grams(made), order).union(words.where("pack IS NOT NULL"))
-    sums = document_sums(texts, answers, kind, order, shards)
+    sums = document_sums(texts, answers, kind, order)
 
     n_docs = texts.agg(F.coalesce(F.sum(F.expr("size(filter(_held, h -> NOT h))")), F.lit(0))).first()[0]
     seen = words.where("kind = 'total'").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
