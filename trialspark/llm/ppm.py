@@ -44,7 +44,7 @@ from .common import LOWER, save, text_bytes
 
 ORDER = 6
 PACK_BYTES = 14_000_000
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 16_000_000
 #: bytes of texts whose codes are held at once
 PART_BYTES = 400_000
 #: grams of parts are added up when they are so many
@@ -58,8 +58,8 @@ LOW = 2
 # ---- numbers in few bytes ----
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
@@ -156,9 +156,12 @@ def gram_shard(grams: np.ndarray, order: int, shards: int) -> np.ndarray:
 
 def pack_words(texts: list[bytes], held: list[bool]) -> Counter:
     """Words of the texts with their counts in those that are not held out."""
-    words = Counter(b" ".join([t for t, h in zip(texts, held) if not h]).split())
-    for word in set(b" ".join([t for t, h in zip(texts, held) if h]).split()):
-        words.setdefault(word, 0)
+    words: Counter = Counter()
+    for some in parts([t for t, h in zip(texts, held) if not h]):
+        words.update(b" ".join(some).split())
+    for some in parts([t for t, h in zip(texts, held) if h]):
+        for word in set(b" ".join(some).split()):
+            words.setdefault(word, 0)
     return words
 
 
@@ -208,7 +211,7 @@ def packs(docs: DataFrame, id_col: str, text_col: str, held_out: Column, order:
                     yield row("word", shard=s, keys=squeeze(b" ".join(words)), n=squeezed(np.array([count[w] for w in words], np.int64)))
             for a in range(0, len(texts), 1_000):
                 some = slice(a, a + 1_000)
-                yield row("text", keys=squeeze(b"".join(texts[some])), n=squeezed(np.array([len(t) for t in texts[some]], np.int64)), _ids=ids[some], _held=held[some])
+                yield row("text", keys=squeeze(b"".join(texts[some]), 6), n=squeezed(np.array([len(t) for t in texts[some]], np.int64)), _ids=ids[some], _held=held[some])
 
         for batch in batches:
             kinds[5] = pa.list_(batch.column("_id").type)
@@ -363,7 +366,7 @@ def document_sums(texts: DataFrame, answers: DataFrame, kind: str, order: int) -
             data, ends = unsqueeze(data), np.cumsum(unsqueezed(sizes)).tolist()
             lines += [data[a:b] for a, b in zip([0, *ends], ends)]
         count: dict[bytes, int] = {}
-        grams, lp = [np.zeros(0, np.int64)], [np.zeros(0)]
+        grams, lp = [np.zeros(0, np.int64)], [np.zeros(0, "<f4")]
         for name, keys, v in zip(right["kind"].to_pylist(), right["keys"].to_pylist(), right["v"].to_pylist()):
             if name == "word":
                 count.update(zip(unsqueeze(keys).split(b" "), unsqueezed(v).tolist()))
