@@ -1,5 +1,6 @@
 """Vectors against all pairs, notices against direct matching, quotes against a walk through each conversation."""
 
+import random
 import numpy as np
 import pytest
 
@@ -101,6 +102,71 @@ def test_base_places(docs, spark, texts):
         assert 0 <= r["score"] <= 1
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def test_neighbouring_copies_are_all_found():
+    """Copies side by side, exact and with edits in any order: each has its own span and edits."""
+    finder = lc.Finder()
+    for label, notice in lc.NOTICES[:4]:
+        words = notice.split()
+        edited = " ".join([*words[:2], words[2][:-1] + "#", *words[3:]])
+        for copies in ([edited, notice], [notice, edited], [edited, edited, notice, edited], [notice] * 5):
+            text = "before " + " ".join(copies) + " after"
+            got = [g for g in finder.find(text) if g[4] == len(notice) and g[0] == label]
+            assert [text[g[1] : g[2]].strip() for g in got] == copies
+            assert [g[3] for g in got] == [edits_between(c, notice) for c in copies]
+
+
+def test_labels_score_and_spans_by_brute_force(spark):
+    """Every notice against every window of words, by edit distance."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(25):
+        parts = [" ".join(rng.choice(["alpha", "beta", "the", "license", "software", "free"]) for _ in range(rng.randint(1, 12)))]
+        for _ in range(rng.randint(0, 2)):
+            label, notice = rng.choice(lc.NOTICES)
+            chars = list(notice)
+            for _ in range(rng.randint(0, max(1, len(notice) // lc.CHARS_PER_ERROR))):
+                chars[rng.randrange(len(chars))] = rng.choice("xyz")
+            parts += ["".join(chars), " ".join(rng.choice(["alpha", "beta"]) for _ in range(rng.randint(1, 6)))]
+        texts.append(" ".join(parts))
+    rows = {r["doc_id"]: r for r in lc.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        words, labels, least = text.split(), set(), []
+        for label, notice in lc.NOTICES:
+            allowed, n = lc.Notice(label, notice).errors, len(notice.split())
+            near = [edits_between(" ".join(words[a : a + k]), notice) for k in (n - 1, n, n + 1) for a in range(len(words) - k + 1)]
+            if min(near, default=99) <= allowed:
+                labels.add(label)
+                least.append(1 - min(near) / len(notice))
+        assert labels <= set(rows[i]["labels"].split(",")), (i, text)
+        if least:
+            assert rows[i]["score"] >= max(least) - 1e-9
+        for span in rows[i]["spans"]:
+            assert 0 <= span["first"] <= span["last"] < len(words)
+
+
+def test_many_notices_take_linear_time(spark):
+    import time
+
+    finder, took = lc.Finder(), []
+    for n in (500, 4_000):
+        text = " ".join([lc.NOTICES[7][1] + " and"] * n)
+        start = time.perf_counter()
+        assert len([g for g in finder.find(text) if g[4] == len(lc.NOTICES[7][1])]) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * 3 * took[0] + 1
+    row = lc.scan(spark.createDataFrame([(1, " ".join([lc.NOTICES[7][1] + " and"] * 10_000))], "doc_id long, text string")).first()
+    assert [s["first"] for s in row["spans"] if s["label"] == "mit"] == [9 * i for i in range(10_000)]
+
+
 def test_license_odd_tables(clashing, empty):
     assert lc.scan(clashing).count() == clashing.count()
     assert lc.scan(empty).count() == 0

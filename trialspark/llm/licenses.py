@@ -11,16 +11,19 @@ Texts are compared in a normal form: words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F
 text with A-Z lower-cased, joined by single blanks. The base report is exact: places
 where a phrase's words stand consecutively.
 
-Documents are handled row by row without a shuffle; a candidate window is at most twice
-a notice. Defined cases: a null or empty text has no words and score 0; overlapping
+Documents are handled row by row without a shuffle. Candidates whose starts lie within a
+notice's errors share a window, so a window is a notice and three times its errors long, and
+time grows with the number of candidates. Defined cases: a null or empty text has no words and score 0; overlapping
 matches of one notice keep the one with fewer edits, then the earlier; repeated rows
 get the same result each.
 """
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -89,27 +92,43 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(label, start, end, edits, notice length) in the normal form, by start."""
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, (size, places) in self._pieces.iter(text):
             for i, offset in places:
-                notice = self.notices[i]
-                a = end + 1 - size - offset - notice.errors
-                b = a + len(notice.text) + 2 * notice.errors
-                some = windows.setdefault(i, [])
-                if some and a <= some[-1][1]:
-                    some[-1][1] = max(b, some[-1][1])
-                    some[-1][0] = min(a, some[-1][0])
-                else:
-                    some.append([a, b])
+                starts.setdefault(i, set()).add(end + 1 - size - offset)
         out = []
-        for i, some in windows.items():
-            notice = self.notices[i]
-            for a, b in some:
-                at, b = max(a, 0), min(b, len(text))
-                while self._shares(i, text[at:b]) and (m := self._patterns[i].search(text, at, b)):
-                    out.append((notice.label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice.text)))
-                    at = max(m.end(), at + 1)
-        return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
+        for i, some in starts.items():
+            hits, errors = set(), self.notices[i].errors
+            first = None
+            for at in [*sorted(some), None]:  # starts within the notice's errors share a window
+                if first is not None and (at is None or at > first + errors):
+                    hits |= self._around(i, text, first - errors, last + len(self.notices[i].text) + errors)
+                    first = None
+                if at is not None:
+                    first, last = (at if first is None else first), at
+            out += [(self.notices[i].label, *hit, len(self.notices[i].text)) for hit in apart(hits)]
+        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+    def _around(self, i: int, text: str, low: int, high: int) -> set[tuple[int, int, int]]:
+        """(start, end, edits) of matches in a window: the best one, then those before and after it."""
+        out, todo = set(), [(max(low, 0), min(high, len(text)))]
+        shortest = len(self.notices[i].text) - self.notices[i].errors
+        while todo:
+            a, b = todo.pop()
+            if b - a >= shortest and self._shares(i, text[a:b]) and (m := self._patterns[i].search(text, a, b)) and m.end() > m.start():
+                out.add((m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo += [(a, m.start()), (m.end(), b)]
+        return out
+
+
+def apart(hits: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Matches of one notice that do not overlap: fewer edits first, then the earlier."""
+    kept: list[tuple[int, int, int]] = []
+    for hit in sorted(hits, key=lambda h: (h[2], h[0], h[1])):
+        at = bisect.bisect(kept, hit)
+        if (at == 0 or kept[at - 1][1] <= hit[0]) and (at == len(kept) or hit[1] <= kept[at][0]):
+            kept.insert(at, hit)
+    return kept
 
 
 _FINDERS: dict = {}
@@ -157,13 +176,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
                 normal = b" ".join(words)
                 base = places(words, normal, phrases)
                 spans, score = [], 1.0 if base else 0.0
-                found = find(normal.decode())
-                if found:
-                    normal_text = normal.decode()
+                normal_text = normal.decode()
+                if found := find(normal_text):
+                    blanks = np.flatnonzero(np.frombuffer(normal_text.encode("utf-32-le"), "<u4") == 32)
                     for label, a, b, edits, size in found:
-                        last = max(a, len(normal_text[:b].rstrip()) - 1)
-                        first = a + (normal_text[a : a + 1] == " ")
-                        spans.append({"label": label, "first": normal_text.count(" ", 0, first), "last": normal_text.count(" ", 0, last), "edits": edits})
+                        while b > a + 1 and normal_text[b - 1] == " ":
+                            b -= 1
+                        ends = np.searchsorted(blanks, (a + (normal_text[a : a + 1] == " "), b - 1)).tolist()
+                        spans.append({"label": label, "first": ends[0], "last": ends[1], "edits": edits})
                         score = max(score, 1 - edits / size)
                 starts = [n for n, _ in base]
                 exact = {label for _, label in base}
