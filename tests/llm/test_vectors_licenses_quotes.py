@@ -21,21 +21,24 @@ def vectors(spark):
 
 
 def brute(rows):
-    good = [(i, np.array(v)) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    x = np.stack([v / np.abs(v).max() for _, v in good])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = x @ x.T >= vd.THRESHOLD - 1e-12
-    ids = [i for i, _ in good]
-    root = {i: i for i, _ in rows}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in zip(*np.nonzero(near)):
-            m = min(root[ids[a]], root[ids[b]])
-            if root[ids[a]] != m or root[ids[b]] != m:
-                root[ids[a]] = root[ids[b]] = m
-                changed = True
-    return dict(zip(ids, (near.sum(axis=1) - 1).tolist())), root
+    """(links, root) of every id by all pairs of each length."""
+    n, root = {}, {i: i for i, _ in rows}
+    usable = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    for length in {len(v) for _, v in usable}:
+        good = [(i, v) for i, v in usable if len(v) == length]
+        x = np.stack([v / np.abs(v).max() for _, v in good])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near, ids = x @ x.T >= vd.THRESHOLD - 1e-12, [i for i, _ in good]
+        n.update(zip(ids, (near.sum(axis=1) - 1).tolist()))
+        changed = True
+        while changed:
+            changed = False
+            for a, b in zip(*np.nonzero(near)):
+                m = min(root[ids[a]], root[ids[b]])
+                if root[ids[a]] != m or root[ids[b]] != m:
+                    root[ids[a]] = root[ids[b]] = m
+                    changed = True
+    return n, root
 
 
 @pytest.mark.parametrize("shard", [1_500, 20])
@@ -48,11 +51,70 @@ def test_links(vectors, monkeypatch, shard):
     links = sum(r["n_links"] for r in got)
     assert all(r["n_links"] <= n.get(r["vec_id"], 0) for r in got)
     assert links >= 0.9 * sum(n.values())
+    # whoever is in a component has a link
+    assert all(r["n_links"] > 0 for r in got if r["vec_id"] is not None and not r["kept"])
     if shard == 1_500:
         assert links == sum(n.values())
         assert all(r["component_id"] == root[r["vec_id"]] for r in got if r["vec_id"] is not None)
 
 
+def test_lengths_are_searched_apart(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [2.0, 4.01]), (7, [3.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vd.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (1, 3), 5: (1, 3), 4: (0, 4), 7: (0, 7)}
+
+
+def test_below_recall_parts_are_compared_in_full(vectors, monkeypatch):
+    rows, df = vectors
+    monkeypatch.setattr(vd, "search", lambda x, links, queries, *rest: np.zeros((len(queries), len(x)), bool))
+    n, root = brute(rows)
+    got = {r["vec_id"]: r for r in vd.near_duplicates(df).collect() if r["vec_id"] is not None}
+    assert all(got[i]["n_links"] == n.get(i, 0) and got[i]["component_id"] == root[i] for i in got)
+
+
+def test_clashing_columns_of_vectors(spark, vectors, helper_names):
+    from pyspark.sql import functions as F
+
+    rows, df = vectors
+    wide = df.withColumns({c: F.lit("x") for c in [*helper_names, "rep", "n", "vec", "dim", "digest", "shard", "part", "role", "lane"]})
+    assert sorted(map(str, vd.near_duplicates(wide).collect())) == sorted(map(str, vd.near_duplicates(df).collect()))
+
+
+@pytest.mark.parametrize("m", [500, 2_000])
+def test_dense_clusters_end(m):
+    """One cluster in which all are near: a part's graph and search take time in proportion to its pairs."""
+    import time
+
+    rng = np.random.default_rng(m)
+    x = vd.unit(list(np.ones(64) + 0.1 * rng.normal(size=(m, 64))))
+    links = vd.build(x, 1)
+    u, v = np.repeat(np.arange(m), links.shape[1]), links.ravel()
+    u, v = np.concatenate([u, v]), np.concatenate([v, u])
+    start = time.perf_counter()
+    lists = vd.united(x, u, v)
+    assert lists.shape == (m, vd.UNITED)
+    hits = 0
+    for a in range(0, m, vd.QUERIES):
+        hits += int(vd.search(x, lists, x[a : a + vd.QUERIES], [0], np.arange(m)[a : a + vd.QUERIES], vd.THRESHOLD).sum())
+    assert hits >= 0.99 * int((x @ x.T >= vd.THRESHOLD).sum())
+    assert time.perf_counter() - start < 20
+
+
+def test_joined():
+    rng = np.random.default_rng(2)
+    hit = rng.random((12, 20)) < 0.06
+    pairs = vd.joined(hit, np.arange(100, 112), np.arange(20))
+    assert len(pairs) <= 32
+    for edges in (pairs, [(100 + i, k) for i, k in zip(*np.nonzero(hit))]):
+        root = {i: i for i in [*range(20), *range(100, 112)]}
+        for _ in range(40):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        groups = sorted(root.items())
+        first = groups if edges is pairs else first
+    assert first == groups
+
+
 def test_no_vectors(spark):
     assert vd.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert vd.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect() == [(1, 0, 1, True)]

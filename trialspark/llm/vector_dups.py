@@ -1,30 +1,35 @@
 """Near-duplicate vectors by robust-pruned flat graphs on overlapping cluster shards.
 
-1. Equal vectors are one class with a count, so copies cost one row from here on.
-2. A bounded sample gives cluster centroids. A class is at home in the shard of its
-   nearest centroid, overlaps into the next, and is searched for in the ``probes``
-   nearest. Shards of more than ``SHARD`` classes are split by hash into parts that are
-   all searched, so no task holds more than a part and the queries sent to it.
+1. Equal vectors are one class with a count, so copies cost one row from here on. Vectors of
+   each length are searched by themselves.
+2. A bounded sample gives cluster centroids, more of them as the classes grow. A class is at
+   home in the shard of its nearest centroid, overlaps into the next, and is searched for in
+   the ``probes`` nearest. Shards of more than ``SHARD`` classes are split by hash into parts
+   that are all searched, so no task holds more than a part and the queries sent to it.
 3. In each part, nearest neighbours and some random members are robust-pruned to a
-   graph. The adjacency lists of all parts are united by vector.
+   graph. The adjacency lists of all parts are united by vector and pruned again to ``UNITED``.
 4. Each part's queries run a greedy search from the part's medoids (and from themselves
-   where they are members), which goes on as long as it finds vectors in range. Every
-   link is a cosine in double precision at or above the threshold.
-5. A link counts in the part where its other end is at home, so none counts twice. A
-   part hands on one edge for each vector it connects, not all pairs; components follow
-   by large-star and small-star.
+   where they are members), which goes on as long as it finds vectors in range; a step
+   expands all vectors found, so dense clusters take few steps. Every link is a cosine in
+   double precision at or above the threshold.
+5. A link counts in the part where its other end is at home, so none counts twice; where the
+   other end is not sent to the query's home, it is counted for both. A part hands on one
+   edge for each vector it connects, not all pairs; components follow by large-star and
+   small-star.
 6. The audit compares a bounded sample of queries with all rows. Below ``RECALL`` the
-   search is repeated with twice the probes.
+   search is repeated with twice the probes; if it is below with all shards searched, the
+   parts are compared in full.
 
 Defined cases: null or zero vectors, and those with null or non-finite components, link
-with nothing, as do vectors of another length than most; repeated rows are copies and
-link with each other; null ids have no component; ties go to the smaller id.
+with nothing; repeated rows are copies and link with each other; null ids have no component
+and no links; ties go to the smaller id; only the id and the vector of the input are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +43,11 @@ THRESHOLD = 0.95
 SHARD = 1_500
 #: the index is fitted on so many vectors at most, those with the smallest hashes of their ids
 SAMPLE = 20_000
-MAX_CENTROIDS = 512
+MAX_CENTROIDS = 4_096
 PROBES = 3
-NEAR, FAR, DEGREE = 32, 8, 16
+NEAR, FAR, DEGREE, UNITED = 32, 8, 16, 24
+#: pairs whose cosines are worked out at once
+PAIRS = 100_000
 ALPHA = 1.2
 BEAM = 16
 QUERIES = 256
@@ -88,15 +95,16 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def robust_prune(x: np.ndarray, candidates: np.ndarray, degree: int, alpha: float = ALPHA) -> np.ndarray:
-    """For each row of x the kept candidates (indices, nearest first; the own index fills up)."""
-    m = len(x)
-    distance = 1 - np.einsum("md,mcd->mc", x, x[candidates])
+def robust_prune(x: np.ndarray, candidates: np.ndarray, degree: int, alpha: float = ALPHA, rows: np.ndarray | None = None) -> np.ndarray:
+    """For each row of x, or each of ``rows``, the kept candidates (indices, nearest first; the own index fills up)."""
+    rows = np.arange(len(x)) if rows is None else rows
+    m = len(rows)
+    distance = 1 - np.einsum("md,mcd->mc", x[rows], x[candidates])
     order = np.argsort(distance, axis=1, kind="stable")
     candidates, distance = np.take_along_axis(candidates, order, 1), np.take_along_axis(distance, order, 1)
     own = np.arange(m)
-    alive = candidates != own[:, None]
-    kept = np.tile(own[:, None], (1, degree))
+    alive = candidates != rows[:, None]
+    kept = np.tile(rows[:, None], (1, degree))
     for r in range(degree):
         first = alive.argmax(axis=1)
         has = alive[own, first]
@@ -124,11 +132,38 @@ def build(x: np.ndarray, seed: int) -> np.ndarray:
     return np.hstack([robust_prune(x, near, min(DEGREE, near.shape[1])), robust_prune(x, far, FAR // 2)])
 
 
+def united(x: np.ndarray, u: np.ndarray, v: np.ndarray, degree: int = UNITED) -> np.ndarray:
+    """Lists of ``degree`` members from edges (u, v); longer ones are pruned, from their nearest and farthest members."""
+    m = len(x)
+    distance = np.concatenate([1 - np.einsum("ed,ed->e", x[u[a : a + PAIRS]], x[v[a : a + PAIRS]]) for a in range(0, len(u), PAIRS)]) if len(u) else np.zeros(0)
+    order = np.lexsort((distance, u))
+    u, v = u[order], v[order]
+    size = np.bincount(u, minlength=m)
+    first = np.cumsum(size) - size
+    most = 3 * degree
+    rank = np.arange(len(u)) - np.repeat(first, size)
+    left = np.repeat(size, size) - 1 - rank  # how many farther ones follow
+    keep = (rank < 2 * degree) | (left < degree)
+    u, v = u[keep], v[keep]
+    size = np.bincount(u, minlength=m)
+    at = np.arange(len(u)) - np.repeat(np.cumsum(size) - size, size)
+    lists = np.tile(np.arange(m)[:, None], (1, max(1, min(most, int(size.max(initial=1))))))
+    lists[u, at] = v
+    out = np.tile(np.arange(m)[:, None], (1, min(degree, lists.shape[1])))
+    short = size <= out.shape[1]
+    out[short] = lists[short, : out.shape[1]]
+    long = np.flatnonzero(~short)
+    for a in range(0, len(long), QUERIES):
+        rows = long[a : a + QUERIES]
+        out[rows] = robust_prune(x, lists[rows], degree, rows=rows)
+    return out
+
+
 def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: list[int], own: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
     """Range-expanding greedy search: whether each (query, member) was found in range.
 
-    ``own``: a query's index among the members, or -1. The best known member is expanded
-    as long as it is in range, or among the ``beam`` best known.
+    ``own``: a query's index among the members, or -1. A step expands all known members that
+    are in range, or among the ``beam`` best known, and were not expanded before.
     """
     q, m = len(queries), len(x)
     known, done = np.full((q, m), -np.inf), np.zeros((q, m), bool)
@@ -138,17 +173,38 @@ def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: list[
     active = np.arange(q)
     while len(active):
         s = known[active]
-        open_ = np.where(done[active], -np.inf, s)
-        best = open_.argmax(axis=1)
-        value = open_[np.arange(len(active)), best]
-        go = np.isfinite(value) & ((value >= least) | ((s > value[:, None]).sum(axis=1) < beam))
-        active, best = active[go], best[go]
-        done[active, best] = True
-        around = links[best]
-        known[active[:, None], around] = np.einsum("qd,qrd->qr", queries[active], x[around])
+        bar = np.minimum(np.partition(s, m - beam, axis=1)[:, m - beam], least) if m > beam else np.full(len(active), -np.inf)
+        row, node = np.nonzero((s >= bar[:, None]) & np.isfinite(s) & ~done[active])
+        active = active[np.unique(row)] if len(row) else active[:0]
+        if not len(active):
+            break
+        asked = np.unique(row, return_inverse=True)[1]
+        done[active[asked], node] = True
+        pairs = (active[asked][:, None] * m + links[node]).ravel()
+        pairs = pairs[np.isneginf(known.ravel()[pairs])]
+        pairs = np.unique(pairs)
+        for a in range(0, len(pairs), PAIRS):
+            i, k = np.divmod(pairs[a : a + PAIRS], m)
+            known[i, k] = np.einsum("pd,pd->p", queries[i], x[k])
     return known >= least
 
 
+def joined(hit: np.ndarray, rows: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
+    """Few pairs (row, row) that connect what the hits (query, member) connect."""
+    label_q, label_m = np.array(rows), np.array(members)
+    top = np.iinfo(np.int64).max
+    some_q, some_m = hit.any(axis=1), hit.any(axis=0)
+    hit = hit[some_q][:, some_m]
+    rows, members, label_q, label_m = rows[some_q], members[some_m], label_q[some_q], label_m[some_m]
+    while hit.size:
+        new_q = np.minimum(label_q, np.where(hit, label_m, top).min(axis=1))
+        new_m = np.minimum(label_m, np.where(hit, new_q[:, None], top).min(axis=0))
+        if (new_q == label_q).all() and (new_m == label_m).all():
+            break
+        label_q, label_m = new_q, new_m
+    return [*zip(rows.tolist(), label_q.tolist()), *zip(members.tolist(), label_m.tolist())]
+
+
 class Router:
     """Nearest shards of a vector, and the parts of each shard."""
 
@@ -206,8 +262,11 @@ def adjacency(rows: DataFrame) -> DataFrame:
     return rows.where("role < 2").select("shard", "part", "rep", "vec").groupBy("shard", "part").applyInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
-def found_links(rows: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, root): links of each query to vectors at home in a part, and the smallest vector it meets there."""
+def found_links(rows: DataFrame, edges: DataFrame, threshold: float, router, probes: int, full: bool = False) -> DataFrame:
+    """(id, n, root): links of each query to vectors at home in a part, and the smallest vector it meets there.
+
+    ``full`` compares a part's queries with all its members instead of searching.
+    """
     kind = rows.schema["rep"].dataType.simpleString()
     members = rows.where("role < 2").select("shard", "part", "rep")
     # united lists, as far as both ends are members of the part
@@ -223,16 +282,13 @@ def found_links(rows: DataFrame, edges: DataFrame, threshold: float) -> DataFram
         at = {ids[i]: k for k, i in enumerate(inside.tolist())}
         u = np.array([at[i] for i in links.column("u").to_pylist()], np.int64)
         v = np.array([at[i] for i in links.column("v").to_pylist()], np.int64)
-        order = np.argsort(u, kind="stable")
-        u, v = u[order], v[order]
-        degree = np.bincount(u, minlength=len(members))
-        lists = np.tile(np.arange(len(members))[:, None], (1, max(1, int(degree.max(initial=1)))))
-        lists[u, np.arange(len(u)) - np.repeat(np.cumsum(degree) - degree, degree)] = v
+        lists = united(members, u, v)
         # the member nearest to the mean, and the one farthest from that
         middle = int(np.argmax(members @ members.mean(axis=0)))
         entries = sorted({middle, int(np.argmin(members @ members[middle]))})
         own = np.full(len(ids), -1)
         own[inside] = np.arange(len(inside))
+        shards = np.concatenate([router.value.nearest(x[a : a + 4 * QUERIES], max(2, probes)) for a in range(0, len(x), 4 * QUERIES)])
         sums, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
 
         def root(i):
@@ -242,12 +298,17 @@ def found_links(rows: DataFrame, edges: DataFrame, threshold: float) -> DataFram
             return i
 
         for a in range(0, len(ids), QUERIES):
-            hit = search(members, lists, x[a : a + QUERIES], entries, own[a : a + QUERIES], threshold)
-            mine = np.flatnonzero(own[a : a + QUERIES] >= 0)
-            hit[mine, own[a : a + QUERIES][mine]] = False
-            sums[a : a + QUERIES] = hit @ np.where(home, count, 0)
-            for i, k in zip(*(t.tolist() for t in np.nonzero(hit))):
-                one, two = root(a + i), root(int(inside[k]))
+            some = slice(a, min(a + QUERIES, len(ids)))
+            hit = x[some] @ members.T >= threshold if full else search(members, lists, x[some], entries, own[some], threshold)
+            mine = np.flatnonzero(own[some] >= 0)
+            hit[mine, own[some][mine]] = False
+            sums[some] += hit @ np.where(home, count, 0)
+            # ends that are not sent to the query's home do not meet it there
+            i, k = np.nonzero(hit & home)
+            alone = ~(shards[inside[k]] == shards[a + i][:, :1]).any(axis=1)
+            np.add.at(sums, inside[k[alone]], n[a + i[alone]])
+            for one, two in joined(hit, np.arange(some.start, some.stop), inside):
+                one, two = root(one), root(two)
                 if one != two:
                     if ids[two] < ids[one]:
                         one, two = two, one
@@ -287,54 +348,58 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float) -> tuple[int,
     return int(got), int(there)
 
 
+def linked(classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, root) of the classes (rep, n, vec, lane) of one length, by parts; complete as far as the audit tells."""
+    spark = classes.sparkSession
+    total = classes.count()
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()
+    sample = unit([np.array(r["vec"], np.float64) for r in sample])
+    k = max(1, min(MAX_CENTROIDS, math.ceil(total / SHARD), len(sample)))
+    centres = centroids(sample, k)
+    shared = spark.sparkContext.broadcast(Router(centres))
+
+    def home(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.nearest(unit(_numbers(batch.column("vec"))), 1)[:, 0], pa.int32())], names=["shard"])
+
+    sizes = classes.select("vec").mapInArrow(home, "shard int").groupBy("shard").count().collect()  # MAX_CENTROIDS rows at most
+    parts = np.ones(k, np.int64)
+    for r in sizes:
+        parts[r["shard"]] = max(1, math.ceil(r["count"] / SHARD))
+    router = spark.sparkContext.broadcast(Router(centres, parts))
+    probes = min(PROBES, k)
+    while True:
+        sent = save(routed(classes, router, probes), "routed")
+        graph = save(adjacency(sent), "graph")
+        found = save(found_links(sent, graph, threshold, router, probes), "found")
+        got, there = audit(classes, found, threshold)
+        if got >= RECALL * there:
+            return found
+        if probes >= k:
+            return save(found_links(sent, graph, threshold, router, probes, full=True), "found")
+        probes = min(2 * probes, k)
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     rows = save(digested(vectors, id_col, vec_col), "vectors")
-    lengths = rows.where("dim IS NOT NULL").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    usual = lengths[0]["dim"] if lengths else 0
-    usable = rows.where((F.col("dim") == usual) & F.col(id_col).isNotNull())
+    usable = rows.where(F.col("dim").isNotNull() & F.col(id_col).isNotNull())
     grouped = usable.groupBy("digest").agg(F.min(id_col).alias("rep"), F.count("*").alias("n"))
-    vecs = usable.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), "vec").dropDuplicates(["_id", "_digest"])
+    vecs = usable.select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), "vec", "dim").dropDuplicates(["_id", "_digest"])
     with_vec = grouped.join(vecs, (F.col("rep") == F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    classes = save(with_vec.select("digest", "rep", "n", "vec", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("lane")), "classes")
-    total = classes.count()
-    edges_found = None
-    if total:
-        sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()
-        sample = unit([np.array(r["vec"], np.float64) for r in sample])
-        k = max(1, min(MAX_CENTROIDS, math.ceil(total / SHARD), len(sample)))
-        centres = centroids(sample, k)
-        spark = vectors.sparkSession
-        shared = spark.sparkContext.broadcast(Router(centres))
-
-        def home(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(shared.value.nearest(unit(_numbers(batch.column("vec"))), 1)[:, 0], pa.int32())], names=["shard"])
-
-        sizes = classes.select("vec").mapInArrow(home, "shard int").groupBy("shard").count().collect()  # MAX_CENTROIDS rows at most
-        parts = np.ones(k, np.int64)
-        for r in sizes:
-            parts[r["shard"]] = max(1, math.ceil(r["count"] / SHARD))
-        router = spark.sparkContext.broadcast(Router(centres, parts))
-        probes = min(PROBES, k)
-        while True:
-            sent = save(routed(classes, router, probes), "routed")
-            found = save(found_links(sent, save(adjacency(sent), "graph"), threshold), "found")
-            got, there = audit(classes, found, threshold)
-            if got >= RECALL * there or probes >= k:
-                break
-            probes = min(2 * probes, k)
-        counts = found.groupBy(F.col("id").alias("_rep")).agg(F.sum("n").alias("_links"))
-        roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).toDF("_node", "_root")
-        named = classes.select(F.col("digest").alias("_d"), "rep", "n").join(counts, F.col("rep") == F.col("_rep"), "left").join(roots, F.col("rep") == F.col("_node"), "left")
-        edges_found = named.select("_d", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("_root", "rep").alias("_root"))
+    classes = save(with_vec.select("digest", "rep", "n", "vec", "dim", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("lane")), "classes")
+    found = [linked(classes.where(F.col("dim") == r["dim"]), threshold) for r in classes.select("dim").distinct().orderBy("dim").collect()]
     out = rows.drop("vec")
-    if edges_found is None:
+    if not found:
         out = out.withColumn("_links", F.lit(0)).withColumn("_root", F.col(id_col))
     else:
-        usable_key = F.when((F.col("dim") == usual) & F.col(id_col).isNotNull(), F.col("digest"))
-        out = out.withColumn("_key", usable_key).join(edges_found, F.col("_key") == F.col("_d"), "left")
+        found = reduce(DataFrame.union, found)
+        counts = found.groupBy(F.col("id").alias("_rep")).agg(F.sum("n").alias("_links"))
+        roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).toDF("_node", "_root")
+        named = classes.select(F.col("digest").alias("_d"), "rep", "n").join(counts, F.col("rep") == F.col("_rep"), "left").join(roots, F.col("rep") == F.col("_node"), "left")
+        named = named.select("_d", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("_root", "rep").alias("_root"))
+        out = out.withColumn("_key", F.when(F.col(id_col).isNotNull(), F.col("digest"))).join(named, F.col("_key") == F.col("_d"), "left")
     return out.select(
         id_col,
         F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
