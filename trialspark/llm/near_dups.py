@@ -327,7 +327,8 @@ def near_duplicates(
     roots = components(links)
 
     wide = shared.where("n > 2").join(roots, F.col("rep") == F.col("node"), "left").select("key", "n", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = wide.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
+    # stored, so that Spark knows its size: few keys are sent to the rows, which then stay spread however many share a key
+    mixed = save(wide.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key"), "mixed")
     rest = save(across(wide.join(mixed, "key", "left_semi"), classes, docs, id_col, text_col, size, threshold, bands), "links")
     if not rest.isEmpty():
         roots = components(links.union(rest))
