@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, binary, fresh, with_columns
+from .common import alnum_words, binary, fresh, save, with_columns
 
 WINDOW = 13
 #: hits of at least one word in LIMIT contaminate a document
 LIMIT = 20
 FOUND = ("_n_words", "_spans", "_items")
 SHARD_WORDS = 100_000
-MAX_SHARDS = 200
+#: shards that documents pass before they are stored in between
+CHAIN = 4
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 SPANS = T.ArrayType(
@@ -148,7 +149,7 @@ def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def item_shards(items: DataFrame, window: int, item_col: str, text_col: str) -> Iterator[list]:
     """Items in shards of bounded size, one at a time on the driver."""
-    shard, size, n = [], 0, 0
+    shard, size = [], 0
     rows = items.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator()
     for item, text in rows:
         words = alnum_words(bytes(text) if text is not None else None)
@@ -157,9 +158,7 @@ def item_shards(items: DataFrame, window: int, item_col: str, text_col: str) ->
             part = words[at : at + SHARD_WORDS]
             if shard and size + len(part) > SHARD_WORDS:
                 yield shard
-                shard, size, n = [], 0, n + 1
-                if n >= MAX_SHARDS:
-                    raise ValueError(f"test items of more than {MAX_SHARDS * SHARD_WORDS} words: match them in several calls")
+                shard, size = [], 0
             if part:
                 shard.append((item, part, min(window, len(words))))
                 size += len(part)
@@ -203,10 +202,11 @@ def find_overlaps(
     kinds = (T.LongType(), SPANS, T.ArrayType(T.StringType()))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("longest", pa.int64())]))
-    shards = [_Broadcast(spark, s) for s in item_shards(items, window, item_col, item_text_col)]
-    out = docs
-    for i, shared in enumerate(shards or [None]):
-        last = finish if i >= len(shards) - 1 else None
+    out, ahead = docs, item_shards(items, window, item_col, item_text_col)
+    shard, i = next(ahead, None), 0
+    while True:
+        after = next(ahead, None)
+        shared, last = _Broadcast(spark, shard) if shard else None, finish if after is None else None
 
         def run(batches, shared=shared, last=last, again=i > 0):
             automaton = _automaton(shared, window) if shared else None
@@ -228,7 +228,11 @@ def find_overlaps(
                 yield last(done, names) if last else done
 
         out = out.mapInArrow(run, docs.schema if last else schema)
-    return out
+        if after is None:
+            return out
+        shard, i = after, i + 1
+        if i % CHAIN == 0:  # automata of so many shards are in memory together, on the driver too
+            out = save(out, "overlaps")
 
 
 def n_hit() -> F.Column:
