@@ -150,3 +150,31 @@ def test_redaction_of_whole_private_keys(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in sl.redacted(df).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_sql_on_private_keys(spark, tmp_path):
+    """The statement finds the same whole keys, and keys cut off, as the operator."""
+    import duckdb
+
+    from trialspark.llm.oracles import OP3
+    from trialspark.llm.queries import QUERIES
+
+    body = "\n".join("MIIEowIBAAKCAQEA" * 4 for _ in range(6))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        f"before {head}\n{body}\nAbc+/=\n{end} after token=abcdefgh",
+        f"{head}\\n{body}\\n{end}" + f" and {head}\n{body}\n{end}",
+        f"x {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES, 00\n\n{body}\nshort==",
+        f"{head} no key at all",
+        f"{head}\n{body}\n---- {end}\n{end}",
+        f"> {head}\n> {body}\n> {end}",
+        "-----BEGIN PRIVATE KEY-----",
+        None,
+        "password: hunter2hunter2",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["base_sha256"], r["spans"]) for r in QUERIES["op3_secret_ledger"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT doc_id, base_sha256, spans FROM ({OP3})").fetchall())
+    assert got == want and sum("pem" in s for _, _, s in got) >= 6

@@ -32,6 +32,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIG
 FROM d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
 """
 
+#: A private key to its END line; one without END to its last full base64 line, and a shorter one that ends the text.
+#: Without looking ahead SQL can't end a shorter line at a quote or a further line: keys cut off there differ.
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:-{0,4}[^-])*-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:[\s>]|\\[nrt])+[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:(?:[^\n\\]|\\[^nr\n])*)*"
+    r"(?:(?:[\s>]|\\[nrt])+[A-Za-z0-9+/]{16,}={0,2})*"
+    r"(?:[ \t]*(?:\r?\n|\\r|\\n)(?:[\s>]|\\[nrt])*[A-Za-z0-9+/]+={0,2}\z)?)"
+)
 #: kind, pattern, group, least length, whether it is a base kind
 _RULES = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
@@ -39,7 +47,7 @@ _RULES = (
     ("hex", r"[0-9a-f]+", 0, 24, True),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, False),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28, False),
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27, False),
+    ("pem", _PEM, 0, 27, False),
 )
 _MATCHES = " UNION ALL ".join(
     f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, {str(base).lower()} AS base, i,
