@@ -33,6 +33,8 @@ from .common import binary, save
 FEATURES = 256
 GAMMA = 0.02
 RIDGE = 1e-3
+#: a spread below this share of the mean is rounding, not spread
+ROUNDING = 1e-6
 BINS = 1_000
 FAN = 32
 SEED = 7
@@ -110,7 +112,7 @@ class Fourier:
 
     def __init__(self, mean: np.ndarray, spread: np.ndarray, features: int = FEATURES, gamma: float = GAMMA):
         rng = np.random.default_rng(SEED)
-        self.mean, self.spread = mean, np.where(spread > 0, spread, 1.0)
+        self.mean, self.spread = mean, np.where(spread > ROUNDING * np.abs(mean), spread, 1.0)
         self.w = rng.normal(0, math.sqrt(2 * gamma), (len(mean), features))
         self.b = rng.uniform(0, 2 * math.pi, features)
 
@@ -135,8 +137,6 @@ def summed(parts: DataFrame) -> np.ndarray | None:
     while (count := parts.count()) > 1:
         order = parts.select("pid", "v", F.floor(F.col("pid") / FAN).cast("long").alias("g"))
         parts = save(order.groupBy("g").applyInArrow(add, "pid long, v array<double>"), "sums")
-        if count <= 1:
-            break
     row = parts.first()
     return np.array(row["v"]) if row else None
 
