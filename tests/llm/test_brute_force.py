@@ -1,0 +1,251 @@
+"""Quality, quotation linking and the pattern fit against plain single-process versions on generated data."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from llm_texts import prose
+from pyspark.sql import functions as F
+
+from trialspark.llm import packing, quality
+from trialspark.llm import quotes as qu
+from trialspark.llm.common import remainder
+
+# ---- quality ----
+
+
+def isotonic_by_means(positive, count):
+    """The max-min formula of isotonic regression on the bins that hold rows, then straight lines between them."""
+    some = [i for i, n in enumerate(count) if n]
+
+    def mean(a, b):
+        return sum(positive[i] for i in some[a : b + 1]) / sum(count[i] for i in some[a : b + 1])
+
+    k = range(len(some))
+    fitted = [max(min(mean(a, b) for b in k if b >= i) for a in k if a <= i) for i in k]
+    return np.interp(np.arange(len(count)), some, fitted)
+
+
+def dense_scores(texts, labels, folds=5):
+    """Ridge as one stacked least-squares problem over all rows, no partial sums."""
+
+    def fold(i):
+        return zlib.crc32(str(i if i is not None else "").encode()) % folds
+
+    x = {i: quality.statistics(t.encode() if t is not None else None) for i, t in texts.items()}
+    known = [(i, y) for i, y in labels if y in (0, 1) and i in texts and i is not None and fold(i) != 0]
+    rows = np.array([x[i] for i, _ in known])
+    features = quality.Fourier(rows.mean(axis=0), np.where(np.ptp(rows, axis=0) > 0, rows.std(axis=0), 1.0))
+    fit = [(i, y) for i, y in known if fold(i) != 1]
+    z, y = features(np.array([x[i] for i, _ in fit])), np.array([y for _, y in fit], float)
+    penalty = np.sqrt(quality.RIDGE * len(fit)) * np.eye(z.shape[1])[:-1]
+    weights = np.linalg.lstsq(np.vstack([z, penalty]), np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+
+    def bins(ids):
+        raw = features(np.array([x[i] for i in ids])) @ weights
+        return np.clip(np.floor((raw + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1).astype(int)
+
+    held = [(i, y) for i, y in known if fold(i) == 1]
+    at = bins([i for i, _ in held])
+    count = np.bincount(at, minlength=quality.BINS)
+    shares = isotonic_by_means(np.bincount(at, [y for _, y in held], quality.BINS), count)
+    return dict(zip(texts, shares[bins(list(texts))]))
+
+
+def test_quality_against_a_dense_fit(spark):
+    rng = random.Random(8)
+    texts, labels = {}, []
+    for i in range(400):
+        good = rng.random() < 0.6
+        plain = prose(rng, rng.randint(5, 90))
+        texts[i] = plain if good else " | ".join(plain.split(" ")[: rng.randint(1, 40)])
+        labels.append((i, int(good if rng.random() < 0.9 else not good)))
+    texts |= {400: None, 401: "", 402: " \n\t", 403: prose(rng, 100_000), 404: "x" * 300_000, None: "a text without an id"}
+    labels += [(0, 1), (0, 1), (1, None), (2, 7), (400, 0), (401, 0), (403, 1), (None, 1), (9_999, 1)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    graded = spark.createDataFrame(labels, "doc_id long, quality int").repartition(3)
+    got = quality.score(docs, graded, remainder("doc_id", 5) == 0, remainder("doc_id", 5) == 1).collect()
+    want = dense_scores(texts, labels)
+    assert len(got) == len(texts)
+    assert len({round(v, 6) for v in want.values()}) > 5
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
+
+
+# ---- quotes ----
+
+WORDS = "mill river stone wheel oak winter road lamp harbour bread letter garden".split()
+
+
+def sentence(rng):
+    return " ".join(rng.choice(WORDS) for _ in range(rng.randint(3, 6))).capitalize() + rng.choice(".!?")
+
+
+def wrapped(rng, text):
+    words, lines = text.split(" "), []
+    while words:
+        n = rng.randint(2, 9)
+        lines.append(" ".join(words[:n]))
+        words = words[n:]
+    return lines
+
+
+def talk(rng, turns):
+    """Messages as blocks (level, lines, announced); quotes are whole, trimmed, re-wrapped or made-up blocks of earlier ones."""
+    out, turn = {}, 0
+    for _ in range(turns):
+        turn += rng.choice([1, 1, 1, 5])
+        blocks = []
+        for _ in range(rng.randint(0, 3)):
+            earlier = [b for m in out.values() for b in m]
+            kind = rng.random()
+            if not earlier or kind < 0.3:
+                blocks.append((0, wrapped(rng, " ".join(sentence(rng) for _ in range(rng.randint(1, 4)))), False))
+                continue
+            level, lines, _ = rng.choice(earlier)
+            if kind < 0.4:  # said again
+                level = -1
+            elif kind < 0.55:
+                lines = wrapped(rng, " ".join(lines).upper())
+            elif kind < 0.7:
+                lines = lines[rng.randrange(len(lines)) :]
+            elif kind < 0.8:
+                lines = wrapped(rng, sentence(rng)) + lines[:1]
+            blocks.append((level + 1, list(lines), level >= 0 and rng.random() < 0.3))
+        out[turn] = blocks
+    return out
+
+
+def rendered(rng, blocks):
+    lines = []
+    for level, content, announced in blocks:
+        lines += ["Ann wrote:"] * announced
+        marks = rng.choice([">", "> "]) * (level - 1) + "> " if level else ""
+        lines += [marks + line for line in content] + [""]
+    return "\n".join(lines)
+
+
+def normal(lines):
+    return " ".join(" ".join(lines).lower().split())
+
+
+def cut_to_sentences(text):
+    out, start = [], 0
+    for i, c in enumerate(text):
+        if c == " " and text[i - 1] in ".!?":
+            out.append(text[start:i])
+            start = i + 1
+    return {*out, text[start:]}
+
+
+def linked_by_scanning(messages):
+    """{turn: (parent, n_quoted, n_linked)} by looking through all earlier messages, the latest first."""
+    own = {t: {normal(c) for level, c, _ in blocks if not level} for t, blocks in messages.items()}
+    pieces = {
+        t: {x for level, c, _ in blocks if not level for x in {normal([line]) for line in c} | cut_to_sentences(normal(c))} for t, blocks in messages.items()
+    }
+    out = {}
+    for t, blocks in messages.items():
+        before = sorted((e for e in messages if e < t), reverse=True)
+        quoted = [(level, c) for level, c, _ in blocks if level]
+        links = []
+        for text in {normal(c) for _, c in quoted}:
+            same = [(level, c) for level, c in quoted if normal(c) == text]
+            level = min(level for level, _ in same)
+            found = next((e for e in before if text in own[e]), None)
+            if found is None:
+                best = []
+                for some in ({normal([line]) for _, c in same for line in c}, cut_to_sentences(text)):
+                    agreed = {}
+                    for x in some:
+                        at = next((e for e in before if x in pieces[e]), None)
+                        if at is not None:
+                            agreed[at] = agreed.get(at, 0) + len(x)
+                    best += [(n, at) for at, n in agreed.items()]
+                found = max(best)[1] if best else None
+            if found is not None:
+                links.append((level, -found))
+        out[t] = (-min(links)[1] if links else None, len(quoted), len(links))
+    return out
+
+
+def threads(parents):
+    root = {t: t for t in parents}
+    for t in sorted(parents):
+        if parents[t] is not None:
+            root[t] = root[parents[t]]
+    return root
+
+
+def test_quotes_against_scanning_all_messages(spark, monkeypatch):
+    monkeypatch.setattr(qu, "BLOCK_BITS", 3)  # many blocks, so that originals are carried between them
+    rng = random.Random(3)
+    talks = {c: talk(rng, rng.choice([1, 4, 12, 40])) for c in range(40)}
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rendered(rng, blocks)) for c, m in talks.items() for t, blocks in m.items()]
+    got = {(r["conv_id"], r["turn"]): r for r in qu.linked(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    linked = 0
+    for c, messages in talks.items():
+        want = linked_by_scanning(messages)
+        root = threads({t: w[0] for t, w in want.items()})
+        for t, (parent, n_quoted, n_linked) in want.items():
+            r = got[c, t]
+            assert (c, t, r["parent_turn"], r["n_quoted"], r["n_linked"], r["thread_turn"]) == (c, t, parent, n_quoted, n_linked, root[t])
+            mine = ["\n".join(lines) for level, lines, _ in messages[t] if not level]
+            assert [x for x in r["text"].split("\n") if x] == [x for m in mine for x in m.split("\n")]
+            linked += n_linked
+    assert linked > 200 and any(w[2] < w[1] for m in talks.values() for w in linked_by_scanning(m).values())
+
+
+def test_quotes_with_clashing_columns(spark, helper_names):
+    rows = [(1, 0, "user", "A line."), (1, 1, "user", "> a line.\n\nYes."), (1, 1, "user", "> a line.\n\nYes.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    names = [*helper_names, "conv", "part", "hash", "level", "node", "root", "n", "b", "found", "u", "v"]
+    out = qu.linked(df.withColumns({n: F.lit("x") for n in names}))
+    assert sorted((r["turn"], r["parent_turn"], r["n_linked"]) for r in out.collect() if r["turn"]) == [(1, 0, 1)] * 2
+
+
+# ---- the fit of patterns ----
+
+
+def active_set(a, h):
+    """Least squares with x >= 0: columns enter by the steepest gradient and leave when they reach zero."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while True:
+        slope = a.T @ (h - a @ x)
+        slope[free] = -np.inf
+        if slope.max() <= 1e-10:
+            return x
+        free[slope.argmax()] = True
+        while True:
+            s = np.zeros_like(x)
+            s[free] = np.linalg.lstsq(a[:, free], h, rcond=None)[0]
+            bad = free & (s <= 1e-12)
+            if not bad.any():
+                break
+            step = min(x[i] / (x[i] - s[i]) for i in np.flatnonzero(bad))
+            x = x + step * (s - x)
+            free &= x > 1e-12
+            x[~free] = 0
+        x = s
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+@pytest.mark.parametrize("seed", range(4))
+def test_fit_against_an_active_set_solver(depth, seed):
+    length = 24
+    h = np.bincount(np.random.default_rng(seed).integers(1, length + 1, 500) // (1 + seed % 2), minlength=length + 1)
+    h[0] = 0
+    shapes = packing.patterns(length, depth)
+    a = np.zeros((length + 1, len(shapes)))
+    for j, shape in enumerate(shapes.tolist()):
+        for n in shape:
+            a[n, j] += n > 0
+    got, want = packing.fitted(h, shapes, rounds=3_000), active_set(a, h.astype(float))
+    assert (got >= 0).all()
+    assert np.linalg.norm(a @ got - h) == pytest.approx(np.linalg.norm(a @ want - h), rel=1e-4, abs=1e-3 * h.sum())
+    # the fitted histogram is unique even where the counts of the patterns are not
+    assert np.abs(a @ got - a @ want).max() < 1e-2 * h.sum()
+    # and the production number of rounds comes close
+    assert np.linalg.norm(a @ packing.fitted(h, shapes) - h) <= np.linalg.norm(a @ want - h) + 1e-2 * h.sum()
