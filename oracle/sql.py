@@ -186,6 +186,50 @@ block("pat", "cl")(
           FROM cl GROUP BY ALL)
     """
 )
+# the nearest of all items of the display, each event against each item
+block("seen", "fx", "items")(
+    """
+    SELECT * FROM (
+      SELECT participant, tno, fix_count, start_time, item, sqrt((x - gx) ** 2 + (y - gy) ** 2) AS d,
+             row_number() OVER (PARTITION BY participant, tno, fix_count
+                                ORDER BY sqrt((x - gx) ** 2 + (y - gy) ** 2), item DESC) AS nearest
+      FROM (SELECT participant, tno, fix_count, start_time, gx, gy, unnest([1, 2, 3]) AS item,
+                   unnest([tar1_pos, tar2_pos, dist_pos]) AS pos
+            FROM fx WHERE cat = 'Search' AND gx IS NOT NULL) JOIN items USING (pos))
+    WHERE nearest = 1 AND d < 3
+    """
+)
+block("begun", "seen")("SELECT participant, tno, item, min(fix_count) AS begin FROM seen GROUP BY ALL")
+# seen again: a visit after another item was first seen, which itself was first seen later
+block("again", "seen", "begun")(
+    """
+    SELECT DISTINCT s.participant, s.tno FROM seen s
+      JOIN begun a ON (a.participant, a.tno, a.item) = (s.participant, s.tno, s.item)
+      JOIN begun b ON (b.participant, b.tno) = (s.participant, s.tno) AND b.item <> s.item
+    WHERE b.begin > a.begin AND s.fix_count > b.begin
+    """
+)
+block("vis", "fx", "begun", "again")(
+    """
+    SELECT t.*, CAST(coalesce(n, 0) AS INT) AS n_seen, coalesce(seen_order, '') AS seen_order, first_item_at,
+           CASE WHEN n = n_items THEN last_at END AS all_seen_at,
+           CASE WHEN n IS NULL THEN 'No fix.' WHEN n = 1 THEN 'Single fix.' WHEN a.tno IS NOT NULL THEN 'Refixation'
+                WHEN n = n_items THEN 'All fix.' ELSE 'Some fix.' END AS visit_pattern
+    FROM (SELECT DISTINCT participant, tno, dist_region, response, response_corr,
+                 CASE WHEN dist_pos = 0 THEN 2 ELSE 3 END AS n_items FROM fx) t
+    LEFT JOIN (SELECT participant, tno, count(*) AS n, min(begin) AS first_item_at, max(begin) AS last_at,
+                      string_agg(['target 1', 'target 2', 'distractor'][item], ' > ' ORDER BY begin) AS seen_order
+               FROM begun GROUP BY ALL) b USING (participant, tno)
+    LEFT JOIN again a USING (participant, tno)
+    """
+)
+block("vist", "vis", "fx")(
+    """
+    SELECT v.*, f.start_time AS first_item_time, l.start_time AS all_seen_time FROM vis v
+    LEFT JOIN fx f ON (f.participant, f.tno, f.fix_count) = (v.participant, v.tno, v.first_item_at)
+    LEFT JOIN fx l ON (l.participant, l.tno, l.fix_count) = (v.participant, v.tno, v.all_seen_at)
+    """
+)
 # ---- trial log ----
 block("firstk", "ev")("SELECT pid, tno, arg_min(k, event_id) AS k0 FROM ev GROUP BY ALL")
 block("log", "reg", "firstk")(
@@ -404,6 +448,26 @@ Q["fix_pattern_share"] = statement(
         WHERE response IS NOT NULL GROUP BY response, fix_pattern""",
     "pat",
 )
+Q["display_visits"] = statement(
+    f"""SELECT participant, tno, n_items, n_seen, visit_pattern, seen_order,
+        nullif(split_part(seen_order, ' > ', 1), '') AS first_item, first_item_at,
+        {rnd('first_item_time', 'first_item_time')}, all_seen_at, {rnd('all_seen_time', 'all_seen_time')} FROM vist""",
+    "vist",
+)
+Q["display_visit_share"] = statement(
+    f"""SELECT dist_region, response, visit_pattern, {SHARE.format(panel='dist_region, response')} FROM vis
+        WHERE response_corr = 1 AND response IS NOT NULL GROUP BY dist_region, response, visit_pattern""",
+    "vis",
+)
+Q["display_scan_time"] = statement(
+    within(
+        """SELECT dist_region, response, participant, avg((all_seen_time - first_item_time) * 1000) AS scan FROM vist
+           WHERE response_corr = 1 AND n_seen > 1 AND all_seen_at IS NOT NULL GROUP BY dist_region, response, participant""",
+        "dist_region, response",
+        {"scan": "scan"},
+    ),
+    "vist",
+)
 Q["enrich_full"] = statement(
     f"""SELECT participant, tno, fix_count, cat, {rnd('duration', 'duration')}, dist_rep
         FROM fx FULL JOIN (SELECT participant, tno, dist_rep FROM rep) r USING (participant, tno)""",

@@ -69,7 +69,7 @@ def test_event_columns_are_pruned(spark, tmp_path):
     assert flags.count("EqualTo(cat,Search)") >= 1
 
 
-@pytest.mark.parametrize("name", ["trial_markers", "fix_pattern"])
+@pytest.mark.parametrize("name", ["trial_markers", "fix_pattern", "display_visits"])
 def test_markers_take_one_shuffle(spark, no_small_broadcast, name):
     """Attributes are checked in the aggregation: events move once, as partial results, and nothing moves after."""
     text = executed_scans(entry.queries()[name](spark, DIRECTORY))

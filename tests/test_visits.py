@@ -1,0 +1,135 @@
+"""Visits of any number of items against plain loops over the events."""
+
+import random
+
+import pytest
+
+from trialspark.operators import classify, markers, visits
+from trialspark.sources import event_tables as tables
+from trialspark.sources.stored_events import store_events
+
+EVENT = "participant string, tno int, fix_count long, cat string, item_seen int, start_time double, "
+
+
+def events(spark, trials, positions, attributes="response string", values=("Go",)):
+    """Frames from ``{tno: "1 - x3"}``: numbers of items, - none, ? unknown, x not search."""
+    out = []
+    for tno, text in trials.items():
+        for i, s in enumerate(text.split(), 1):
+            seen = s.removeprefix("x")
+            out.append(("p", tno, i, "Post" if s != seen else "Search", int(seen) if seen.isdigit() else None, i / 10, *positions, *values))
+    columns = "".join(f"pos{i} int, " for i in range(1, len(positions) + 1))
+    return spark.createDataFrame(out, EVENT + columns + attributes)
+
+
+def by_loop(text, n_items):
+    """(n_seen, pattern, order, first, completed) by looking at each event in turn."""
+    order, first, last = [], {}, None
+    again = False
+    for i, s in enumerate(text.split(), 1):
+        if not s.isdigit():
+            continue
+        if s not in first:
+            order.append(s)
+            first[s] = i
+        elif any(first[o] > first[s] for o in order):
+            again = True
+        last = first[order[-1]]
+    n = len(order)
+    pattern = "No fix." if not n else "Single fix." if n == 1 else "Refixation" if again else "All fix." if n == n_items else "Some fix."
+    return n, pattern, " > ".join("abcde"[int(s) - 1] for s in order), first[order[0]] if n else None, last if n == n_items and n else None
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_against_a_loop(spark, k):
+    rng = random.Random(k)
+    names = {"abcde"[i]: f"pos{i + 1}" for i in range(k)}
+    seen = [*map(str, range(1, k + 1)), "-", "?", "x1"]
+    trials = {t: " ".join(rng.choice(seen) for _ in range(rng.randint(1, 9))) for t in range(300)}
+    df = events(spark, trials, tuple(range(1, k + 1))).repartition(4)
+    got = {r["tno"]: r for r in visits.trial_visits(df, names, {"response": ("Go", "No-go")}).collect()}
+    assert len(got) == 300
+    for t, text in trials.items():
+        r = got[t]
+        assert (t, r["n_seen"], r["visit_pattern"], r["seen_order"], r["first_item_at"], r["all_seen_at"]) == (t, *by_loop(text, k))
+        assert r["n_items"] == k and r["response"] == "Go"
+        assert r["first_item_time"] == (r["first_item_at"] / 10 if r["first_item_at"] else None)
+        assert r["all_seen_time"] == (r["all_seen_at"] / 10 if r["all_seen_at"] else None)
+
+
+def test_items_that_are_not_there(spark):
+    names = {"a": "pos1", "b": "pos2", "c": "pos3"}
+    for positions, text, n, pattern in [((1, 8, 0), "1 2", 2, "All fix."), ((1, 8, None), "2 1", 2, "All fix."), ((1, 8, 3), "1 2", 3, "Some fix."), ((0, 0, 0), "- -", 0, "No fix.")]:
+        r = visits.trial_visits(events(spark, {1: text}, positions), names, {}).first()
+        assert (r["n_items"], r["visit_pattern"]) == (n, pattern)
+        assert (r["all_seen_at"] is not None) == (pattern == "All fix.")
+
+
+@pytest.mark.parametrize(
+    "x, y, third, rival, seen",
+    [
+        (5.196, 3.0, 0, 0, 1),
+        (0.0, -6.0, 0, 0, 2),
+        (0.0, 6.0, 3, 0, 3),
+        (0.0, 6.0, 0, 0, None),
+        (0.0, 0.0, 3, 0, None),
+        (3.6, 4.8, 0, 0, 1),
+        (3.6, 4.8, 0, 2, None),  # the rival is nearer
+        (5.19615, 3.0, 1, 0, 3),  # the later one of two items at one place
+        (None, None, 3, 0, None),
+        (5.196, 3.0, None, None, 1),
+    ],
+)
+def test_nearest_item(spark, x, y, third, rival, seen):
+    df = spark.createDataFrame([(x, y, 1, 8, third, rival)], "average_gaze_x double, average_gaze_y double, a int, b int, c int, r int")
+    assert visits.see_items(df, {"a": "a", "b": "b", "c": "c"}, "r").first()["item_seen"] == seen
+
+
+def test_two_targets_as_the_markers_see_them(spark):
+    directory = "/root/testdata/sf0.001"
+    fixations = tables.load_fixations(spark, directory)
+    targets = {"1": "tar1_pos", "2": "tar2_pos"}
+    both = classify.classify(visits.see_items(fixations, targets, "dist_pos"))
+    assert both.where("item_seen IS DISTINCT FROM tar_fixed").count() == 0
+    mine = visits.trial_visits(both, targets).selectExpr("participant", "tno", "visit_pattern", "first_item_at", "first_item_time")
+    marked = markers.trial_markers(both).select("participant", "tno", "fix_pattern", "first_target", "first_target_time", "both_targets")
+    same = mine.join(marked, ["participant", "tno"]).collect()
+    as_before = {"Single fix.": "Single tar. fix.", "All fix.": "Both fix."}
+    assert len(same) == marked.count() > 0
+    for r in same:
+        assert as_before.get(r["visit_pattern"], r["visit_pattern"]) == r["fix_pattern"]
+        assert (r["first_item_at"], r["first_item_time"]) == (r["first_target"], r["first_target_time"])
+
+
+def test_varying_positions_and_missing_keys_raise(spark):
+    names = {"a": "pos1", "b": "pos2"}
+    moved = events(spark, {1: "1 2"}, (1, 8)).union(events(spark, {1: "1 2"}, (2, 8)).selectExpr("participant", "tno", "fix_count + 2", "* EXCEPT (participant, tno, fix_count)"))
+    with pytest.raises(Exception, match="attributes differ"):
+        visits.trial_visits(moved, names, {}).collect()
+    keyless = events(spark, {1: "1 2"}, (1, 8)).withColumn("fix_count", markers_null())
+    with pytest.raises(Exception, match="lacks its key"):
+        visits.trial_visits(keyless, names, {}).collect()
+
+
+def markers_null():
+    from pyspark.sql import functions as F
+
+    return F.expr("CASE WHEN tno > 5 THEN 1L END")
+
+
+def test_no_events(spark):
+    df = events(spark, {1: "1"}, (1, 8)).limit(0)
+    assert visits.trial_visits(df, {"a": "pos1", "b": "pos2"}, {}).count() == 0
+
+
+def test_stored_events_need_no_shuffle(spark, tmp_path):
+    fixations = tables.load_fixations(spark, "/root/testdata/sf0.001")
+    store = store_events({"fixations": fixations}, str(tmp_path / "events"), buckets=4, keys={"fixations": ("participant", "tno", "fix_count")})
+    items = {"1": "tar1_pos", "2": "tar2_pos", "3": "dist_pos"}
+    stored = visits.trial_visits(visits.see_items(store["fixations"], items), items)
+    usual = stored.usual if hasattr(stored, "usual") else stored
+    assert "Exchange" not in usual._jdf.queryExecution().executedPlan().toString()
+    plain = visits.trial_visits(visits.see_items(fixations, items), items)
+    columns = ["participant", "tno", "n_seen", "visit_pattern", "seen_order", "all_seen_at"]
+    rows = stored.union_parts() if hasattr(stored, "union_parts") else stored
+    assert sorted(map(tuple, rows.select(columns).collect()), key=str) == sorted(map(tuple, plain.select(columns).collect()), key=str)

@@ -46,12 +46,35 @@ def _code(column: str, levels: Sequence[str] | None) -> str:
     return f"CASE WHEN {quoted(column)} IS NOT NULL THEN coalesce({rank}, CAST(raise_error({unknown}) AS INT)) END"
 
 
-def _known_keys(events: DataFrame) -> DataFrame:
+def known_keys(events: DataFrame) -> DataFrame:
     """The events; one without a participant, trial number or index raises when it is read."""
     known = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in (*TRIAL, "fix_count"))
     return events.where(f"CASE WHEN {known} THEN true ELSE raise_error('an event lacks its key') END")
 
 
+def attribute_states(events: DataFrame, attributes: Mapping[str, Sequence[str] | None]) -> tuple[DataFrame, dict[str, str]]:
+    """Events with coded attributes, and the aggregates that tell whether one varies within a trial."""
+    coded = add(events, {f"_code{i}": _code(c, levels) for i, (c, levels) in enumerate(attributes.items())})
+    states = {}
+    for i in range(len(attributes)):
+        states |= {f"_low{i}": f"min(_code{i})", f"_high{i}": f"max(_code{i})", f"_known{i}": f"count(_code{i})"}
+    return coded, states
+
+
+def attribute_values(
+    trials: DataFrame, attributes: Mapping[str, Sequence[str] | None], more: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Trials with their attributes (and ``more`` columns) in place of the states; one that varies raises. ``_events`` counts rows."""
+    n = len(attributes)
+    constant = " AND ".join(f"(_known{i} = 0 OR _known{i} = _events AND _low{i} = _high{i})" for i in range(n)) or "true"
+    checked = trials.where(f"CASE WHEN {constant} THEN true ELSE raise_error('attributes differ within a trial') END")
+    # new columns behind a generator: a later filter "response_corr = 1" would otherwise be
+    # joined with the check, and the optimizer would put the 1 into it for every trial
+    coded = [(f"_low{i}", c, levels) for i, (c, levels) in enumerate(attributes.items())]
+    values = {c: at if levels is None else label_at(at, levels) for at, c, levels in coded}
+    return drop(compute_once(checked, {**values, **(more or {})}), *(f"_{part}{i}" for i in range(n) for part in ("low", "high", "known")))
+
+
 def trial_markers(
     events: DataFrame, attributes: Mapping[str, Sequence[str] | None] = TRIAL_ATTRIBUTES, unique_keys: bool = False
 ) -> DataFrame:
@@ -85,12 +108,9 @@ def trial_markers(
     def at_first(value: str, cond: str) -> str:
         return f"min_by({value}, {index_if(cond)})"
 
-    checks = {}
-    for i, column in enumerate(attributes):
-        checks |= {f"_low{i}": f"min(_code{i})", f"_high{i}": f"max(_code{i})", f"_known{i}": f"count(_code{i})"}
+    coded, checks = attribute_states(known_keys(events), attributes)
     if unique_keys:
         checks["_indexes"] = "count(DISTINCT fix_count)"
-    coded = add(_known_keys(events), {f"_code{i}": _code(c, levels) for i, (c, levels) in enumerate(attributes.items())})
     grouped = coded.groupBy(*TRIAL).agg(
         *aggregates(
             checks
@@ -116,16 +136,9 @@ def trial_markers(
         )
     )
 
-    n = len(attributes)
-    constant = " AND ".join(f"(_known{i} = 0 OR _known{i} = _events AND _low{i} = _high{i})" for i in range(n)) or "true"
-    grouped = grouped.where(f"CASE WHEN {constant} THEN true ELSE raise_error('attributes differ within a trial') END")
     if unique_keys:
         grouped = grouped.where("CASE WHEN _indexes = _events THEN true ELSE raise_error('an event key is repeated') END")
-    # new columns behind a generator: a later filter "response_corr = 1" would otherwise be
-    # joined with the check, and the optimizer would put the 1 into it for every trial
-    coded = [(f"_low{i}", c, levels) for i, (c, levels) in enumerate(attributes.items())]
-    values = {c: at if levels is None else label_at(at, levels) for at, c, levels in coded}
-    grouped = drop(compute_once(grouped, {**values, "n_events": "_events"}), *checks, "_events")
+    grouped = drop(attribute_values(grouped, attributes, {"n_events": "_events"}), "_events", *["_indexes"] * unique_keys)
 
     # the first visit to "the other" target is the later of the two first visits
     def other(one: str, two: str) -> str:

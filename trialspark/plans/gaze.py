@@ -16,8 +16,11 @@ from ..operators.positions import target_regions
 from ..operators.reshape import spread_statistics, to_long, to_wide
 from ..operators.summarize import cell_mean, share_within, sum_at_first, two_level_mean
 from ..operators.trial_log import RESPONSES, valid_go
+from ..operators.visits import see_items, trial_visits
 
 CELL = ["dist_region", "response"]
+#: everything a display may hold: two targets and, in some trials, a distractor
+DISPLAY = {"target 1": "tar1_pos", "target 2": "tar2_pos", "distractor": "dist_pos"}
 PHASE_MEASURES = ("before", "between", "after")
 
 
@@ -39,6 +42,23 @@ def first_object_share(fixations: DataFrame) -> DataFrame:
     return share_within(trials, CELL, "first_object").withColumnRenamed("first_object", "fix_type")
 
 
+def display_visits(fixations: DataFrame) -> DataFrame:
+    """Visits of all items of the display, targets and distractor alike."""
+    return trial_visits(see_items(fixations, DISPLAY), DISPLAY)
+
+
+def display_visit_share(fixations: DataFrame) -> DataFrame:
+    """Share of each visit pattern of the whole display among correct trials of a cell."""
+    return share_within(display_visits(fixations).where("response_corr = 1 AND response IS NOT NULL"), CELL, "visit_pattern")
+
+
+def display_scan_time(fixations: DataFrame) -> DataFrame:
+    """Within-subject summary of the time in ms from the first item seen to the last one, where all were seen."""
+    complete = display_visits(fixations).where("response_corr = 1 AND n_seen > 1 AND all_seen_at IS NOT NULL")
+    cells = cell_mean(complete, [*CELL, "participant"], "(all_seen_time - first_item_time) * 1000", "scan")
+    return within_error(cells, CELL, {"scan": "scan"})
+
+
 def target_region_cells(fixations: DataFrame) -> DataFrame:
     """Mean response time in ms per target region pair and participant, no distractor."""
     rows = valid_go(target_regions(fixations), min_rt=None)

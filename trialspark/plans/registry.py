@@ -269,6 +269,26 @@ def fix_pattern_share(spark, d):
     return gaze.pattern_share(tables.load_fixations(spark, d))
 
 
+@query
+def display_visits(spark, d):
+    """Visits of two or three items a trial."""
+    visits = gaze.display_visits(tables.load_fixations(spark, d))
+    return visits.select(
+        "participant", "tno", "n_items", "n_seen", "visit_pattern", "seen_order",
+        "first_item", "first_item_at", "first_item_time", "all_seen_at", "all_seen_time",
+    )
+
+
+@query
+def display_visit_share(spark, d):
+    return gaze.display_visit_share(tables.load_fixations(spark, d))
+
+
+@query
+def display_scan_time(spark, d):
+    return gaze.display_scan_time(tables.load_fixations(spark, d))
+
+
 @query
 def enrich_full(spark, d):
     """Fixations with the repeat label of their trial; practice events have no trial."""
