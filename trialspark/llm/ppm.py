@@ -140,12 +140,24 @@ def pack_grams(texts: list[bytes], held: list[bool], order: int) -> tuple[np.nda
     for out in (False, True):
         for part in parts([t for t, h in zip(texts, held) if h == out]):
             grams, n = np.unique(stream_codes(part, order)[0], return_counts=True)
-            some.append((grams, n * (not out)))
+            some.append((grams, n.astype(np.int32) * (not out)))  # a pack holds fewer than 2^31 bytes
             held_n += len(grams)
             if held_n > HELD_GRAMS:
-                some = [summed(*(np.concatenate(x) for x in zip(*some)))]
+                some = [added_up(some)]
                 held_n = len(some[0][0]) // 2  # what has been added up once weighs half, so that sums stay few
-    return summed(*(np.concatenate(x) for x in zip(*some)))
+    return added_up(some)
+
+
+def added_up(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts' distinct grams and summed counts; the parts are let go before they are sorted."""
+    grams, n = np.concatenate([g for g, _ in some]), np.concatenate([c for _, c in some])
+    some.clear()
+    order = np.argsort(grams)
+    grams = grams[order]
+    n = n[order]
+    del order
+    new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[new], np.add.reduceat(n, new, dtype=np.int32)
 
 
 def gram_shard(grams: np.ndarray, order: int, shards: int) -> np.ndarray:
