@@ -64,7 +64,10 @@ def attribute_states(events: DataFrame, attributes: Mapping[str, Sequence[str] |
 def attribute_values(
     trials: DataFrame, attributes: Mapping[str, Sequence[str] | None], more: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Trials with their attributes (and ``more`` columns) in place of the states; one that varies raises. ``_events`` counts rows."""
+    """Trials with their attributes (and ``more`` columns) in place of the states and of ``_events``, the rows of a trial.
+
+    An attribute that varies within a trial raises.
+    """
     n = len(attributes)
     constant = " AND ".join(f"(_known{i} = 0 OR _known{i} = _events AND _low{i} = _high{i})" for i in range(n)) or "true"
     checked = trials.where(f"CASE WHEN {constant} THEN true ELSE raise_error('attributes differ within a trial') END")
@@ -72,7 +75,7 @@ def attribute_values(
     # joined with the check, and the optimizer would put the 1 into it for every trial
     coded = [(f"_low{i}", c, levels) for i, (c, levels) in enumerate(attributes.items())]
     values = {c: at if levels is None else label_at(at, levels) for at, c, levels in coded}
-    return drop(compute_once(checked, {**values, **(more or {})}), *(f"_{part}{i}" for i in range(n) for part in ("low", "high", "known")))
+    return drop(compute_once(checked, {**values, **(more or {})}), "_events", *(f"_{part}{i}" for i in range(n) for part in ("low", "high", "known")))
 
 
 def trial_markers(
@@ -137,8 +140,9 @@ def trial_markers(
     )
 
     if unique_keys:
-        grouped = grouped.where("CASE WHEN _indexes = _events THEN true ELSE raise_error('an event key is repeated') END")
-    grouped = drop(attribute_values(grouped, attributes, {"n_events": "_events"}), "_events", *["_indexes"] * unique_keys)
+        unique = "CASE WHEN _indexes = _events THEN true ELSE raise_error('an event key is repeated') END"
+        grouped = drop(grouped.where(unique), "_indexes")
+    grouped = attribute_values(grouped, attributes, {"n_events": "_events"})
 
     # the first visit to "the other" target is the later of the two first visits
     def other(one: str, two: str) -> str:

@@ -88,4 +88,4 @@ def trial_visits(
             "all_seen_time": "CASE WHEN n_seen = n_items THEN get(_seen, n_seen - 1).time END",
         },
     )
-    return drop(derived, "_seen", "_events", *(f"_{part}{i}" for i in range(1, len(items) + 1) for part in ("first", "last", "time")))
+    return drop(derived, "_seen", *(f"_{part}{i}" for i in range(1, len(items) + 1) for part in ("first", "last", "time")))
